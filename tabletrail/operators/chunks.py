@@ -54,7 +54,7 @@ def split_scripts(files: DataFrame) -> DataFrame:
 
 def chunk_key() -> Column:
     """Path, lines and the position in the file, so that no two chunks share a key."""
-    return F.format_string("%s::%d-%d#%d", "file_path", "line_start", "line_end", "ord")
+    return F.concat("file_path", F.lit("::"), "line_start", F.lit("-"), "line_end", F.lit("#"), "ord")
 
 
 def caption() -> Column:

@@ -108,25 +108,23 @@ def add_python_pieces(files: DataFrame) -> DataFrame:
 def finish_python(pieces: DataFrame) -> DataFrame:
     """Text, type and lines of mode node and lines."""
     node = F.col("mode") == "node"
+    body = F.when(node, marks.block_body(F.col("body")))
     # A run of blank and comment lines before the next statement, or at the end, belongs to no statement.
-    out = pieces.withColumn(
-        "_kept", F.regexp_replace(marks.block_body(F.col("body")), rf"{_BLANK_RUN}\z|({_BLANK_RUN})", "$1")
-    )
+    out = pieces.withColumn("_kept", F.regexp_replace(body, rf"{_BLANK_RUN}\z|({_BLANK_RUN})", "$1"))
     text = F.regexp_replace("_kept", rf"{_BLANK_RUN}({marks.NODE})|({_BLANK_RUN})", "$1$2")
     text = F.rtrim(F.regexp_replace(text, rf"{marks.NODE}\d|{marks.BLANK}", ""), F.lit("\n"))
     # Removing the indent all lines share: the first line starts in column 0, so only blank lines change.
     text = F.regexp_replace(text, r"(?<![^\n])[ \t]+(?![^\n])", "")
     start = marks.head_number(F.col("body"), 1)
-    return out.select(
-        "*",
-        F.when(node, text).otherwise(F.regexp_replace("body", r"\n\z", "")).alias("py_text"),
-        F.when(~node, "block")
-        .when(F.contains("_kept", F.lit(f"{marks.NODE}{_DEF}")), "function")
-        .when(F.contains("_kept", F.lit(f"{marks.NODE}{_CLASS}")), "class")
-        .otherwise("module_preamble")
-        .alias("py_type"),
-        F.when(node, start).otherwise(F.col("line")).alias("py_start"),
-        (
-            F.when(node, start + newlines(F.col("_kept"))).otherwise(F.col("line") + newlines(F.col("body"))) - 1
-        ).alias("py_end"),
+    last = F.when(node, start + newlines(F.col("_kept"))).otherwise(F.col("line") + newlines(F.col("body"))) - 1
+    return out.withColumns(
+        {
+            "py_text": F.when(node, text).otherwise(F.regexp_replace("body", r"\n\z", "")),
+            "py_type": F.when(~node, "block")
+            .when(F.contains("_kept", F.lit(f"{marks.NODE}{_DEF}")), "function")
+            .when(F.contains("_kept", F.lit(f"{marks.NODE}{_CLASS}")), "class")
+            .otherwise("module_preamble"),
+            "py_start": F.when(node, start).otherwise(F.col("line")),
+            "py_end": last,
+        }
     ).drop("_kept")

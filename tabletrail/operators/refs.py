@@ -85,7 +85,7 @@ def table_names(text: Column, patterns: list[tuple[str, str]]) -> Column:
         F.when(F.contains(low, F.lit(word)), find_all(text, "(?i)" + pattern, 1)).otherwise(empty_strings())
         for word, pattern in patterns
     ]
-    stop = F.array(F.lit(""), *[F.lit(word) for word in settings.STOP_WORDS])
+    stop = F.split(F.lit(" ".join(["", *settings.STOP_WORDS])), " ")
     names = F.array_except(F.transform(F.concat(*found), clean_name), stop)
     names = F.filter(names, lambda name: (F.length(name) >= 2) & ~name.rlike(r"^\p{Nd}+$"))
     some = F.lit(False)

@@ -90,18 +90,18 @@ def add_shell_pieces(files: DataFrame) -> DataFrame:
 def finish_shell(pieces: DataFrame) -> DataFrame:
     """Text, type and lines of mode group and script."""
     group = F.col("mode") == "group"
-    out = pieces.withColumn("_body", marks.block_body(F.col("body")))
-    # Line counts of a script of blank lines only: each line end closes one.
+    out = pieces.withColumn("_body", F.when(group, marks.block_body(F.col("body"))))
+    # Line count of a script of blank lines only: an end without a line end closes one more.
     extra = F.when((F.col("body") == "") | F.endswith("body", F.lit("\n")), 0).otherwise(1)
-    return out.select(
-        "*",
-        F.when(group, strip(F.replace("_body", F.lit(marks.CLOSED), F.lit("")))).otherwise(F.col("body")).alias("sh_text"),
-        F.when(~group, "script")
-        .when(F.contains("_body", F.lit(marks.CLOSED)), "function")
-        .otherwise("command_group")
-        .alias("sh_type"),
-        F.when(group, marks.head_number(F.col("body"), 1)).otherwise(F.lit(1)).alias("sh_start"),
-        F.when(group, marks.head_number(F.col("body"), 2) + newlines(F.col("_body")) - 1)
-        .otherwise(newlines(F.col("body")) + extra)
-        .alias("sh_end"),
+    return out.withColumns(
+        {
+            "sh_text": F.when(group, strip(F.replace("_body", F.lit(marks.CLOSED), F.lit("")))).otherwise(F.col("body")),
+            "sh_type": F.when(~group, "script")
+            .when(F.contains("_body", F.lit(marks.CLOSED)), "function")
+            .otherwise("command_group"),
+            "sh_start": F.when(group, marks.head_number(F.col("body"), 1)).otherwise(F.lit(1)),
+            "sh_end": F.when(group, marks.head_number(F.col("body"), 2) + newlines(F.col("_body")) - 1).otherwise(
+                newlines(F.col("body")) + extra
+            ),
+        }
     ).drop("_body")

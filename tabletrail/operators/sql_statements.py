@@ -41,10 +41,8 @@ def add_sql_pieces(files: DataFrame) -> DataFrame:
     return out.withColumn("sql_pieces", pieces).drop("_closed", "_texts", "_steps", "_after")
 
 
-def statement_type(code: Column) -> Column:
-    """select, write, update, delete, cte or statement for text without leading comments."""
-    plain = F.regexp_replace(code, rf"{_QUOTED}|{_COMMENT}", "''")
-    head = F.lower(F.regexp_extract(plain, r"^\s*(\(|[A-Za-z]+)", 1))
+def _verbs(plain: Column) -> Column:
+    """First verb outside brackets, and whether a set operation stands there."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("verb"), F.lit(False).alias("sets"))
 
     def step(acc: Column, token: Column) -> Column:
@@ -52,40 +50,52 @@ def statement_type(code: Column) -> Column:
         top = acc["depth"] == 0
         is_set = word.isin("union", "intersect", "except")
         is_verb = word.isin("select", "insert", "update", "delete", "create", "merge")
-        depth = acc["depth"] + F.when(word == "(", 1).when(word == ")", -1).otherwise(0)
         return F.struct(
-            depth.alias("depth"),
+            (acc["depth"] + F.when(word == "(", 1).when(word == ")", -1).otherwise(0)).alias("depth"),
             F.when(top & is_verb & (acc["verb"] == ""), word).otherwise(acc["verb"]).alias("verb"),
             (acc["sets"] | (top & is_set)).alias("sets"),
         )
 
-    seen = F.aggregate(find_all(plain, _VERBS), start, step)
-    by_verb = (
-        lambda verb, sets: F.when((verb == "select") & ~sets, "select")
-        .when(verb.isin("insert", "create"), "write")
-        .when(verb == "update", "update")
-        .when(verb == "delete", "delete")
+    return F.aggregate(find_all(plain, _VERBS), start, step)
+
+
+def add_statement_type(statements: DataFrame, code: str, name: str) -> DataFrame:
+    """Add select, write, update, delete, cte or statement for a column of text without leading comments.
+
+    A leading WITH takes the type of its main verb. Only WITH and SELECT ... UNION need a look at the brackets.
+    """
+    out = statements.withColumn("_plain", F.regexp_replace(code, rf"{_QUOTED}|{_COMMENT}", "''"))
+    out = out.withColumn("_head", F.lower(F.regexp_extract("_plain", r"^\s*(\(|[A-Za-z]+)", 1)))
+    nested = (F.col("_head") == "with") | (
+        (F.col("_head") == "select") & F.col("_plain").rlike(r"(?i)\b(?:union|intersect|except)\b")
     )
-    main = F.when(head == "with", seen["verb"]).otherwise(head)
-    return F.coalesce(
-        by_verb(main, seen["sets"]), F.when((head == "with") & (seen["verb"] == ""), "cte"), F.lit("statement")
+    out = out.withColumn("_seen", F.when(nested, _verbs(F.col("_plain"))))
+    verb = F.when(F.col("_head") == "with", F.col("_seen.verb")).otherwise(F.col("_head"))
+    kind = (
+        F.when((verb == "select") & ~F.coalesce("_seen.sets", F.lit(False)), "select")
+        .when(verb.isin("insert", "create"), "write")
+        .when(verb.isin("update", "delete"), verb)
+        .when((F.col("_head") == "with") & (verb == ""), "cte")
+        .otherwise("statement")
     )
+    return out.withColumn(name, kind).drop("_plain", "_head", "_seen")
 
 
 def finish_statements(pieces: DataFrame) -> DataFrame:
     """Text, type and lines of mode statement and semicolon; statements without code are dropped."""
-    body = F.col("body")
-    out = pieces.withColumn("_lead", F.regexp_extract("body", _LEAD, 0))
-    out = out.withColumn(
-        "_open", rstrip(F.when(F.endswith(body, F.lit(";")), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body))
-    )
-    out = out.withColumn("_code", F.substring(F.col("_open"), F.length("_lead") + 1, F.length(body)))
     cut = F.col("mode") == "semicolon"
+    out = pieces.withColumn("_body", F.when(F.col("mode") == "statement", F.col("body")))
+    out = out.withColumn("_lead", F.regexp_extract("_body", _LEAD, 0))
+    open_end = F.when(F.endswith("_body", F.lit(";")), F.substring("_body", F.lit(1), F.length("_body") - 1))
+    out = out.withColumn("_open", rstrip(open_end.otherwise(F.col("_body"))))
+    out = out.withColumn("_code", F.substring(F.col("_open"), F.length("_lead") + 1, F.length("_body")))
     out = out.where((F.col("mode") != "statement") | (strip(F.col("_code")) != ""))
-    return out.select(
-        "*",
-        F.when(cut, body).otherwise(strip(F.col("_open"))).alias("sql_text"),
-        F.when(cut, "statement").otherwise(statement_type(F.col("_code"))).alias("sql_type"),
-        F.when(cut, F.col("line")).otherwise(F.col("line") + newlines(F.col("_lead"))).alias("sql_start"),
-        (F.col("line") + F.when(cut, newlines(body)).otherwise(newlines(F.col("_open")))).alias("sql_end"),
-    ).drop("_lead", "_open", "_code")
+    out = add_statement_type(out, "_code", "sql_type")
+    return out.withColumns(
+        {
+            "sql_type": F.when(cut, "statement").otherwise(F.col("sql_type")),
+            "sql_text": F.when(cut, F.col("body")).otherwise(strip(F.col("_open"))),
+            "sql_start": F.when(cut, F.col("line")).otherwise(F.col("line") + newlines(F.col("_lead"))),
+            "sql_end": F.col("line") + F.when(cut, newlines(F.col("body"))).otherwise(newlines(F.col("_open"))),
+        }
+    ).drop("_body", "_lead", "_open", "_code")
