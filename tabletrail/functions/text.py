@@ -84,23 +84,41 @@ def encode_list(c: Column) -> Column:
     return F.to_json(c)
 
 
+_JSON_STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
+_JSON_SCALAR = rf"^(?:{_JSON_STRING}|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)$"
+
+
+def is_json_group(c: Column) -> Column:
+    """True for text that is one JSON array or object and nothing more. Spark's parser stops after the first value,
+    so the brackets outside strings are followed: they must come back to depth zero once, at the end."""
+    marks = F.regexp_replace(F.regexp_replace(c, _JSON_STRING, ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        depth = acc["depth"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), (acc["ends"] + F.when(depth == 0, 1).otherwise(0)).alias("ends"))
+
+    closed = F.aggregate(
+        find_all(marks, r"[\[\]{}]"), start, step, lambda acc: (acc["ends"] == 1) & (acc["depth"] == 0)
+    )
+    return c.rlike(r"^[\[{][\s\S]*[\]}]\z") & F.try_parse_json(c).isNotNull() & closed
+
+
 def decode_list(c: Column) -> Column:
     """A stored list: JSON array, a single JSON value, or the older a|b form."""
-    json = F.try_parse_json(c)
     text = strip(c)
-    array = F.from_json(c, "array<string>")
     scalar = (
         F.when(text == "true", "True")
         .when(text == "false", "False")
         .when(text == "null", "None")
-        .when(F.startswith(text, F.lit('"')), F.try_variant_get(json, "$", "string"))
+        .when(F.startswith(text, F.lit('"')), F.try_variant_get(F.try_parse_json(text), "$", "string"))
         .otherwise(text)
     )
     piped = F.filter(F.transform(F.split(c, r"\|"), strip), lambda x: x != "")
     return (
         F.when(c.isNull() | (c == ""), empty_strings())
-        .when(json.isNotNull() & F.startswith(text, F.lit("[")), array)
-        .when(json.isNotNull(), F.array(scalar))
+        .when(text.rlike(_JSON_SCALAR), F.array(scalar))
+        .when(is_json_group(text), F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.array(text)))
         .otherwise(piped)
     )
 

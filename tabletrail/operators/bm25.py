@@ -27,10 +27,10 @@ def postings_of(documents: DataFrame, text: str = "embedding_text", key: str = "
     """(term, key, tf, dl) rows. Words are counted inside the document's row: sorted, equal words are neighbours."""
     out = documents.select(key, F.sort_array(tokens(F.col(text))).alias("_words"))
     n = F.size("_words")
-    out = out.where(n > 0).withColumn(
+    out = out.withColumn(
         "_heads",
         F.filter(
-            F.sequence(F.lit(1), n),
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
             lambda i: (i == 1) | (F.element_at("_words", i) != F.element_at("_words", F.greatest(i - 1, F.lit(1)))),
         ),
     )
@@ -38,7 +38,8 @@ def postings_of(documents: DataFrame, text: str = "embedding_text", key: str = "
     counted = F.zip_with(
         "_heads", ends, lambda head, end: F.struct(F.element_at("_words", head).alias("term"), (end - head).alias("tf"))
     )
-    return out.select(key, n.alias("dl"), F.explode(counted).alias("p")).select("p.term", key, "p.tf", "dl")
+    rows = out.select(key, n.alias("dl"), F.inline_outer(F.when(n > 0, counted)))
+    return rows.where("term IS NOT NULL").select("term", key, "tf", "dl")
 
 
 def build_index(documents: DataFrame, text: str = "embedding_text", key: str = "chunk_id") -> Bm25Index:
@@ -65,8 +66,8 @@ def index_from(postings: DataFrame, sizes: DataFrame) -> Bm25Index:
 
 def query_words(texts: DataFrame, column: str = "term") -> DataFrame:
     """(query, term, times) of (query, text) rows; a word given twice counts twice."""
-    words = texts.select("query", F.explode(tokens(F.col(column))).alias("term"))
-    return words.groupBy("query", "term").agg(F.count("*").alias("times"))
+    words = texts.select("query", F.explode_outer(tokens(F.col(column))).alias("term"))
+    return words.where("term IS NOT NULL").groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
 def scores(index: Bm25Index, words: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -28,9 +28,10 @@ def split_scripts(files: DataFrame) -> DataFrame:
         .when(F.col("file_type") == "python", F.col("python_pieces"))
         .otherwise(F.col("shell_pieces"))
     )
-    rows = cut.select("file_path", "file_type", F.posexplode(pieces).alias("ord", "piece")).select(
+    # The outer form: from a plain explode Spark infers a filter that would compute the pieces twice.
+    rows = cut.select("file_path", "file_type", F.posexplode_outer(pieces).alias("ord", "piece")).select(
         "file_path", "file_type", "ord", "piece.mode", "piece.body", "piece.line"
-    )
+    ).where("mode IS NOT NULL")
     rows = finish_shell(finish_python(finish_statements(rows)))
 
     def by_language(suffix: str) -> Column:

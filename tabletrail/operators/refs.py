@@ -151,10 +151,13 @@ def add_refs(chunks: DataFrame, shell_writes: bool = False, skip_imports: bool =
 
 
 def ref_rows(chunks_with_refs: DataFrame) -> DataFrame:
-    """One row per reference: (chunk_id, file_path, line_start, ord, raw, canonical, ref_type, confidence)."""
-    return chunks_with_refs.select("chunk_id", "file_path", "line_start", F.explode("refs").alias("ref")).select(
-        "chunk_id", "file_path", "line_start", "ref.*"
-    )
+    """One row per reference: (chunk_id, file_path, line_start, ord, raw, canonical, ref_type, confidence).
+
+    The outer form on purpose, here and elsewhere: from a plain explode Spark infers a filter on the array and pushes
+    it down, which computes the whole array twice.
+    """
+    rows = chunks_with_refs.select("chunk_id", "file_path", "line_start", F.inline_outer("refs"))
+    return rows.where("raw IS NOT NULL")
 
 
 def name_aliases(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.text import code_of, unfence
+from tabletrail.functions.text import code_of, is_json_group, unfence
 from tabletrail.operators.chunks import is_extractable
 
 REPLY_SCHEMA = "chunk_id string, reply string, error string"
@@ -21,7 +21,7 @@ REPLY_SCHEMA = "chunk_id string, reply string, error string"
 def _items(reply: Column, fields: str) -> Column:
     """The objects of a JSON array; null for anything that is not a JSON array."""
     text = unfence(reply)
-    valid = F.startswith(text, F.lit("[")) & F.try_parse_json(text).isNotNull()
+    valid = F.startswith(text, F.lit("[")) & is_json_group(text)
     return F.when(valid, F.from_json(text, f"array<struct<{fields}>>"))
 
 
@@ -63,7 +63,8 @@ def parse_references(replies: DataFrame) -> DataFrame:
 
     Text that is no JSON array gives no rows, and neither do items without a name.
     """
-    items = replies.select("chunk_id", F.posexplode(_items(F.col("reply"), "raw:string,canonical:string,type:string,confidence:string")))
+    fields = "raw:string,canonical:string,type:string,confidence:string"
+    items = replies.select("chunk_id", F.posexplode_outer(_items(F.col("reply"), fields)))
     return items.where("col.raw IS NOT NULL").select(
         "chunk_id",
         F.col("pos").alias("ord"),
@@ -78,7 +79,10 @@ def refs_with_fallback(replies: DataFrame, chunks_with_refs: DataFrame) -> DataF
     """Reference rows from replies; chunks whose call failed keep the references found by patterns."""
     failed = replies.where("error IS NOT NULL").select("chunk_id")
     by_pattern = (
-        chunks_with_refs.select("chunk_id", "refs").join(failed, "chunk_id", "left_semi").select("chunk_id", F.inline("refs"))
+        chunks_with_refs.select("chunk_id", "refs")
+        .join(failed, "chunk_id", "left_semi")
+        .select("chunk_id", F.inline_outer("refs"))
+        .where("raw IS NOT NULL")
     )
     return parse_references(replies.where("error IS NULL")).unionByName(by_pattern)
 
@@ -105,7 +109,7 @@ def parse_judgements(replies: DataFrame) -> DataFrame:
     Items need a chunk_id; if two name the same chunk, the later one counts.
     """
     fields = "chunk_id:string,relevance_score:string,operation:string,explanation:string,matched_via:string"
-    items = replies.select("query", F.posexplode(_items(F.col("reply"), fields))).where("col.chunk_id IS NOT NULL")
+    items = replies.select("query", F.posexplode_outer(_items(F.col("reply"), fields))).where("col.chunk_id IS NOT NULL")
     last = items.groupBy("query", "col.chunk_id").agg(F.max_by("col", "pos").alias("last"))
     return last.select(
         "query",

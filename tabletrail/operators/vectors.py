@@ -59,7 +59,7 @@ def nearest(
     """
     spark = documents.sparkSession
     passes = -(-max(queries.count(), 1) // per_pass)
-    kind = documents.schema[key].dataType.simpleString()
+    kind, asked = documents.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
     best = None
     for number in range(passes):
         part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
@@ -68,7 +68,7 @@ def nearest(
         matrix = _unit(np.array([row["embedding"] for row in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
         sent = spark.sparkContext.broadcast((names, matrix))
         found = documents.select(key, "embedding").mapInPandas(
-            _keep_nearest(sent, key, n), f"query string, {key} {kind}, score double"
+            _keep_nearest(sent, key, n), f"query {asked}, {key} {kind}, score double"
         )
         best = found if best is None else best.unionByName(found)
     return top_per_group(best, ["query"], [F.desc("score"), F.asc(key)], n)
@@ -105,7 +105,7 @@ def with_table(documents: DataFrame, tables: DataFrame, n: int) -> DataFrame:
 
     `tables` has (query, canonical, embedding). The match is exact: an equi-join on each table a document names.
     """
-    named = documents.select("chunk_id", "embedding", F.explode("canonical_tables").alias("canonical"))
+    named = documents.select("chunk_id", "embedding", F.explode_outer("canonical_tables").alias("canonical"))
     asked = tables.select("query", "canonical", F.col("embedding").alias("_asked"))
     found = salted_join(named, asked, ["canonical"], spread_by="chunk_id", how="inner")
     score = F.coalesce(F.round(cosine(F.col("embedding"), F.col("_asked")), 12), F.lit(0.0))
