@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.corpus import ALIAS_RULES, corpus_sql
-from tabletrail.functions.text import name_key
+from tabletrail.functions.joins import top_per_group
 from tabletrail.operators import bm25, search, vectors
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.documents import build_documents
 from tabletrail.operators.refs import add_refs, name_aliases, ref_rows
 from tabletrail.operators.registry import Registry, build_registry, expand
 from tabletrail.operators.rerank import unjudged
+from tabletrail.sources.scratch import written
 
 TOP_K = 15
 
@@ -54,12 +55,14 @@ def aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_documents(aliased(spark, sf_dir))
+    """Stored once: a search reads them several times, as it would read a published index."""
+    return written(build_documents(aliased(spark, sf_dir)), "documents")
 
 
 @lru_cache(maxsize=8)
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
-    return build_registry(ref_rows(aliased(spark, sf_dir)))
+    built = build_registry(ref_rows(documents(spark, sf_dir)))
+    return Registry(written(built.names, "names"), written(built.files, "files"), written(built.current, "current"))
 
 
 @lru_cache(maxsize=8)
@@ -93,7 +96,7 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand(asked(spark, sf_dir), registry(spark, sf_dir))
+    return written(expand(asked(spark, sf_dir), registry(spark, sf_dir)), "expanded")
 
 
 def semantic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +113,11 @@ def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    return bm25.build_index(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    postings = written(bm25.postings_of(docs).withColumn("bucket", bm25.bucket_of("term")), "postings")
+    sizes = written(bm25.sizes_of(docs), "sizes")
+    counted = bm25.index_from(postings, sizes)
+    return bm25.Bm25Index(postings, written(counted.terms, "terms"), written(counted.totals, "totals"))
 
 
 def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +149,6 @@ def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tabletrail.functions.joins import top_per_group
-
     top = top_per_group(
         table_listing(spark, sf_dir), ["query"], [F.desc("hybrid_score"), F.asc("chunk_id")], 200
     )

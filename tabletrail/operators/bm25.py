@@ -44,10 +44,12 @@ def postings_of(documents: DataFrame, text: str = "embedding_text", key: str = "
 
 def build_index(documents: DataFrame, text: str = "embedding_text", key: str = "chunk_id") -> Bm25Index:
     postings = postings_of(documents, text, key).withColumn("bucket", bucket_of("term"))
-    sizes = documents.agg(
-        F.count("*").alias("documents"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")
-    )
-    return index_from(postings, sizes)
+    return index_from(postings, sizes_of(documents, text))
+
+
+def sizes_of(documents: DataFrame, text: str = "embedding_text") -> DataFrame:
+    """One row: number of documents and their mean length in words."""
+    return documents.agg(F.count("*").alias("documents"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
 
 
 def index_from(postings: DataFrame, sizes: DataFrame) -> Bm25Index:

@@ -58,12 +58,14 @@ def nearest(
     queries take more passes over the documents. Ties go to the smaller key.
     """
     spark = documents.sparkSession
-    passes = -(-max(queries.count(), 1) // per_pass)
+    columns = queries.select("query", F.col("embedding").cast("array<double>"))
+    first = columns.limit(per_pass + 1).collect()
+    passes = 1 if len(first) <= per_pass else -(-queries.count() // per_pass)
     kind, asked = documents.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
     best = None
     for number in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
-        rows = part.select("query", F.col("embedding").cast("array<double>")).collect()
+        part = columns.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
+        rows = first if passes == 1 else part.collect()
         names = [row["query"] for row in rows]
         matrix = _unit(np.array([row["embedding"] for row in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
         sent = spark.sparkContext.broadcast((names, matrix))

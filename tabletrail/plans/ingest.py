@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tabletrail.functions.text import tokens
 from tabletrail.operators import bm25, vectors
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.documents import attach_refs, build_documents
@@ -58,10 +56,7 @@ def ingest(
 
     staging.write_postings(bm25.postings_of(documents))
     postings = spark.read.parquet(f"{staging.path}/postings")
-    sizes = documents.agg(
-        F.count("*").alias("documents"), F.avg(F.size(tokens(F.col("embedding_text")))).alias("avgdl")
-    )
-    staging.write_terms(bm25.index_from(postings, sizes))
+    staging.write_terms(bm25.index_from(postings, bm25.sizes_of(documents)))
 
     model = vectors.fit_text_vectors(documents, features=features)
     model.write().overwrite().save(f"{staging.path}/vector_model")
