@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table that comes as fewer splits than there are cores is dealt out first; a large one never is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores * 2) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _view(orders: DataFrame, sf_dir: str) -> str:
     name = "orders_of_" + "".join(c if c.isalnum() else "_" for c in sf_dir)
     orders.createOrReplaceTempView(name)
@@ -114,7 +120,7 @@ def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=8)
 def index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
     docs = documents(spark, sf_dir)
-    postings = written(bm25.postings_of(docs).withColumn("bucket", bm25.bucket_of("term")), "postings")
+    postings = written(bm25.postings_of(docs).withColumn("bucket", bm25.bucket_of("term")), "postings", by="bucket")
     sizes = written(bm25.sizes_of(docs), "sizes")
     counted = bm25.index_from(postings, sizes)
     return bm25.Bm25Index(postings, written(counted.terms, "terms"), written(counted.totals, "totals"))

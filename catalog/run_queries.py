@@ -183,7 +183,7 @@ def refs_copy_into(spark, sf) -> DataFrame:
 @query
 def prose_refs(spark, sf) -> DataFrame:
     """The SQL patterns over prose: keywords inside text of four languages."""
-    docs = I.table(spark, sf, "documents")
+    docs = I.spread(I.table(spark, sf, "documents"))
     text = F.concat("text", F.lit(" from "), "lang", F.lit(' join "X".['), "source", F.lit("]"))
     return docs.select("doc_id", F.posexplode(R.table_names(text, R.SQL_READ)).alias("ord", "name")).select(
         "doc_id", F.col("ord").cast("bigint").alias("ord"), "name"
@@ -373,19 +373,19 @@ def token_counts(spark, sf) -> DataFrame:
 
 @query
 def bm25_postings(spark, sf) -> DataFrame:
-    rows = bm25.postings_of(I.table(spark, sf, "documents"), "text", "doc_id")
+    rows = bm25.postings_of(I.spread(I.table(spark, sf, "documents")), "text", "doc_id")
     return rows.select("term", "doc_id", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
 
 
 @query
 def bm25_terms(spark, sf) -> DataFrame:
-    built = bm25.build_index(I.table(spark, sf, "documents"), "text", "doc_id")
+    built = bm25.build_index(I.spread(I.table(spark, sf, "documents")), "text", "doc_id")
     return built.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _document_scores(spark, sf) -> DataFrame:
     """Each benchmark item's text as a query against all documents."""
-    built = bm25.build_index(I.table(spark, sf, "documents"), "text", "doc_id")
+    built = bm25.build_index(I.spread(I.table(spark, sf, "documents")), "text", "doc_id")
     items = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("term"))
     return bm25.scores(built, bm25.query_words(items), "doc_id")
 

@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from tabletrail import settings
 
 
+def is_few(rows: DataFrame, limit: int = settings.BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most `limit` rows; reads no more than needed to know."""
+    return rows.limit(limit + 1).count() <= limit
+
+
+def lookup_join(large: DataFrame, lookup: DataFrame, keys: list[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Join with a lookup side that is broadcast if its row count proves small, and salted otherwise.
+
+    The check runs the lookup side once, so it suits sides that are cheap to make.
+    """
+    if is_few(lookup):
+        return large.join(F.broadcast(lookup), keys, how)
+    return salted_join(large, lookup, keys, spread_by, how)
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, how: str = "left", salts: int = settings.SALTS
+    large: DataFrame, lookup: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = settings.SALTS
 ) -> DataFrame:
-    """Equi-join a large `left`, which may crowd on few keys, with a lookup `right` that has few rows per key.
+    """Equi-join of a side that may crowd on few keys with a lookup side that has few rows per key.
 
-    Rows of one key are dealt to `salts` parts by a hash of `spread_by`; the lookup side is repeated per part. When
-    its size allows, Spark broadcasts the lookup side instead, by its own size check.
+    Rows of one key are dealt to `salts` parts by a hash of `spread_by`; the lookup side is repeated per part.
     """
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.joins import salted_join
+from tabletrail.functions.joins import lookup_join, salted_join
 from tabletrail.functions.text import tokens
 
 
@@ -75,12 +75,15 @@ def query_words(texts: DataFrame, column: str = "term") -> DataFrame:
 def scores(index: Bm25Index, words: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query, key, score) for documents that hold at least one of the query's words.
 
-    The words pick their postings by an equi-join; the stored postings are laid out in term buckets, so only the
-    buckets of the asked words are read.
+    Stored postings and terms lie in term buckets: the buckets of the asked words, STORE_BUCKETS numbers at most,
+    are looked up first and only those are read. Then the words pick their postings by an equi-join.
     """
-    asked = words.withColumn("bucket", bucket_of("term")).join(index.terms, ["bucket", "term"])
+    words = words.withColumn("bucket", bucket_of("term"))
+    buckets = [row["bucket"] for row in words.select("bucket").distinct().collect()]
+    read = F.col("bucket").isin(buckets)
+    asked = words.join(index.terms.where(read), ["bucket", "term"])
     asked = asked.select("bucket", "term", "query", (F.col("times") * F.col("idf")).alias("weight"))
-    found = salted_join(index.postings, asked, ["bucket", "term"], spread_by=key, how="inner")
+    found = lookup_join(index.postings.where(read), asked, ["bucket", "term"], spread_by=key)
     k1, b = settings.BM25_K1, settings.BM25_B
     length = F.col("dl") / index.totals.select("avgdl").scalar()
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
@@ -90,6 +93,6 @@ def scores(index: Bm25Index, words: DataFrame, key: str = "chunk_id") -> DataFra
 def normalised(scored: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Scores divided by the query's best one; what stays at or below the cut is dropped."""
     best = scored.groupBy("query").agg(F.max("score").alias("_best"))
-    joined = salted_join(scored, best, ["query"], spread_by=key, how="inner")
+    joined = salted_join(scored, best, ["query"], spread_by=key)
     share = F.col("score") / F.when(F.col("_best") > 0, F.col("_best")).otherwise(1.0)
     return joined.select("query", key, share.alias("score")).where(F.col("score") > settings.BM25_CUT)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.joins import salted_join
+from tabletrail.functions.joins import lookup_join
 from tabletrail.functions.text import WORD, empty_strings, find_all, strip
 from tabletrail.operators.chunks import is_extractable
 
@@ -177,5 +177,5 @@ def name_aliases_by_table(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for reference rows and a rules(alias, canonical) table of any size."""
     known = rules.select(F.lower("alias").alias("raw"), F.lower("canonical").alias("_canonical"))
     known = known.groupBy("raw").agg(F.max("_canonical").alias("_canonical"))
-    joined = salted_join(refs, known, ["raw"], spread_by="chunk_id")
+    joined = lookup_join(refs, known, ["raw"], spread_by="chunk_id", how="left")
     return joined.withColumn("canonical", F.coalesce("_canonical", "canonical")).drop("_canonical")

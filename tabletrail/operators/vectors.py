@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.joins import salted_join, top_per_group
+from tabletrail.functions.joins import top_per_group
 from tabletrail.functions.text import tokens
 
 
@@ -33,22 +33,12 @@ def text_vectors(model: PipelineModel, texts: DataFrame, text: str, name: str =
     return out.withColumn(name, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_tfidf", "_unit")
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for a vector of zeros, which has no direction."""
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
-
-
 def nearest(
     documents: DataFrame,
     queries: DataFrame,
     n: int,
     key: str = "chunk_id",
+    same_table: bool = False,
     per_pass: int = settings.QUERY_VECTORS_PER_PASS,
 ) -> DataFrame:
     """(query, key, score, rank): the n documents nearest to each query, from (key, embedding) and (query, embedding).
@@ -56,43 +46,70 @@ def nearest(
     Each task multiplies its batches with the query matrix and keeps n documents per query, so n rows per query and
     task are shuffled, not all pairs. The matrix is sent to the tasks in slices of at most `per_pass` vectors; more
     queries take more passes over the documents. Ties go to the smaller key.
+
+    same_table: only documents whose canonical_tables hold the query's canonical compete, all of them.
     """
     spark = documents.sparkSession
-    columns = queries.select("query", F.col("embedding").cast("array<double>"))
+    kind, asked = documents.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    table = F.col("canonical") if same_table else F.lit(None).cast("string").alias("canonical")
+    columns = queries.select("query", table, F.col("embedding").cast("array<double>"))
     first = columns.limit(per_pass + 1).collect()
     passes = 1 if len(first) <= per_pass else -(-queries.count() // per_pass)
-    kind, asked = documents.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    rows_in = documents.select(key, "embedding", *(["canonical_tables"] if same_table else []))
     best = None
     for number in range(passes):
         part = columns.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
         rows = first if passes == 1 else part.collect()
-        names = [row["query"] for row in rows]
-        matrix = _unit(np.array([row["embedding"] for row in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
-        sent = spark.sparkContext.broadcast((names, matrix))
-        found = documents.select(key, "embedding").mapInPandas(
-            _keep_nearest(sent, key, n), f"query {asked}, {key} {kind}, score double"
+        sent = spark.sparkContext.broadcast([tuple(row) for row in rows])
+        found = rows_in.mapInPandas(
+            _keep_nearest(sent, key, n, same_table), f"query {asked}, {key} {kind}, score double"
         )
         best = found if best is None else best.unionByName(found)
     return top_per_group(best, ["query"], [F.desc("score"), F.asc(key)], n)
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+def with_table(documents: DataFrame, tables: DataFrame, n: int) -> DataFrame:
+    """(query, chunk_id, score, rank): of the documents naming the query's table, the n nearest to that name.
 
+    `tables` has (query, canonical, embedding). The match is exact.
+    """
+    return nearest(documents, tables, n, same_table=True)
 
-def _keep_nearest(sent, key: str, n: int):
+
+def _unit(vectors: list, width: int) -> np.ndarray:
+    """Rows of length one; a missing vector or one of zeros, which has no direction, stays zero."""
+    rows = np.zeros((len(vectors), width))
+    for i, vector in enumerate(vectors):
+        if vector is not None:
+            rows[i] = vector
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=rows, where=length > 0)
+
+
+def _keep_nearest(sent, key: str, n: int, same_table: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = sent.value
+        names, tables, vectors = zip(*sent.value) if sent.value else ((), (), ())
+        width = max((len(v) for v in vectors if v is not None), default=0)
+        matrix = _unit(vectors, width)
+        queries_of: dict[str, list[int]] = {}
+        for q, table in enumerate(tables):
+            queries_of.setdefault(table, []).append(q)
         kept = None
         for batch in batches:
-            batch = batch[batch["embedding"].notna()]
+            if not same_table:
+                batch = batch[batch["embedding"].notna()]
             if not len(batch) or not names:
                 continue
             # Equal vectors must tie whatever the batch shape, so the last bits of the product are dropped.
-            similar = np.round(_unit(np.stack(batch["embedding"]).astype(np.float64)) @ matrix.T, 12)
+            similar = np.round(_unit(batch["embedding"], width) @ matrix.T, 12)
+            if same_table:
+                pairs = [(r, q) for r, found in enumerate(batch["canonical_tables"]) for t in found for q in queries_of.get(t, ())]
+                outside = np.ones(similar.shape, dtype=bool)
+                if pairs:
+                    outside[tuple(np.array(pairs).T)] = False
+                similar[outside] = -np.inf
             least = np.partition(similar, -n, axis=0)[-n] if len(batch) > n else -np.inf
-            row, query = np.nonzero(similar >= least)
+            row, query = np.nonzero((similar >= least) & (similar > -np.inf))
             near = pd.DataFrame({"q": query, key: batch[key].to_numpy()[row], "score": similar[row, query]})
             near = near if kept is None else pd.concat([kept, near], ignore_index=True)
             kept = near.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(n)
@@ -100,16 +117,3 @@ def _keep_nearest(sent, key: str, n: int):
             yield kept.assign(query=np.array(names, dtype=object)[kept["q"]])[["query", key, "score"]]
 
     return run
-
-
-def with_table(documents: DataFrame, tables: DataFrame, n: int) -> DataFrame:
-    """(query, chunk_id, score, rank): of the documents naming the query's table, the n nearest to that name.
-
-    `tables` has (query, canonical, embedding). The match is exact: an equi-join on each table a document names.
-    """
-    named = documents.select("chunk_id", "embedding", F.explode_outer("canonical_tables").alias("canonical"))
-    asked = tables.select("query", "canonical", F.col("embedding").alias("_asked"))
-    found = salted_join(named, asked, ["canonical"], spread_by="chunk_id", how="inner")
-    score = F.coalesce(F.round(cosine(F.col("embedding"), F.col("_asked")), 12), F.lit(0.0))
-    scored = found.select("query", "chunk_id", score.alias("score"))
-    return top_per_group(scored, ["query"], [F.desc("score"), F.asc("chunk_id")], n)

@@ -51,6 +51,8 @@ UNJUDGED_NOTE = "Ranked by hybrid score only; no judgements were given."
 
 # Copies of a lookup side when the other side may be crowded on few keys.
 SALTS = 16
+# Rows of a lookup side that may be broadcast; names and words are short, so this stays within some megabytes.
+BROADCAST_ROWS = 50_000
 # Directories the stored documents and postings are split into.
 STORE_BUCKETS = 64
 # Query vectors sent to every task in one pass; more queries take more passes.

@@ -14,8 +14,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="tabletrail-")
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder, read back: later jobs start from it, whatever executors are lost."""
+def written(frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The frame as a table in the shared folder, read back: later jobs start from it, whatever executors are lost.
+
+    by: a column of few values to lay the table out by; crowded values are split over several files.
+    """
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    if by is None:
+        frame.write.parquet(path)
+    else:
+        frame.hint("rebalance", by).write.partitionBy(by).parquet(path)
     return frame.sparkSession.read.parquet(path)
