@@ -62,7 +62,8 @@ def aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=8)
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored once: a search reads them several times, as it would read a published index."""
-    return written(build_documents(aliased(spark, sf_dir)), "documents")
+    built = build_documents(aliased(spark, sf_dir))
+    return written(built.withColumn("bucket", bm25.bucket_of("chunk_id")), "documents", by="bucket")
 
 
 @lru_cache(maxsize=8)
@@ -146,7 +147,7 @@ def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Scores depend on the chunk only, so reports and graph can be checked without a search.
     """
-    docs = documents(spark, sf_dir).select("*", F.explode_outer("canonical_tables").alias("matched_canonical"))
+    docs = documents(spark, sf_dir).drop("bucket").select("*", F.explode_outer("canonical_tables").alias("matched_canonical"))
     wanted = expanded(spark, sf_dir).select("query", F.col("canonical").alias("matched_canonical")).distinct()
     scored = docs.join(wanted, "matched_canonical").select(
         "*", F.round(F.lit(1.0) / (F.length("raw_text") + F.col("line_start")), 4).alias("hybrid_score")

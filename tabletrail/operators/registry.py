@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
+from tabletrail.functions.joins import lookup_join
 from tabletrail.functions.text import name_key
 
 
@@ -55,15 +56,15 @@ def merge_registries(stored: Registry, new: Registry) -> Registry:
     )
 
 
-def _lookup(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
+def _lookup(few: DataFrame, many: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Left join of a few rows with a large table: the large side is cut to the wanted keys before it moves."""
-    return few.join(many.join(few.select(key).distinct(), key), key, "left")
+    return few.join(lookup_join(many, few.select(key).distinct(), [key], spread_by), key, "left")
 
 
 def resolve(queries: DataFrame, registry: Registry) -> DataFrame:
     """Add canonical to (query) rows; an unknown name stands for itself."""
     keyed = queries.withColumn("alias", name_key(F.col("query")))
-    found = _lookup(keyed, registry.current.select("alias", F.col("canonical").alias("_canonical")), "alias")
+    found = _lookup(keyed, registry.current.select("alias", F.col("canonical").alias("_canonical")), "alias", "alias")
     return found.withColumn("canonical", F.coalesce("_canonical", "alias")).drop("_canonical", "alias")
 
 
@@ -74,10 +75,10 @@ def aliases_of(queries: DataFrame, registry: Registry) -> DataFrame:
     """
     keyed = resolve(queries.select("query"), registry).withColumn("own", name_key(F.col("query")))
     tables = registry.names.select(F.col("canonical").alias("own"), F.lit(True).alias("_is_table")).distinct()
-    chosen = _lookup(keyed, tables, "own").select(
+    chosen = _lookup(keyed, tables, "own", "own").select(
         "query", F.when(F.col("_is_table"), F.col("own")).otherwise(F.col("canonical")).alias("canonical")
     )
-    return _lookup(chosen, registry.names, "canonical").select(
+    return _lookup(chosen, registry.names, "canonical", "alias").select(
         "query", "canonical", F.coalesce("alias", "canonical").alias("alias")
     )
 
@@ -85,16 +86,15 @@ def aliases_of(queries: DataFrame, registry: Registry) -> DataFrame:
 def expand(queries: DataFrame, registry: Registry) -> DataFrame:
     """(query, canonical, alias) rows for searching: resolve first, then all names of that table."""
     resolved = resolve(queries.select("query"), registry)
-    return _lookup(resolved, registry.names, "canonical").select(
+    return _lookup(resolved, registry.names, "canonical", "alias").select(
         "query", "canonical", F.coalesce("alias", "canonical").alias("alias")
     )
 
 
 def files_of(queries: DataFrame, registry: Registry) -> DataFrame:
     """(query, canonical, file_path) rows; an unknown table has none."""
-    return registry.files.join(resolve(queries.select("query"), registry), "canonical").select(
-        "query", "canonical", "file_path"
-    )
+    resolved = resolve(queries.select("query"), registry)
+    return lookup_join(registry.files, resolved, ["canonical"], "file_path").select("query", "canonical", "file_path")
 
 
 def all_tables(registry: Registry) -> DataFrame:
@@ -113,5 +113,5 @@ def report(registry: Registry) -> DataFrame:
 def known_tables(registry: Registry, limit: int = settings.KNOWN_TABLES) -> DataFrame:
     """The first tables by name, each with its other names."""
     first = all_tables(registry).orderBy("canonical").limit(limit)
-    names = _lookup(first, registry.names.where("alias <> canonical"), "canonical")
+    names = _lookup(first, registry.names.where("alias <> canonical"), "canonical", "alias")
     return names.groupBy("canonical").agg(F.sort_array(F.collect_set("alias")).alias("other_names"))

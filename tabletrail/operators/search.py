@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.joins import top_per_group
+from tabletrail.functions.joins import lookup_join, top_per_group
 from tabletrail.operators import bm25
+from tabletrail.sources.scratch import written
 
 
 def semantic_texts(expanded: DataFrame) -> DataFrame:
@@ -50,12 +51,15 @@ def fuse(
 def with_payload(ranked: DataFrame, documents: DataFrame, expanded: DataFrame) -> DataFrame:
     """Ranked chunks with their document, and the table and names each query stood for.
 
-    Texts join after the cut: a few rows per query meet the documents by key and store bucket.
+    Texts join after the cut. The ranked rows, a few per query, are stored first, so the ranking runs once and its
+    size is known: they go to the documents, not the documents to them. Of documents laid out in buckets only those
+    of the ranked chunks are read, STORE_BUCKETS numbers at most.
     """
     names = expanded.groupBy("query", F.col("canonical").alias("matched_canonical")).agg(
         F.sort_array(F.collect_set("alias")).alias("matched_aliases")
     )
-    keys = ["chunk_id"]
+    ranked = written(ranked, "ranked")
     if "bucket" in documents.columns:
-        ranked, keys = ranked.withColumn("bucket", bm25.bucket_of("chunk_id")), ["bucket", "chunk_id"]
-    return ranked.join(documents, keys).join(names, "query").drop("bucket")
+        buckets = [row[0] for row in ranked.select(bm25.bucket_of("chunk_id")).distinct().collect()]
+        documents = documents.where(F.col("bucket").isin(buckets)).drop("bucket")
+    return lookup_join(documents, ranked, ["chunk_id"], "chunk_id").join(names, "query")

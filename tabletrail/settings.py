@@ -53,7 +53,8 @@ UNJUDGED_NOTE = "Ranked by hybrid score only; no judgements were given."
 SALTS = 16
 # Rows of a lookup side that may be broadcast; names and words are short, so this stays within some megabytes.
 BROADCAST_ROWS = 50_000
-# Directories the stored documents and postings are split into.
+# Directories the stored documents and postings are split into; thousands suit very large indexes. It is part of the
+# stored layout: after a change, index again.
 STORE_BUCKETS = 64
 # Query vectors sent to every task in one pass; more queries take more passes.
 QUERY_VECTORS_PER_PASS = 4096
