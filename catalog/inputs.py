@@ -118,15 +118,24 @@ def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.with_table(chunk_vectors(spark, sf_dir), tables, 2 * TOP_K)
 
 
-@lru_cache(maxsize=8)
-def index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    docs = documents(spark, sf_dir)
-    postings = written(bm25.postings_of(docs).withColumn("bucket", bm25.bucket_of("term")), "postings", by="bucket")
-    sizes = written(bm25.sizes_of(docs), "sizes")
+def _stored_index(docs: DataFrame, text: str, key: str) -> bm25.Bm25Index:
+    """Postings, terms and totals as a published index holds them, each made once."""
+    postings = written(bm25.postings_of(docs, text, key).withColumn("bucket", bm25.bucket_of("term")), "postings", by="bucket")
+    sizes = written(bm25.sizes_of(docs, text), "sizes")
     counted = bm25.index_from(postings, sizes)
     return bm25.Bm25Index(postings, written(counted.terms, "terms"), written(counted.totals, "totals"))
 
 
+@lru_cache(maxsize=8)
+def index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
+    return _stored_index(documents(spark, sf_dir), "embedding_text", "chunk_id")
+
+
+@lru_cache(maxsize=8)
+def prose_index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
+    return _stored_index(spread(table(spark, sf_dir, "documents")), "text", "doc_id")
+
+
 def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = search.search_words(expanded(spark, sf_dir))
     return bm25.normalised(bm25.scores(index(spark, sf_dir), words))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.corpus import ALIAS_RULES
 from tabletrail.functions import text as T
+from tabletrail.functions.joins import top_per_group
 from tabletrail.operators import bm25, chunks as C, documents as D, graph, refs as R, registry as G, replies, report, rerank, search
 from tabletrail.operators import vectors as V
 from tabletrail.sources import scripts as S
@@ -385,7 +386,7 @@ def bm25_terms(spark, sf) -> DataFrame:
 
 def _document_scores(spark, sf) -> DataFrame:
     """Each benchmark item's text as a query against all documents."""
-    built = bm25.build_index(I.spread(I.table(spark, sf, "documents")), "text", "doc_id")
+    built = I.prose_index(spark, sf)
     items = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("term"))
     return bm25.scores(built, bm25.query_words(items), "doc_id")
 
@@ -403,8 +404,6 @@ def bm25_normalised(spark, sf) -> DataFrame:
 
 @query
 def bm25_topk(spark, sf) -> DataFrame:
-    from tabletrail.functions.joins import top_per_group
-
     scored = _document_scores(spark, sf).withColumn("score", F.round("score", 8))
     top = top_per_group(scored, ["query"], [F.desc("score"), F.asc("doc_id")], 10)
     return top.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
