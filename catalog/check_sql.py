@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from catalog.corpus import ALIAS_RULES, corpus_sql
 from catalog.inputs import TOP_K, target_names_sql
 from tabletrail import settings
@@ -140,7 +142,7 @@ CTES["shell_chunks"] = f"""
 SELECT file_path, 'shell' AS file_type, CASE WHEN bool_or(closes) THEN 'function' ELSE 'command_group' END AS chunk_type,
   {_strip(f"string_agg(line, {NL} ORDER BY i)")} AS raw_text, max(CASE WHEN begins THEN start_line END) AS line_start, max(i) AS line_end,
   block - 1 AS ord
-FROM (SELECT *, CASE WHEN closes THEN NULL END AS x FROM sh_blocks) AS b GROUP BY file_path, block
+FROM sh_blocks GROUP BY file_path, block
 UNION ALL
 SELECT file_path, 'shell', 'script', source, 1, (SELECT count(*) FROM sh_lines l WHERE l.file_path = f.file_path), 0
 FROM files f WHERE file_type = 'shell' AND file_path NOT IN (SELECT file_path FROM sh_blocks)"""
@@ -296,11 +298,11 @@ SELECT *, CASE WHEN len(operations) > 0 THEN operations[1] ELSE 'UNKNOWN' END AS
 FROM listed"""
 CTES["judged"] = """
 SELECT query, chunk_id,
-  CASE WHEN rank = first_rank AND false THEN 1.0 ELSE ((rank * 7) % 10) / 10.0 END AS relevance_score,
+  ((rank * 7) % 10) / 10.0 AS relevance_score,
   CASE WHEN rank % 3 > 0 THEN operation END AS operation,
   CASE WHEN rank % 2 > 0 THEN 'why ' || file_path END AS explanation,
   CASE WHEN rank % 5 > 0 THEN 'alias' END AS matched_via
-FROM (SELECT *, min(rank) OVER (PARTITION BY query) AS first_rank FROM results WHERE rank <= 15 AND rank % 4 <> 0) AS j"""
+FROM results WHERE rank <= 15 AND rank % 4 <> 0"""
 CTES["edges"] = """
 SELECT src, dst, arg_max(operation, (query, place)) AS operation, arg_max(lines, (query, place)) AS lines, arg_max(final_score, (query, place)) AS score FROM (
   SELECT *, CASE WHEN operation IN ('WRITE', 'CREATE', 'INSERT', 'UPDATE', 'DELETE', 'DROP') THEN 'file:' || file_name ELSE 'table:' || matched_canonical END AS src,
@@ -317,8 +319,6 @@ def _sql(final: str) -> str:
     needed: set[str] = set()
 
     def visit(text: str) -> None:
-        import re
-
         for name in re.findall(r"\b[a-z_0-9]+\b", text):
             if name in CTES and name not in needed:
                 needed.add(name)

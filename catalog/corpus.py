@@ -42,7 +42,7 @@ def _text(template: str) -> str:
                 parts.append("'" + head.replace("'", "' || chr(39) || '") + "'")
             if at < 0:
                 break
-            parts.append({"s": "s", "t": "t", "j": "j", "k": "k"}[rest[at + 1]])
+            parts.append(rest[at + 1])
             rest = rest[at + 3 :]
     return " || ".join(parts) or "''"
 
