@@ -1,4 +1,9 @@
-"""Intermediate tables that several jobs read."""
+"""Intermediate tables, written once and read by several later steps.
+
+They go to the folder that the cluster names in `spark.checkpoint.dir`, so that every executor can read them and a lost
+executor costs nothing already written. A session whose executors live in the driver's own process shares the driver's
+disk, and may do without the setting; any other session must have it.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
+
+class NoSharedFolder(RuntimeError):
+    pass
+
+
+def _setting(spark: SparkSession) -> str | None:
+    given = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not given:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        given = held.get() if held.isDefined() else None
+    return given
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one where none is named, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="tabletrail-")
+    """This application's folder for intermediate tables."""
+    given = _setting(spark)
+    if not given:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise NoSharedFolder(f"set {SETTING} to a folder that the driver and all executors share")
+        given = tempfile.mkdtemp(prefix="tabletrail-")
+        spark.conf.set(SETTING, given)
+    return f"{given.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
 def written(frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -25,3 +50,12 @@ def written(frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
     else:
         frame.hint("rebalance", by).write.partitionBy(by).parquet(path)
     return frame.sparkSession.read.parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Results that still read them must have been consumed."""
+    if not _setting(spark):
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
