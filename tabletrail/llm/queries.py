@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import quality
+from tabletrail.llm import packing, quality
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -21,3 +22,12 @@ def op3_quality_rules(spark, sf_dir) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_probability"
     )
+
+
+def bpe_files() -> tuple[str, str]:
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op8_packing(spark, sf_dir) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *bpe_files())
