@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import packing, quality
+from tabletrail.llm import packing, quality, toxicity
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -31,3 +31,8 @@ def bpe_files() -> tuple[str, str]:
 @query
 def op8_packing(spark, sf_dir) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *bpe_files())
+
+
+@query
+def op10_toxicity(spark, sf_dir) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -20,8 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _IS_SPACE = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(SPACES, np.uint8))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def words_of(part: Slice, lower: bool = True) -> Words:
-    data = _LOWER[part.data] if lower else part.data
+    data = LOWER[part.data] if lower else part.data
     inside = ~_IS_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[part.offsets] = True
