@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import packing, quality, toxicity
+from tabletrail.llm import html_text, packing, quality, toxicity
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -28,6 +28,11 @@ def bpe_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@query
+def op4_html_text(spark, sf_dir) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_packing(spark, sf_dir) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *bpe_files())
