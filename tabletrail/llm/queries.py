@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import html_text, packing, quality, toxicity
+from tabletrail.llm import containment, html_text, packing, quality, token_counts, toxicity
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -33,6 +33,17 @@ def op4_html_text(spark, sf_dir) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_benchmark_containment(spark, sf_dir) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_token_counts(spark, sf_dir) -> DataFrame:
+    vocabulary = token_counts.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.counted(table(spark, sf_dir, "documents"), vocabulary)
+
+
 @query
 def op8_packing(spark, sf_dir) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *bpe_files())

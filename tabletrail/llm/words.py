@@ -149,8 +149,8 @@ def shingles_of(words: Words, size: int = SHINGLE_WORDS) -> Shingles:
     run = grams(words.hashes, size)
     out = run[np.minimum(at, max(len(run) - 1, 0))] if len(run) else np.zeros(len(at), np.uint64)
     for i in np.flatnonzero(~long & (counts > 0)):
-        total = np.uint64(0)
-        for h in words.hashes[words.first[i] : words.first[i + 1]]:
-            total = mix(total * _STEP + h + np.uint64(counts[i]))
-        out[first[i]] = mix(total + np.uint64(0x5851F42D4C957F2D))
+        total = np.full(1, 0x5851F42D4C957F2D, np.uint64)
+        for j in range(words.first[i], words.first[i + 1]):
+            total = mix(total * _STEP + words.hashes[j : j + 1] + counts[i : i + 1].astype(np.uint64))
+        out[first[i]] = total[0]
     return Shingles(out, first)
