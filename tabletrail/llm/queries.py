@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import containment, html_text, packing, quality, token_counts, toxicity
+from tabletrail.llm import containment, html_text, near_copies, packing, quality, token_counts, toxicity
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op4_html_text(spark, sf_dir) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+@query
+def op5_minhash_near_copies(spark, sf_dir) -> DataFrame:
+    return near_copies.linked(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_benchmark_containment(spark, sf_dir) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
