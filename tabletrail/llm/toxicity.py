@@ -194,11 +194,13 @@ def _text_stems(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _counted(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
-    """(stem, n): texts that hold each stem, pre-aggregated in the task; of `among` only, if given."""
+    """(stem, n): texts that hold each stem, pre-aggregated in the task; of `among` (sorted) only, if given."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [s if among is None else s[np.isin(s, among)] for s in _text_stems(batch.column(0))]
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        found = np.concatenate(list(_text_stems(batch.column(0))))
+        if among is not None:
+            found = found[among[np.minimum(np.searchsorted(among, found), len(among) - 1)] == found]
+        keys, n = np.unique(found, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["stem", "n"])
 
     return by_batch(rows.select("text"), work, "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n"))
