@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import containment, html_text, language_model, near_copies, packing, quality, token_counts, toxicity
+from tabletrail.llm import containment, html_text, language_model, near_copies, packing, quality, repeats, token_counts, toxicity
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -59,6 +59,11 @@ def op8_packing(spark, sf_dir) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *bpe_files())
 
 
+@query
+def op9_suffix_repeats(spark, sf_dir) -> DataFrame:
+    return repeats.summaries(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_toxicity(spark, sf_dir) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
