@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import containment, html_text, language_model, near_copies, packing, quality, repeats, token_counts, toxicity
+from tabletrail.llm import compact_windows, containment, html_text, language_model, near_copies, packing, quality, repeats, token_counts, toxicity
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
@@ -17,6 +17,11 @@ def query(f):
     return f
 
 
+@query
+def op1_compact_windows(spark, sf_dir) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_kneser_ney(spark, sf_dir) -> DataFrame:
     return language_model.scored(table(spark, sf_dir, "documents"))

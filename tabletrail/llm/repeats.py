@@ -228,10 +228,13 @@ def _pieces(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
             order = np.lexsort((single["start"], single["doc"], single["route"]))
             single, at = single[order], at[order]
             first = np.concatenate([[True], single["route"][1:] != single["route"][:-1]])
-            spans = np.empty((~first).sum(), _SPAN)
+            head = single[np.maximum.accumulate(np.where(first, np.arange(len(single)), 0))]
+            other = (single["doc"] != head["doc"]) | (single["start"] != head["start"])
+            spans = np.empty(other.sum(), _SPAN)
             for name in _SPAN.names:
-                spans[name] = single[name][~first]
-            _blocks((mix(spans["doc"].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), _merged(spans), 1, folder)
+                spans[name] = single[name][other]
+            spans = _merged(spans)
+            _blocks((mix(spans["doc"].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), spans, 1, folder)
             rows, source = np.concatenate([rows[~crowd], single[first]]), np.concatenate([source[~crowd], at[first]])
         shard = (mix(rows["route"]) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
