@@ -209,7 +209,7 @@ FROM chunks c LEFT JOIN (
           row_number() OVER (PARTITION BY chunk_id, ref_type ORDER BY ord) = 1 AS new_op FROM aliased) AS a
   GROUP BY chunk_id) AS l USING (chunk_id)"""
 CTES["docs"] = f"""
-SELECT *, '[CODE]' || {NL} || raw_text[1:3000] || {NL} || {NL} || '[ENTITIES]' || {NL}
+SELECT *, '[CODE]' || {NL} || raw_text || {NL} || {NL} || '[ENTITIES]' || {NL}
   || CASE WHEN len(canonical_tables) > 0 THEN 'Tables referenced: ' || array_to_string(canonical_tables, ', ') || {NL} ELSE '' END
   || CASE WHEN len(aliases_used) > 0 THEN 'Aliases used in code: ' || array_to_string(aliases_used, ', ') || {NL} ELSE '' END
   || CASE WHEN len(operations) > 0 THEN 'Operations: ' || array_to_string(operations, ', ') || {NL} ELSE '' END
@@ -290,7 +290,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DE
 CTES["listed"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hybrid_score DESC, chunk_id) AS rank FROM (
   SELECT r.query, r.canonical AS matched_canonical, d.*, round(1.0 / (length(raw_text) + line_start), 4) AS hybrid_score
-  FROM docs d JOIN resolved r ON list_contains(d.canonical_tables, r.canonical)) AS l) AS m WHERE rank <= 200"""
+  FROM docs d JOIN resolved r ON list_contains(d.canonical_tables, r.canonical)) AS l) AS m"""
 CTES["results"] = """
 SELECT *, CASE WHEN len(operations) > 0 THEN operations[1] ELSE 'UNKNOWN' END AS operation,
   CASE WHEN len(aliases_used) > 0 THEN 'alias' ELSE 'direct' END AS matched_via, hybrid_score AS final_score, rank AS place,
@@ -304,14 +304,14 @@ SELECT query, chunk_id,
   CASE WHEN rank % 5 > 0 THEN 'alias' END AS matched_via
 FROM results WHERE rank <= 15 AND rank % 4 <> 0"""
 CTES["edges"] = """
-SELECT src, dst, arg_max(operation, (query, place)) AS operation, arg_max(lines, (query, place)) AS lines, arg_max(final_score, (query, place)) AS score FROM (
+SELECT src, dst, arg_max(operation, (query, -final_score, chunk_id)) AS operation, arg_max(lines, (query, -final_score, chunk_id)) AS lines, arg_max(final_score, (query, -final_score, chunk_id)) AS score FROM (
   SELECT *, CASE WHEN operation IN ('WRITE', 'CREATE', 'INSERT', 'UPDATE', 'DELETE', 'DROP') THEN 'file:' || file_name ELSE 'table:' || matched_canonical END AS src,
     CASE WHEN operation IN ('WRITE', 'CREATE', 'INSERT', 'UPDATE', 'DELETE', 'DROP') THEN 'table:' || matched_canonical ELSE 'file:' || file_name END AS dst,
     line_start || '-' || line_end AS lines FROM results) AS e GROUP BY src, dst"""
 CTES["nodes"] = """
 SELECT DISTINCT 'table:' || matched_canonical AS id, 'table' AS node_type, matched_canonical AS label, CAST(NULL AS VARCHAR) AS full_path, CAST(NULL AS VARCHAR) AS file_type FROM results
 UNION ALL
-SELECT 'file:' || file_name, 'file', file_name, arg_min(file_path, (query, place)), arg_min(file_type, (query, place)) FROM results GROUP BY file_name"""
+SELECT 'file:' || file_name, 'file', file_name, arg_min(file_path, (query, -final_score, chunk_id)), arg_min(file_type, (query, -final_score, chunk_id)) FROM results GROUP BY file_name"""
 
 
 def _sql(final: str) -> str:
@@ -344,8 +344,10 @@ def _ref_rows(kind: str) -> str:
 
 _PROSE = "SELECT doc_id, text || ' from ' || lang || ' join \"X\".[' || source || ']' AS txt FROM documents"
 _PROSE_FOUND = _found({("sql", 0): FOUND["sql", 0]}, "txt", "doc_id", f"({_PROSE}) AS t", gate=False).replace(r"\b", r"(?:^|[^\p{L}\p{N}_])")
-_SEMI = f"""SELECT '/d/' || doc_id || '.sql' AS file_path, '''' || translate(text, chr(39) || '"`$', '') || ' ; ;' || {NL} || {NL} || 'end' AS source FROM documents"""
-_OPEN = f"""SELECT '/d/' || doc_id || '.py' AS file_path, translate(text, chr(39) || '"()[]{{}}#', '') || {NL} || '(' AS source FROM documents"""
+_PAIRS = """'(?s:\\$\\$.*?\\$\\$)|"[^"]*"|' || chr(39) || '[^' || chr(39) || ']*' || chr(39) || '|`[^`]*`'"""
+_SEMI = f"""SELECT '/d/' || doc_id || '.sql' AS file_path, text || ' ; ;' || {NL} || {NL} || 'end' || CASE
+  WHEN regexp_matches(regexp_replace(text, {_PAIRS}, '', 'g'), '["`' || chr(39) || ']') THEN '' ELSE chr(39) END AS source FROM documents"""
+_OPEN = f"""SELECT '/d/' || doc_id || '.py' AS file_path, text || {NL} || '(' AS source FROM documents"""
 _LISTING_NAMES = "SELECT query, array_to_string(list_sort(list(DISTINCT alias) FILTER (alias <> canonical)), ',') AS other_names FROM expanded GROUP BY query"
 
 _FINAL: dict[str, str] = {
@@ -395,7 +397,7 @@ _FINAL: dict[str, str] = {
     "alias_rules": "SELECT raw, canonical, ref_type, count(*) AS n FROM aliased GROUP BY raw, canonical, ref_type",
     "alias_rules_by_table": "SELECT raw, canonical, ref_type, count(*) AS n FROM aliased GROUP BY raw, canonical, ref_type",
     "prompt_inputs": f"""SELECT chunk_id, md5('File: ' || file_path || {NL} || 'Type: ' || file_type || {NL} || 'Lines: ' || line_start || '-' || line_end
-        || {NL} || {NL} || 'Code:' || {NL} || raw_text[1:4000]) AS prompt_md5 FROM chunks WHERE length({_strip('raw_text')}) >= 10""",
+        || {NL} || {NL} || 'Code:' || {NL} || raw_text) AS prompt_md5 FROM chunks WHERE length({_strip('raw_text')}) >= 10""",
     "reply_parse": """SELECT chunk_id, ord, raw, CASE WHEN k < 2 AND ref_type <> 'DROP' THEN 'c_' || raw END AS canonical,
         CASE WHEN k < 2 THEN ref_type ELSE 'UNKNOWN' END AS ref_type, CASE WHEN k < 2 THEN 'high' ELSE 'low' END AS confidence
         FROM (SELECT r.*, length(c.raw_text) % 6 AS k FROM refs r JOIN chunks c USING (chunk_id)) AS t WHERE k IN (0, 1, 4)""",
@@ -421,12 +423,12 @@ _FINAL: dict[str, str] = {
         FROM names GROUP BY canonical ORDER BY canonical LIMIT 30""",
     "doc_entities": "SELECT chunk_id, array_to_string(canonical_tables, '|') AS canonical_tables, array_to_string(aliases_used, '|') AS aliases_used, array_to_string(operations, '|') AS operations FROM docs",
     "doc_text": "SELECT chunk_id, embedding_text FROM docs",
-    "meta_codec": f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '~' || source || '|x~' || text[1:20] WHEN 1 THEN lang || '~' || source || '~z' WHEN 2 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS joined,
+    "meta_codec": f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '~' || source || '|x~' || text WHEN 1 THEN lang || '~' || source || '~z' WHEN 2 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS joined,
         CAST(CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS n FROM documents""",
-    "code_recovery": f"SELECT chunk_id, {_strip('raw_text[1:3000]')} AS code FROM chunks",
+    "code_recovery": f"SELECT chunk_id, {_strip('raw_text')} AS code FROM chunks",
     "upsert_by_key": """SELECT chunk_id, CASE WHEN chunk_id LIKE '/repo/core/%' THEN 'new ' || chunk_type ELSE chunk_type END AS chunk_type FROM chunks
         UNION ALL SELECT '/repo/new#' || count(*), 'new' FROM chunks""",
-    "query_clean": f"SELECT doc_id, {_strip('t[1:200]')} AS cleaned FROM (SELECT doc_id, regexp_replace(' ;' || text, '[^\\p{{L}}\\p{{N}}_\\s.-]', '', 'g') AS t FROM documents) AS c",
+    "query_clean": f"SELECT doc_id, {_strip('t')} AS cleaned FROM (SELECT doc_id, regexp_replace(' ;' || text, '[^\\p{{L}}\\p{{N}}_\\s.-]', '', 'g') AS t FROM documents) AS c",
     "token_counts": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) AS t GROUP BY term",
     "bm25_postings": "SELECT term, doc_id, tf, dl FROM d_tf",
     "bm25_terms": "SELECT term, df, round(idf, 6) AS idf FROM d_idf",
@@ -444,7 +446,7 @@ _FINAL: dict[str, str] = {
     "hybrid_hits": """SELECT f.query, f.rank, f.chunk_id, d.file_path, r.canonical AS matched_canonical,
         (SELECT array_to_string(list_sort(list(alias)), ',') FROM expanded e WHERE e.query = f.query) AS matched_aliases
         FROM fused f JOIN docs d USING (chunk_id) JOIN resolved r USING (query)""",
-    "snippets": f"""SELECT query, rank - 1 AS pos, chunk_id, file_path AS file, line_start || '-' || line_end AS lines, file_type AS type, {_strip('raw_text[1:3000]')}[1:800] AS code_excerpt
+    "snippets": f"""SELECT query, rank - 1 AS pos, chunk_id, file_path AS file, line_start || '-' || line_end AS lines, file_type AS type, {_strip('raw_text')} AS code_excerpt
         FROM results WHERE rank <= 15""",
     "judgement_parse": "SELECT query, chunk_id, relevance_score, operation, explanation, matched_via FROM judged",
     "rerank_scores": """SELECT query, chunk_id, llm_score, operation, explanation, matched_via, final_score,
@@ -454,21 +456,21 @@ _FINAL: dict[str, str] = {
           FROM results r LEFT JOIN judged j USING (query, chunk_id) WHERE r.rank <= 15) AS s WHERE llm_score >= 0.25""",
     "rerank_missing": """SELECT query, chunk_id, coalesce(j.operation, 'UNKNOWN') AS operation, coalesce(j.matched_via, 'direct') AS matched_via, round(0.4 * hybrid_score, 4) AS final_score
         FROM results r LEFT JOIN judged j USING (query, chunk_id) WHERE r.rank <= 15 AND coalesce(j.relevance_score, 0) = 0""",
-    "fallback_rank": "SELECT query, chunk_id, operation, matched_via, final_score, place FROM results",
+    "fallback_rank": "SELECT query, chunk_id, operation, matched_via, final_score FROM results",
     "fallback_rank_per_table": """SELECT r.query, r.chunk_id, arg_min(a.ref_type, a.ord) AS operation, CASE WHEN bool_or(a.raw <> a.canonical) THEN 'alias' ELSE 'direct' END AS matched_via
         FROM results r JOIN aliased a ON a.chunk_id = r.chunk_id AND a.canonical = r.matched_canonical GROUP BY r.query, r.chunk_id""",
     "file_report": """SELECT query, max(file_name) AS script, array_to_string(list_sort(list(DISTINCT operation)), ' + ') AS operations,
         CASE WHEN bool_or(matched_via = 'alias') THEN 'alias' ELSE 'direct' END AS matched_via,
         CASE WHEN len(flatten(list(aliases_used))) = 0 THEN '—' ELSE array_to_string(list_sort(list_distinct(flatten(list(aliases_used)))), ', ') END AS aliases_used,
         round(max(final_score), 3) AS relevance_score, file_path AS full_path FROM results GROUP BY query, file_path""",
-    "file_chunks": "SELECT query, file_path, string_agg(chunk_id, '|' ORDER BY line_start, place) AS chunk_ids FROM results GROUP BY query, file_path",
+    "file_chunks": "SELECT query, file_path, string_agg(chunk_id, '|' ORDER BY line_start, final_score DESC, chunk_id) AS chunk_ids FROM results GROUP BY query, file_path",
     "script_count": f"""SELECT r.query, r.matched_canonical, coalesce(max(n.other_names), '') AS other_names, count(DISTINCT r.file_path) AS script_count
         FROM results r JOIN ({_LISTING_NAMES}) AS n USING (query) GROUP BY r.query, r.matched_canonical""",
-    "chunk_detail": f"""SELECT query, file_path, chunk_id, operation, 'lines ' || line_start || '–' || line_end AS lines, '{settings.UNJUDGED_NOTE}'[1:90] AS explanation,
-        {_strip('raw_text[1:3000]')}[1:2000] AS code, CASE file_type WHEN 'shell' THEN 'bash' ELSE file_type END AS language FROM results""",
+    "chunk_detail": f"""SELECT query, file_path, chunk_id, operation, 'lines ' || line_start || '–' || line_end AS lines, '{settings.UNJUDGED_NOTE}' AS explanation,
+        {_strip('raw_text')} AS code, CASE file_type WHEN 'shell' THEN 'bash' ELSE file_type END AS language FROM results""",
     "graph_nodes": "SELECT id, node_type, label, full_path, file_type FROM nodes",
     "graph_edges": "SELECT src, dst, operation, lines, score FROM edges",
-    "graph_edges_by_path": """SELECT src, dst, operation, arg_max(lines, (query, place)) AS lines, arg_max(final_score, (query, place)) AS score FROM (
+    "graph_edges_by_path": """SELECT src, dst, operation, arg_max(lines, (query, -final_score, chunk_id)) AS lines, arg_max(final_score, (query, -final_score, chunk_id)) AS score FROM (
         SELECT *, CASE WHEN operation IN ('WRITE', 'CREATE', 'INSERT', 'UPDATE', 'DELETE', 'DROP') THEN 'file:' || file_path ELSE 'table:' || matched_canonical END AS src,
           CASE WHEN operation IN ('WRITE', 'CREATE', 'INSERT', 'UPDATE', 'DELETE', 'DROP') THEN 'table:' || matched_canonical ELSE 'file:' || file_path END AS dst,
           line_start || '-' || line_end AS lines FROM results) AS e GROUP BY src, dst, operation""",

@@ -164,9 +164,17 @@ def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored
 
 
-def listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = top_per_group(
-        table_listing(spark, sf_dir), ["query"], [F.desc("hybrid_score"), F.asc("chunk_id")], 200
-    )
+def _with_names(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     names = expanded(spark, sf_dir).groupBy("query").agg(F.sort_array(F.collect_set("alias")).alias("matched_aliases"))
-    return unjudged(top.join(names, "query"))
+    return hits.join(names, "query")
+
+
+def listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the listing as an unjudged result."""
+    return unjudged(_with_names(spark, sf_dir, table_listing(spark, sf_dir)))
+
+
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first TOP_K rows of each query, ranked: what a reader would have judged."""
+    top = top_per_group(table_listing(spark, sf_dir), ["query"], [F.desc("hybrid_score"), F.asc("chunk_id")], TOP_K)
+    return _with_names(spark, sf_dir, top)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
@@ -72,12 +72,18 @@ def shell_groups(spark, sf) -> DataFrame:
     return _chunk_rows(spark, sf, "shell")
 
 
+def open_quote(text: Column) -> Column:
+    """What to append so that a quote stays open: nothing if the text leaves one open itself."""
+    rest = F.regexp_replace(text, r"""\$\$[\s\S]*?\$\$|"[^"]*"|'[^']*'|`[^`]*`""", "")
+    return F.when(rest.rlike("[\"'`]"), "").otherwise("'")
+
+
 @query
 def semicolon_split(spark, sf) -> DataFrame:
     """Documents as SQL files with a quote left open: all of them are cut at semicolons."""
     docs = I.table(spark, sf, "documents").select(
         F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".sql")).alias("file_path"),
-        F.concat(F.lit("'"), F.translate("text", "'\"`$", ""), F.lit(" ; ;\n\nend")).alias("source"),
+        F.concat("text", F.lit(" ; ;\n\nend"), open_quote(F.col("text"))).alias("source"),
     )
     return C.split_scripts(docs).select(
         "file_path", "chunk_type", "raw_text", F.col("line_start").cast("bigint").alias("line_start"),
@@ -90,7 +96,7 @@ def line_blocks(spark, sf) -> DataFrame:
     """Documents as Python files with a bracket left open: all become blocks of 30 lines."""
     docs = I.table(spark, sf, "documents").select(
         F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
-        F.concat(F.translate("text", "'\"()[]{}#", ""), F.lit("\n(")).alias("source"),
+        F.concat("text", F.lit("\n(")).alias("source"),
     )
     return C.split_scripts(docs).select(
         "file_path", "chunk_type", "raw_text", F.col("line_start").cast("bigint").alias("line_start"),
@@ -332,7 +338,7 @@ def doc_text(spark, sf) -> DataFrame:
 def meta_codec(spark, sf) -> DataFrame:
     """Lists written as JSON and read back, and the two older forms."""
     docs = I.table(spark, sf, "documents")
-    words = F.array(F.col("lang"), F.concat("source", F.lit("|x")), F.substring("text", 1, 20))
+    words = F.array(F.col("lang"), F.concat("source", F.lit("|x")), F.col("text"))
     stored = (
         F.when(F.col("doc_id") % 4 == 0, T.encode_list(words))
         .when(F.col("doc_id") % 4 == 1, F.concat("lang", F.lit(" | "), "source", F.lit("||z ")))
@@ -481,7 +487,7 @@ def text_vector_topk(spark, sf) -> DataFrame:
 
 @query
 def snippets(spark, sf) -> DataFrame:
-    rows = replies.judgement_inputs(I.listing_results(spark, sf))
+    rows = replies.judgement_inputs(I.first_hits(spark, sf), limit=15)
     items = F.from_json("snippets", "array<struct<chunk_id:string,file:string,lines:string,type:string,code_excerpt:string>>")
     return rows.select("query", F.posexplode(items)).select("query", F.col("pos").cast("bigint").alias("pos"), "col.*")
 
@@ -501,7 +507,7 @@ def _judge_replies(spark, sf) -> DataFrame:
             )
         ).alias("json"),
     )
-    rows = I.listing_results(spark, sf).where("rank <= 15 AND rank % 4 <> 0")
+    rows = rerank.unjudged(I.first_hits(spark, sf)).where("rank <= 15 AND rank % 4 <> 0")
     lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(item)).alias("all"))
     first = F.concat(F.lit('{"chunk_id": "'), F.get_json_object(F.element_at("all", 1)["json"], "$.chunk_id"), F.lit('", "relevance_score": 1.0}'))
     body = F.array_join(F.concat(F.array(first), F.transform("all", lambda x: x["json"])), ",")
@@ -515,8 +521,7 @@ def judgement_parse(spark, sf) -> DataFrame:
 
 @query
 def rerank_scores(spark, sf) -> DataFrame:
-    hits = I.listing_results(spark, sf).drop("llm_score", "operation", "explanation", "matched_via", "final_score", "place")
-    return rerank.judged(hits, replies.parse_judgements(_judge_replies(spark, sf)), min_score=0.25).select(
+    return rerank.judged(I.first_hits(spark, sf), replies.parse_judgements(_judge_replies(spark, sf)), min_score=0.25, limit=15).select(
         "query", "chunk_id", "llm_score", "operation", "explanation", "matched_via", "final_score",
         F.col("place").cast("bigint").alias("place"),
     )
@@ -525,21 +530,18 @@ def rerank_scores(spark, sf) -> DataFrame:
 @query
 def rerank_missing(spark, sf) -> DataFrame:
     """Hits without judgements score 0: at cut 0 they stay."""
-    hits = I.listing_results(spark, sf).drop("llm_score", "operation", "explanation", "matched_via", "final_score", "place")
-    kept = rerank.judged(hits, replies.parse_judgements(_judge_replies(spark, sf)), min_score=0.0)
+    kept = rerank.judged(I.first_hits(spark, sf), replies.parse_judgements(_judge_replies(spark, sf)), min_score=0.0, limit=15)
     return kept.where("llm_score = 0").select("query", "chunk_id", "operation", "matched_via", "final_score")
 
 
 @query
 def fallback_rank(spark, sf) -> DataFrame:
-    return I.listing_results(spark, sf).select(
-        "query", "chunk_id", "operation", "matched_via", "final_score", F.col("place").cast("bigint").alias("place")
-    )
+    return I.listing_results(spark, sf).select("query", "chunk_id", "operation", "matched_via", "final_score")
 
 
 @query
 def fallback_rank_per_table(spark, sf) -> DataFrame:
-    hits = I.listing_results(spark, sf).drop("llm_score", "operation", "explanation", "matched_via", "final_score", "place")
+    hits = I.listing_results(spark, sf).drop("llm_score", "operation", "explanation", "matched_via", "final_score")
     return rerank.unjudged(hits, per_table=True).select("query", "chunk_id", "operation", "matched_via")
 
 

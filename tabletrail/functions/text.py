@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabletrail import settings
-
 # What Python's str.strip() removes. Spark's trim() alone removes spaces only.
 WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
@@ -52,9 +50,9 @@ def tokens(c: Column) -> Column:
     return find_all(F.lower(c), WORD + "+")
 
 
-def clean_query(c: Column) -> Column:
+def clean_query(c: Column, chars: int | None = None) -> Column:
     kept = F.regexp_replace(c, r"[^\p{L}\p{N}_\s\-.]", "")
-    return strip(F.substring(kept, 1, settings.QUERY_CHARS))
+    return strip(kept if chars is None else F.substring(kept, 1, chars))
 
 
 def folder_list(c: Column) -> Column:

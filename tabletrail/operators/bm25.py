@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.joins import lookup_join, salted_join
+from tabletrail.functions.joins import lookup_join
 from tabletrail.functions.text import tokens
 
 
@@ -90,9 +90,10 @@ def scores(index: Bm25Index, words: DataFrame, key: str = "chunk_id") -> DataFra
     return found.groupBy("query", key).agg(F.sum(part).alias("score"))
 
 
-def normalised(scored: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Scores divided by the query's best one; what stays at or below the cut is dropped."""
+def normalised(scored: DataFrame, key: str = "chunk_id", cut: float = settings.BM25_CUT) -> DataFrame:
+    """Scores divided by the query's best one; what stays at or below the cut is dropped. The best scores are a row per query and
+    go to the scores, which are not moved, unless the queries are too many for that."""
     best = scored.groupBy("query").agg(F.max("score").alias("_best"))
-    joined = salted_join(scored, best, ["query"], spread_by=key)
+    joined = lookup_join(scored, best, ["query"], spread_by=key)
     share = F.col("score") / F.when(F.col("_best") > 0, F.col("_best")).otherwise(1.0)
-    return joined.select("query", key, share.alias("score")).where(F.col("score") > settings.BM25_CUT)
+    return joined.select("query", key, share.alias("score")).where(F.col("score") > cut)

@@ -64,6 +64,6 @@ def caption() -> Column:
     )
 
 
-def is_extractable() -> Column:
+def is_extractable(least: int = settings.MIN_CHUNK_CHARS) -> Column:
     """Shorter chunks are indexed, but not searched for table names."""
-    return F.length(strip(F.col("raw_text"))) >= settings.MIN_CHUNK_CHARS
+    return F.length(strip(F.col("raw_text"))) >= least

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletrail import settings
-from tabletrail.functions.text import encode_list, name_key
+from tabletrail.functions.text import name_key
 from tabletrail.operators.refs import REF
 
 LISTS = ["canonical_tables", "aliases_used", "operations"]
@@ -60,16 +59,10 @@ def document_text() -> Column:
         F.concat(F.lit("File: "), "file_path", F.lit(", lines "), "line_start", F.lit("-"), "line_end"),
         F.concat(F.lit("Language: "), "file_type", F.lit(", block type: "), "chunk_type"),
     )
-    code = F.substring("raw_text", 1, settings.DOCUMENT_CODE_CHARS)
-    return F.concat(F.lit("[CODE]\n"), code, F.lit("\n\n[ENTITIES]\n"), entities)
+    return F.concat(F.lit("[CODE]\n"), F.col("raw_text"), F.lit("\n\n[ENTITIES]\n"), entities)
 
 
 def build_documents(chunks_with_refs: DataFrame) -> DataFrame:
     """One document per chunk, inside its own row. The lists stay arrays; refs come last."""
     out = add_lists(chunks_with_refs)
     return out.withColumn("embedding_text", document_text()).select(*DOCUMENT_COLUMNS, "refs")
-
-
-def encoded_lists(documents: DataFrame) -> DataFrame:
-    """The lists as JSON text, for stores that hold scalars only."""
-    return documents.withColumns({name: encode_list(F.col(name)) for name in LISTS})

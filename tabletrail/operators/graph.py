@@ -15,7 +15,7 @@ def _ends(results: DataFrame, by_path: bool) -> DataFrame:
         "*",
         F.concat(F.lit("table:"), "matched_canonical").alias("table_id"),
         F.concat(F.lit("file:"), name).alias("file_id"),
-        F.struct("query", "place").alias("_order"),
+        F.struct("query", (-F.col("final_score")).alias("_by"), "chunk_id").alias("_order"),
     )
 
 

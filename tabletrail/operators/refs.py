@@ -162,10 +162,10 @@ def ref_rows(chunks_with_refs: DataFrame) -> DataFrame:
 
 def name_aliases(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Set canonical from a short alias list such as [("cust_tab", "customer")], inside the row."""
-    if len(rules) > settings.INLINE_RULES:
-        raise ValueError("too many rules for literals; use name_aliases_by_table")
     if not rules:
         return chunks_with_refs
+    if len(rules) > settings.INLINE_RULES:
+        return _name_many(chunks_with_refs, rules)
     table = F.create_map(*[F.lit(value.lower()) for pair in dict(rules).items() for value in pair])
     canonical = lambda ref: F.coalesce(F.try_element_at(table, ref["raw"]), ref["canonical"])
     return chunks_with_refs.withColumn(
@@ -173,6 +173,17 @@ def name_aliases(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> D
     )
 
 
+def _name_many(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """A rule list too long for literals travels as a table: names join it, and come back to their chunk as an array."""
+    spark = chunks_with_refs.sparkSession
+    table = spark.createDataFrame(list(dict(rules).items()), "alias string, canonical string")
+    named = name_aliases_by_table(chunks_with_refs.select("chunk_id", F.inline_outer("refs")).where("raw IS NOT NULL"), table)
+    fields = F.struct("ord", "raw", "canonical", "ref_type", "confidence")
+    grouped = named.groupBy("chunk_id").agg(F.sort_array(F.collect_list(fields)).alias("_refs"))
+    joined = chunks_with_refs.join(grouped, "chunk_id", "left")
+    return joined.withColumn("refs", F.coalesce(F.col("_refs").cast(f"array<{REF}>"), "refs")).drop("_refs")
+
+
 def name_aliases_by_table(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for reference rows and a rules(alias, canonical) table of any size."""
     known = rules.select(F.lower("alias").alias("raw"), F.lower("canonical").alias("_canonical"))

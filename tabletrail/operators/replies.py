@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletrail import settings
-from tabletrail.functions.text import code_of, is_json_group, unfence
+from tabletrail.functions.text import is_json_group, strip, unfence
 from tabletrail.operators.chunks import is_extractable
 
 REPLY_SCHEMA = "chunk_id string, reply string, error string"
@@ -25,12 +24,13 @@ def _items(reply: Column, fields: str) -> Column:
     return F.when(valid, F.from_json(text, f"array<struct<{fields}>>"))
 
 
-def extraction_inputs(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, prompt) for chunks long enough to name a table; the code is cut to a fixed length."""
+def extraction_inputs(chunks: DataFrame, code_chars: int | None = None) -> DataFrame:
+    """(chunk_id, prompt) for chunks long enough to name a table; with `code_chars` the code is cut to that length."""
+    code = F.col("raw_text") if code_chars is None else F.substring("raw_text", 1, code_chars)
     prompt = F.concat(
         F.lit("File: "), "file_path", F.lit("\nType: "), "file_type",
         F.lit("\nLines: "), "line_start", F.lit("-"), "line_end",
-        F.lit("\n\nCode:\n"), F.substring("raw_text", 1, settings.PROMPT_CODE_CHARS),
+        F.lit("\n\nCode:\n"), code,
     )
     return chunks.where(is_extractable()).select("chunk_id", prompt.alias("prompt"))
 
@@ -87,8 +87,10 @@ def refs_with_fallback(replies: DataFrame, chunks_with_refs: DataFrame) -> DataF
     return parse_references(replies.where("error IS NULL")).unionByName(by_pattern)
 
 
-def judgement_inputs(hits: DataFrame, limit: int = settings.JUDGED_HITS) -> DataFrame:
-    """(query, snippets): the first hits of each query as one JSON text, at most `limit` of them."""
+def judgement_inputs(hits: DataFrame, limit: int | None = None, code_chars: int | None = None) -> DataFrame:
+    """(query, snippets): the ranked hits of each query, at most `limit` if given, as one JSON text. Their code is whole
+    unless `code_chars` is given."""
+    code = strip(F.col("raw_text"))
     snippet = F.struct(
         "rank",
         F.struct(
@@ -96,10 +98,11 @@ def judgement_inputs(hits: DataFrame, limit: int = settings.JUDGED_HITS) -> Data
             F.col("file_path").alias("file"),
             F.concat("line_start", F.lit("-"), "line_end").alias("lines"),
             F.col("file_type").alias("type"),
-            F.substring(code_of(F.col("embedding_text")), 1, settings.SNIPPET_CODE_CHARS).alias("code_excerpt"),
+            (code if code_chars is None else F.substring(code, 1, code_chars)).alias("code_excerpt"),
         ).alias("item"),
     )
-    listed = hits.where(F.col("rank") <= limit).groupBy("query").agg(F.sort_array(F.collect_list(snippet)).alias("_all"))
+    first = hits if limit is None else hits.where(F.col("rank") <= limit)
+    listed = first.groupBy("query").agg(F.sort_array(F.collect_list(snippet)).alias("_all"))
     return listed.select("query", F.to_json(F.transform("_all", lambda s: s["item"])).alias("snippets"))
 
 

@@ -1,23 +1,22 @@
-"""Results as one row per script, and as detail rows. A query's results are few: they were cut before."""
+"""Results as one row per script, and as detail rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletrail import settings
-from tabletrail.functions.text import base_name, code_of, strip
+from tabletrail.functions.text import base_name, strip
 
 
 def group_by_file(results: DataFrame) -> DataFrame:
     """(query, file_path) groups: operations, best score, way of matching, names used, chunks by line."""
-    chunk = F.struct("line_start", "place", "chunk_id", "line_end", "operation", "final_score")
+    chunk = F.struct("line_start", (-F.col("final_score")).alias("_by"), "chunk_id", "line_end", "operation", "final_score")
     grouped = results.groupBy("query", "file_path").agg(
         F.min("file_type").alias("file_type"),
         F.sort_array(F.collect_set("operation")).alias("operations"),
         F.greatest(F.max("final_score"), F.lit(0.0)).alias("best_score"),
         F.max(F.when(F.col("matched_via") == "alias", 1).otherwise(0)).alias("_alias"),
-        F.array_distinct(F.flatten(F.collect_list("aliases_used"))).alias("_aliases"),
+        F.array_distinct(F.flatten(F.collect_set("aliases_used"))).alias("_aliases"),
         F.sort_array(F.collect_list(chunk)).alias("chunks"),
     )
     names = F.filter(F.transform("_aliases", strip), lambda a: a != "")
@@ -57,8 +56,12 @@ def banner(results: DataFrame) -> DataFrame:
     )
 
 
-def details(results: DataFrame) -> DataFrame:
-    """One row per chunk: operation, lines, a short explanation and the code."""
+def _first(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def details(results: DataFrame, explanation_chars: int | None = None, code_chars: int | None = None) -> DataFrame:
+    """One row per chunk: operation, lines, explanation and code, both whole unless a length is given."""
     language = (
         F.when(F.col("file_type") == "shell", "bash")
         .when(F.col("file_type").isin("python", "sql"), F.col("file_type"))
@@ -70,8 +73,8 @@ def details(results: DataFrame) -> DataFrame:
         "chunk_id",
         "operation",
         F.concat(F.lit("lines "), "line_start", F.lit("–"), "line_end").alias("lines"),
-        F.substring("explanation", 1, settings.EXPLANATION_CHARS).alias("explanation"),
-        F.substring(code_of(F.col("embedding_text")), 1, settings.DETAIL_CODE_CHARS).alias("code"),
+        _first(F.col("explanation"), explanation_chars).alias("explanation"),
+        _first(strip(F.col("raw_text")), code_chars).alias("code"),
         language.alias("language"),
     )
 

@@ -9,7 +9,10 @@ from tabletrail import settings
 
 
 def _placed(scored: DataFrame) -> DataFrame:
-    """Add place: hits by falling final score; equal ones keep their order. A query has few hits here."""
+    """Add place to ranked hits: by falling final score; equal ones keep their order. Ranked hits were cut to a few per
+    query; results that were never ranked, such as a listing of a whole corpus, get no place."""
+    if "rank" not in scored.columns:
+        return scored
     window = Window.partitionBy("query").orderBy(F.desc("final_score"), F.asc("rank"))
     return scored.withColumn("place", F.row_number().over(window))
 
@@ -18,10 +21,12 @@ def judged(
     hits: DataFrame,
     judgements: DataFrame,
     min_score: float = settings.MIN_JUDGED_SCORE,
-    limit: int = settings.JUDGED_HITS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """First hits of each query, re-scored; a hit without a judgement scores 0 and goes if `min_score` is above."""
-    joined = hits.where(F.col("rank") <= limit).join(judgements, ["query", "chunk_id"], "left")
+    """Hits of each query, re-scored; a hit without a judgement scores 0 and goes if `min_score` is above. With `limit`
+    only the first hits of each query count."""
+    first = hits if limit is None else hits.where(F.col("rank") <= limit)
+    joined = first.join(judgements, ["query", "chunk_id"], "left")
     llm_score = F.coalesce("relevance_score", F.lit(0.0))
     scored = joined.withColumns(
         {
@@ -61,4 +66,7 @@ def unjudged(hits: DataFrame, per_table: bool = False) -> DataFrame:
 
 
 def rank_results(hits: DataFrame, judgements: DataFrame | None = None, **options) -> DataFrame:
-    return unjudged(hits) if judgements is None else judged(hits, judgements, **options)
+    """Judged hits (options min_score, limit), or unjudged ones (option per_table); `judged` tells which. Other options raise."""
+    if judgements is None:
+        return unjudged(hits, **options).withColumn("judged", F.lit(False))
+    return judged(hits, judgements, **options).withColumn("judged", F.lit(True))

@@ -35,12 +35,6 @@ MIN_JUDGED_SCORE = 0.3
 
 TOP_K = 20
 JUDGED_HITS = 15
-PROMPT_CODE_CHARS = 4000
-DOCUMENT_CODE_CHARS = 3000
-SNIPPET_CODE_CHARS = 800
-DETAIL_CODE_CHARS = 2000
-EXPLANATION_CHARS = 90
-QUERY_CHARS = 200
 MIN_CHUNK_CHARS = 10
 BLOCK_LINES = 30
 KNOWN_TABLES = 30
