@@ -120,14 +120,14 @@ def item_rows(items: DataFrame) -> DataFrame:
             sets = [np.unique(found.hashes[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
             rows = [i for i, s in enumerate(sets) if len(s)]
             classes = [size_class(len(sets[i])) for i in rows]
-            keys = [[_key(c, h, (sets[i] * _FACTOR[h]).min()) for h in range(HASHES)] for i, c in zip(rows, classes, strict=True)]
+            keys = [mix(np.array([(sets[i] * f).min() for f in _FACTOR]) ^ _SALT[c]) for i, c in zip(rows, classes, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([part.first + i for i in rows], pa.int64())),
                     pa.array([len(sets[i]) for i in rows], pa.int64()),
                     pa.array(classes, pa.int32()),
                     pa.array([sets[i].view(np.int64) for i in rows], pa.list_(pa.int64())),
-                    pa.array([np.array(k, np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64())),
+                    pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
                 ],
                 names=["item_id", "n_shingles", "size_class", "shingles", "keys"],
             )
