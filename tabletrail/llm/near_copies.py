@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabletrail.llm.components import components
 from tabletrail.llm.containment import build_filter
-from tabletrail.llm.tasks import by_batch, dealt
+from tabletrail.llm.tasks import by_batch, dealt, without_ids
 from tabletrail.llm.words import mix, shingles_of, slices, words_of
 from tabletrail.sources.scratch import written
 
@@ -182,5 +182,4 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents of which one stands for each group, with all their columns."""
-    dropped = linked(docs, percent).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    return without_ids(docs, linked(docs, percent).where("not kept").select("doc_id"))

@@ -226,15 +226,16 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns. Their texts are read twice rather than stored or joined."""
     counted = with_counts(dealt(docs.select("text")))
     model = fit(with_votes(counted))
-    schema = StructType([*docs.schema.fields, *(StructField(f"q_{name}", LongType()) for name in COUNTS)])
+    columns = docs.columns
+    names, text = [f"c{i}" for i in range(len(columns))], columns.index("text")
+    plain = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(columns, names, strict=True)))
+    schema = StructType([*plain.schema.fields, *(StructField(name, LongType()) for name in COUNTS)])
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = text_counts(batch.column(batch.schema.get_field_index("text")))
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[name]) for name in COUNTS)], names=[*batch.schema.names, *(f"q_{name}" for name in COUNTS)])
+        found = text_counts(batch.column(text))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[name]) for name in COUNTS)], names=[*names, *COUNTS])
 
-    columns = docs.columns
-    marked = by_batch(dealt(docs), work, schema)
-    hidden = marked.select(F.struct(*columns).alias("row"), *(F.col(f"q_{name}").alias(name) for name in COUNTS))
     rules = _rules()
-    voted = hidden.withColumn("votes", F.array(*(rules[name].cast("byte") for name in RULES)))
-    return voted.where(~base_failed() & (probability(model) >= KEEP)).select("row.*")
+    voted = by_batch(dealt(plain), work, schema).withColumn("votes", F.array(*(rules[name].cast("byte") for name in RULES)))
+    kept = voted.where(~base_failed() & (probability(model) >= KEEP))
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)))

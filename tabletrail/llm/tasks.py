@@ -41,3 +41,12 @@ def by_batch(rows: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Recor
                 yield from work(batch)
 
     return rows.mapInArrow(each, schema)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among `ids` (one column); rows without doc_id stay. No name can clash."""
+    name = "id"
+    while name in docs.columns:
+        name += "_"
+    gone = ids.toDF(name).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
