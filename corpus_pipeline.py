@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tabletrail.llm import containment, near_copies, packing, quality, repeats
+from tabletrail.llm.tasks import without_ids
 from tabletrail.sources.scratch import written
 
 
@@ -37,8 +37,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = containment.contained(docs, items).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__found"), "left_anti")
+    return without_ids(docs, containment.contained(docs, items).select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
