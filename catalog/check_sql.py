@@ -232,7 +232,7 @@ CTES["expanded"] = "SELECT r.query, r.canonical, coalesce(n.alias, r.canonical)
 CTES["vec"] = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
 CTES["chunk_vec"] = """
 SELECT d.chunk_id, d.canonical_tables, v.v FROM docs d LEFT JOIN vec v
-ON v.vec_id = (length(d.raw_text) + d.line_start) % (SELECT count(*) FROM embeddings)"""
+ON v.vec_id = CAST('0x' || substr(md5(d.chunk_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)"""
 CTES["semantic"] = f"""
 SELECT query, chunk_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM (

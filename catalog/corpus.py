@@ -1,25 +1,22 @@
 """One script per row of `orders`, written as SQL text that Spark and DuckDB both run.
 
 The driver's tables hold no code, so the scripts are derived from them: order key and customer key pick language,
-layout, folder and table names. `customer` and its other names come up far more often than the rest, and one folder
-holds a third of all scripts.
+layout, folder and table names. `reading` and its other names come up far more often than the rest, and one folder
+holds a third of all scripts. Some scripts go on for hundreds of statements, some statements for thousands of characters;
+comments and strings hold accents and semicolons.
 """
 
 from __future__ import annotations
 
-NAMES = ["customer", "cust_tab", "orders", "customer", "cust_data", "prod_tbl", "CUST", "customer", "ord_tab", "region_dim", "customer", "stock_9"]
+NAMES = ["reading", "rd_old", "station", "reading", "rd_raw", "gauge_tbl", "RDG", "reading", "stn_tab", "basin_dim", "reading", "buffer_9"]
 ALIAS_RULES = [
-    ("cust_tab", "customer"),
-    ("cust_tbl", "customer"),
-    ("cust", "customer"),
-    ("cust_data", "customer"),
-    ("ord_tab", "orders"),
-    ("orders_tbl", "orders"),
-    ("prod_tab", "product"),
-    ("prd_tbl", "product"),
-    ("prod_tbl", "product"),
-    ("txn_tab", "transaction"),
-    ("trans_tab", "transaction"),
+    ("rd_old", "reading"),
+    ("rd_raw", "reading"),
+    ("rdg", "reading"),
+    ("stn_tab", "station"),
+    ("stations_v1", "station"),
+    ("gauge_tbl", "gauge"),
+    ("lvl_hourly", "level"),
 ]
 
 
@@ -156,17 +153,26 @@ f() {
 ]
 
 
+_QUOTE = "chr(39)"
+_MORE = {
+    0: f""" || repeat(chr(10) || 'INSERT INTO ' || t || ' SELECT * FROM ' || s || ' WHERE note = ' || {_QUOTE} || 'déjà; vu' || {_QUOTE} || ' -- Größe;'
+      || chr(10) || ';', more)""",
+    3: """ || 'DELETE FROM ' || t || ' WHERE id IN (0' || repeat(', 12345', more * 25) || ');'""",
+    4: """ || chr(10) || repeat(chr(10) || 'def more(x):' || chr(10) || '    return x' || chr(10), more)""",
+}
+
+
 def corpus_sql(orders: str = "orders") -> str:
     """SELECT of (file_path, source)."""
     shapes = []
     for shape in range(12):
         text = (_SQL, _PYTHON, _SHELL)[shape % 3][shape // 3]
-        shapes.append(f"WHEN {shape} THEN {_text(text)}")
+        shapes.append(f"WHEN {shape} THEN {_text(text)}{_MORE.get(shape, '')}")
     return f"""
 SELECT '/repo/' || folder || 'job_' || k || extension AS file_path,
        CASE shape {' '.join(shapes)} END AS source
 FROM (
-  SELECT CAST(o_orderkey AS STRING) AS k, MOD(o_orderkey, 12) AS shape,
+  SELECT CAST(o_orderkey AS STRING) AS k, CAST(CASE WHEN MOD(o_custkey, 80) = 0 THEN 150 ELSE MOD(o_custkey, 5) END AS INT) AS more, MOD(o_orderkey, 12) AS shape,
          {_name('o_orderkey + o_custkey')} AS s, {_name('o_custkey')} AS t, {_name('o_custkey + 5')} AS j,
          CASE WHEN MOD(o_orderkey, 7) = 0 THEN 'archive/' WHEN MOD(o_custkey, 3) = 0 THEN 'core/'
               ELSE 'team' || CAST(MOD(o_custkey, 40) AS STRING) || '/etl/' END AS folder,

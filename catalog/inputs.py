@@ -93,9 +93,9 @@ def with_vector(rows: DataFrame, place, embeddings: DataFrame) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.length("raw_text") + F.col("line_start")
+    place = F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("bigint")
     return with_vector(
-        documents(spark, sf_dir).select("chunk_id", "canonical_tables", "raw_text", "line_start"),
+        documents(spark, sf_dir).select("chunk_id", "canonical_tables"),
         place,
         table(spark, sf_dir, "embeddings"),
     ).select("chunk_id", "canonical_tables", "embedding")
