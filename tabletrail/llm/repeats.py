@@ -35,9 +35,9 @@ from tabletrail.sources.scratch import written
 WINDOW = 100
 ANCHOR = 32
 SPAN = WINDOW - ANCHOR + 1
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 CROWD = 2000
-HELD = 1 << 20
+HELD = 1 << 18
 CHUNK = 1 << 24
 _PLACE = np.uint64((1 << 25) - 1)
 
@@ -157,10 +157,13 @@ def _folded(texts: DataFrame, bits: int, crowd: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        there = 0
 
         def out() -> pa.RecordBatch:
+            nonlocal there
             first, other = _fold(np.concatenate(held))
             held.clear()
+            there = 0
             folder: list = []
             _blocks((first["anchor"] >> np.uint64(64 - bits)).astype(np.int64), first, 0, folder)
             spans = np.empty(len(other), _SPAN)
@@ -174,7 +177,8 @@ def _folded(texts: DataFrame, bits: int, crowd: int) -> DataFrame:
             ids, known = _ids(batch.column(0))
             for found in _document_segments(ids, known, batch.column(1)):
                 held.append(found)
-                if sum(map(len, held)) > HELD:
+                there += len(found)
+                if there > HELD:
                     yield out()
         if held:
             yield out()
@@ -294,7 +298,7 @@ def _sorted(table: pa.Table) -> pa.Table:
 def removed_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, spans): of each document that loses bytes, the spans (start, length), not yet merged."""
     texts = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    bits = max(3, (texts.rdd.getNumPartitions() - 1).bit_length())
+    bits = max(3, (2 * texts.rdd.getNumPartitions() - 1).bit_length())
     found = written(_folded(texts, bits, crowd), "segments")
     wanted = found.where("anchor is not null")
     size = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0]
