@@ -32,7 +32,8 @@ from tabletrail.llm.words import mix, slices, words_of
 from tabletrail.sources.scratch import shared_folder, written
 
 HOT_SHARE = 256
-SLICE = 1 << 22
+SLICE = 1 << 21
+HELD = 1 << 20
 END = np.uint64(0x8F1BBCDCBFA53E0B)
 START = np.uint32(0xFFFFFFFE)
 _BLOCK = "shard int, keys binary, counts binary"
@@ -215,16 +216,23 @@ def count_words(texts: DataFrame, path: str, bits: int) -> Model:
     """Counts the tokens of `texts` (one column); writes `words` and `counts` of each shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, there = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, counts = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            return _blocks((keys >> np.uint64(64 - bits)).astype(np.int64), keys, counts)
+
         for batch in batches:
             for part in slices(batch.column(0), SLICE):
                 new, n = np.unique(tokens_of(part).hashes, return_counts=True)
-                keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
-                if len(keys) > SLICE:
-                    yield _blocks((keys >> np.uint64(64 - bits)).astype(np.int64), keys, counts)
-                    keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield _blocks((keys >> np.uint64(64 - bits)).astype(np.int64), keys, counts)
+                held.append((new, n))
+                there += len(new)
+                if there > HELD:
+                    yield out()
+                    there = 0
+        if held:
+            yield out()
 
     def store(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -271,12 +279,23 @@ def count_pairs(texts: DataFrame, model: Model) -> None:
     bits, sent = model.shard_bits, texts.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, held, there = sent.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            return _blocks(model.pair_shard(keys), keys, n)
+
         for batch in batches:
-            for part in slices(batch.column(0), 2 * SLICE):
+            for part in slices(batch.column(0), SLICE):
                 before, own, _ = _pairs(model, part)
-                keys, n = np.unique((before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64), return_counts=True)
-                yield _blocks(model.pair_shard(keys), keys, n)
+                held.append(np.unique((before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64), return_counts=True))
+                there += len(held[-1][0])
+                if there > HELD:
+                    yield out()
+                    there = 0
+        if held:
+            yield out()
 
     def store(table: pa.Table) -> pa.Table:
         model, shard = sent.value, table["shard"][0].as_py()
