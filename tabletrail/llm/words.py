@@ -1,6 +1,6 @@
 """Words and shingles of many texts at once, as arrays of 64-bit hashes.
 
-A task reads the bytes of an Arrow text column in slices of some megabytes, so its memory is bounded by the slice, or by
+A task reads the bytes of an Arrow text column in slices of some hundred kilobytes, so its memory is bounded by the slice, or by
 the longest text where that is larger. A word is a run without the white space of `SPACES`; nulls are empty texts.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
