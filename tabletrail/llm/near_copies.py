@@ -8,7 +8,8 @@ what may reach the threshold is confirmed on the full sets. A pair of similarity
 
 No bucket's pairs are all made. First every member is compared with the bucket's first; links make components. What the
 members of other components still owe each other is tested in a join of the buckets that hold several components, which
-gives out only pairs whose estimate passes. A large group of near copies is one component after the first step.
+gives out only pairs whose estimate passes and whose shingles allow it: those that no other member of such a bucket has are
+counted, and what is left bounds the intersection from above. So copies with many changes of their own meet hardly any other.
 
 Rows with equal doc_id are one document. Texts without words, and rows without doc_id, are linked with nothing.
 """
@@ -96,20 +97,20 @@ def agreeing_minima(left: str, right: str) -> Column:
     return F.lit(HASHES) - differing
 
 
-def may_link(left: str, right: str, percent: int = PERCENT) -> Column:
-    """Whether the sizes allow the similarity and the estimate, corrected for chance agreement, is not too far below it."""
+def may_link(left: str, right: str, percent: int = PERCENT, alone: str | None = None) -> Column:
+    """Whether the sizes allow the similarity and the estimate, corrected for chance agreement, is not too far below it. `alone`
+    names a column with the number of shingles that no other candidate has."""
     chance = 2.0**-BITS
     share = chance + (1 - chance) * percent / 100
     least = HASHES * share - SPREADS * (HASHES * share * (1 - share)) ** 0.5
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (agreeing_minima(left, right) >= least)
+    most = F.least(a, b) if alone is None else F.least(a - F.col(f"{left}.{alone}"), b - F.col(f"{right}.{alone}"))
+    return (100 * most >= percent * (a + b - most)) & (agreeing_minima(left, right) >= least)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Only sets that a Bloom filter of the pairs' ids lets through are
-    made, and each goes to the pairs it belongs to."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(build_filter(ids, "id", pairs.count() * 2))
+def _sets(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(id, shingles): sorted sets, packed, of the documents whose ids a Bloom filter of ids(id), at most `most`, lets through."""
+    wanted = docs.sparkSession.sparkContext.broadcast(build_filter(ids, "id", most))
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(batch.column(0).is_valid())
@@ -121,6 +122,28 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
             rows = [np.unique(found.hashes[a:b]).tobytes() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(rows, pa.binary())], names=["id", "shingles"])
 
+    return by_batch(dealt(docs.selectExpr("cast(doc_id as long) doc_id", "text")), sets, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def alone(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, alone): for documents of ids(id), how many of their shingles none of the others has; none: no row."""
+
+    def unpack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            found = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[i].as_py())), pa.array(found)], names=["id", "shingle"])
+
+    rows = by_batch(_sets(docs, ids, ids.count()), unpack, "id long, shingle long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("doc_id")).where("n = 1")
+    return single.groupBy("doc_id").agg(F.count("*").alias("alone"))
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough. Only sets that a Bloom filter of the pairs' ids lets through are
+    made, and each goes to the pairs it belongs to."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    found = _sets(docs, ids, pairs.count() * 2)
+
     def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         left, right = batch.column(2), batch.column(3)
         keep = np.zeros(batch.num_rows, bool)
@@ -132,7 +155,6 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
             keep[i] = 100 * shared >= percent * (len(a) + len(b) - shared)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    found = by_batch(dealt(docs.selectExpr("cast(doc_id as long) doc_id", "text")), sets, "id long, shingles binary").dropDuplicates(["id"])
     both = pairs.join(found.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b")), "b").join(
         found.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a")), "a"
     )
@@ -166,10 +188,16 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("head"))
         .where("n > 2 and low <> high")
     )
-    rest = written(named.join(mixed.select("band", "head"), "band").where("doc_id <> head").join(sums, "doc_id"), "mixed_buckets")
-    left = rest.select("band", F.struct("doc_id", "component", "n_shingles", *packed).alias("left"))
-    right = rest.select("band", F.struct("doc_id", "component", "n_shingles", *packed).alias("right"))
-    cross = left.join(right, (left["band"] == right["band"]) & (F.col("left.component") < F.col("right.component")) & may_link("left", "right", percent))
+    rest = written(named.join(mixed.select("band", "head"), "band").where("doc_id <> head"), "mixed_buckets")
+    own = alone(docs, rest.select(F.col("doc_id").alias("id")).distinct())
+    figures = written(rest.select("doc_id").distinct().join(firsts.select("doc_id", "n_shingles", *packed, "bands"), "doc_id").join(own, "doc_id", "left").na.fill(0, ["alone"]), "mixed")
+    rest = rest.join(figures, "doc_id")
+    left = rest.select("band", F.struct("doc_id", "component", "n_shingles", "alone", "bands", *packed).alias("left"))
+    right = rest.select("band", F.struct("doc_id", "component", "n_shingles", "alone", "bands", *packed).alias("right"))
+    apart = (left["band"] == right["band"]) & (F.col("left.component") < F.col("right.component"))
+    same = F.zip_with("left.bands", "right.bands", lambda x, y: x == y)
+    first = F.element_at("left.bands", F.array_position(same, True).cast("int")) == left["band"]  # a pair counts in its first bucket only
+    cross = left.join(right, apart & may_link("left", "right", percent, "alone") & first)
     cross = cross.select(F.least("left.doc_id", "right.doc_id").alias("a"), F.greatest("left.doc_id", "right.doc_id").alias("b")).distinct()
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "candidates")
     if not cross.isEmpty():
