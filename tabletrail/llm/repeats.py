@@ -165,7 +165,8 @@ def _folded(texts: DataFrame, bits: int, crowd: int) -> DataFrame:
             held.clear()
             there = 0
             folder: list = []
-            _blocks((first["anchor"] >> np.uint64(64 - bits)).astype(np.int64), first, 0, folder)
+            # an anchor's hash is the least of many, so its high bits alone would crowd a few shards
+            _blocks((mix(first["anchor"]) >> np.uint64(64 - bits)).astype(np.int64), first, 0, folder)
             spans = np.empty(len(other), _SPAN)
             for name in _SPAN.names:
                 spans[name] = other[name]
