@@ -121,9 +121,8 @@ def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_index(docs: DataFrame, text: str, key: str) -> bm25.Bm25Index:
     """Postings, terms and totals as a published index holds them, each made once."""
     postings = written(bm25.postings_of(docs, text, key).withColumn("bucket", bm25.bucket_of("term")), "postings", by="bucket")
-    sizes = written(bm25.sizes_of(docs, text), "sizes")
-    counted = bm25.index_from(postings, sizes)
-    return bm25.Bm25Index(postings, written(counted.terms, "terms"), written(counted.totals, "totals"))
+    counted = bm25.index_from(postings, docs.count(), keep=lambda counts: written(counts, "term_counts"))
+    return bm25.Bm25Index(postings, written(counted.terms, "terms"), counted.totals)
 
 
 @lru_cache(maxsize=8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ class Bm25Index:
     postings: DataFrame  # term, chunk_id, tf, dl [, bucket]
     terms: DataFrame  # term, df, idf [, bucket]
     totals: DataFrame  # documents, avgdl, avg_idf: one row
+    buckets: int = settings.STORE_BUCKETS  # that postings and terms are laid out in
 
 
 def bucket_of(key: str | Column, buckets: int = settings.STORE_BUCKETS) -> Column:
@@ -42,28 +44,27 @@ def postings_of(documents: DataFrame, text: str = "embedding_text", key: str = "
     return rows.where("term IS NOT NULL").select("term", key, "tf", "dl")
 
 
-def build_index(documents: DataFrame, text: str = "embedding_text", key: str = "chunk_id") -> Bm25Index:
-    postings = postings_of(documents, text, key).withColumn("bucket", bucket_of("term"))
-    return index_from(postings, sizes_of(documents, text))
+def build_index(documents: DataFrame, text: str = "embedding_text", key: str = "chunk_id", buckets: int = settings.STORE_BUCKETS) -> Bm25Index:
+    postings = postings_of(documents, text, key).withColumn("bucket", bucket_of("term", buckets))
+    return index_from(postings, documents.count(), buckets)
 
 
-def sizes_of(documents: DataFrame, text: str = "embedding_text") -> DataFrame:
-    """One row: number of documents and their mean length in words."""
-    return documents.agg(F.count("*").alias("documents"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+def index_from(
+    postings: DataFrame, documents: int, buckets: int = settings.STORE_BUCKETS, keep: Callable[[DataFrame], DataFrame] = lambda counts: counts
+) -> Bm25Index:
+    """Terms and totals of the postings of so many documents.
 
-
-def index_from(postings: DataFrame, sizes: DataFrame) -> Bm25Index:
-    """Terms and totals of postings, given (documents, avgdl).
-
-    A term in more than half of all documents would weigh less than nothing; it gets a share of the mean weight.
+    The postings are read once, for the count of each term; what else is needed comes from the counts, which `keep` may
+    store. A term in more than half of all documents would weigh less than nothing; it gets a share of the mean weight.
     """
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    total = sizes.select("documents").scalar()
-    raw = counts.withColumn("_raw", F.log(total - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    totals = sizes.select("documents", "avgdl", raw.agg(F.avg("_raw")).scalar().alias("avg_idf"))
-    floor = settings.BM25_EPSILON * totals.select("avg_idf").scalar()
-    terms = raw.select("term", "df", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"))
-    return Bm25Index(postings, terms.withColumn("bucket", bucket_of("term")), totals)
+    counts = keep(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_uses")))
+    raw = counts.withColumn("_raw", F.log(documents - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean, uses = raw.agg(F.avg("_raw"), F.sum("_uses")).first()
+    avgdl = (uses or 0) / documents if documents else None
+    totals = postings.sparkSession.createDataFrame([(documents, avgdl, mean)], "documents long, avgdl double, avg_idf double")
+    floor = settings.BM25_EPSILON * (mean or 0.0)
+    terms = raw.select("term", "df", F.when(F.col("_raw") < 0, F.lit(floor)).otherwise(F.col("_raw")).alias("idf"))
+    return Bm25Index(postings, terms.withColumn("bucket", bucket_of("term", buckets)), totals, buckets)
 
 
 def query_words(texts: DataFrame, column: str = "term") -> DataFrame:
@@ -75,10 +76,10 @@ def query_words(texts: DataFrame, column: str = "term") -> DataFrame:
 def scores(index: Bm25Index, words: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query, key, score) for documents that hold at least one of the query's words.
 
-    Stored postings and terms lie in term buckets: the buckets of the asked words, STORE_BUCKETS numbers at most,
-    are looked up first and only those are read. Then the words pick their postings by an equi-join.
+    Stored postings and terms lie in term buckets: the buckets of the asked words, as many numbers as there are buckets
+    at most, are looked up first and only those are read. Then the words pick their postings by an equi-join.
     """
-    words = words.withColumn("bucket", bucket_of("term"))
+    words = words.withColumn("bucket", bucket_of("term", index.buckets))
     buckets = [row["bucket"] for row in words.select("bucket").distinct().collect()]
     read = F.col("bucket").isin(buckets)
     asked = words.join(index.terms.where(read), ["bucket", "term"])

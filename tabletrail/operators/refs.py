@@ -160,12 +160,15 @@ def ref_rows(chunks_with_refs: DataFrame) -> DataFrame:
     return rows.where("raw IS NOT NULL")
 
 
-def name_aliases(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Set canonical from a short alias list such as [("cust_tab", "customer")], inside the row."""
+def name_aliases(chunks_with_refs: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Set canonical from alias rules such as [("rd_old", "reading")]: a short list works inside the row; a long one, or a
+    rules(alias, canonical) table, by a join."""
+    if isinstance(rules, DataFrame):
+        return _name_many(chunks_with_refs, rules)
     if not rules:
         return chunks_with_refs
     if len(rules) > settings.INLINE_RULES:
-        return _name_many(chunks_with_refs, rules)
+        return _name_many(chunks_with_refs, chunks_with_refs.sparkSession.createDataFrame(list(dict(rules).items()), "alias string, canonical string"))
     table = F.create_map(*[F.lit(value.lower()) for pair in dict(rules).items() for value in pair])
     canonical = lambda ref: F.coalesce(F.try_element_at(table, ref["raw"]), ref["canonical"])
     return chunks_with_refs.withColumn(
@@ -173,11 +176,9 @@ def name_aliases(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> D
     )
 
 
-def _name_many(chunks_with_refs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """A rule list too long for literals travels as a table: names join it, and come back to their chunk as an array."""
-    spark = chunks_with_refs.sparkSession
-    table = spark.createDataFrame(list(dict(rules).items()), "alias string, canonical string")
-    named = name_aliases_by_table(chunks_with_refs.select("chunk_id", F.inline_outer("refs")).where("raw IS NOT NULL"), table)
+def _name_many(chunks_with_refs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Names join the rules, and come back to their chunk as an array."""
+    named = name_aliases_by_table(chunks_with_refs.select("chunk_id", F.inline_outer("refs")).where("raw IS NOT NULL"), rules)
     fields = F.struct("ord", "raw", "canonical", "ref_type", "confidence")
     grouped = named.groupBy("chunk_id").agg(F.sort_array(F.collect_list(fields)).alias("_refs"))
     joined = chunks_with_refs.join(grouped, "chunk_id", "left")

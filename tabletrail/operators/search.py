@@ -48,18 +48,18 @@ def fuse(
     return ranked.select("query", "rank", "chunk_id", F.round("_score", 4).alias("hybrid_score"))
 
 
-def with_payload(ranked: DataFrame, documents: DataFrame, expanded: DataFrame) -> DataFrame:
+def with_payload(ranked: DataFrame, documents: DataFrame, expanded: DataFrame, buckets: int = settings.STORE_BUCKETS) -> DataFrame:
     """Ranked chunks with their document, and the table and names each query stood for.
 
     Texts join after the cut. The ranked rows, a few per query, are stored first, so the ranking runs once and its
     size is known: they go to the documents, not the documents to them. Of documents laid out in buckets only those
-    of the ranked chunks are read, STORE_BUCKETS numbers at most.
+    of the ranked chunks are read.
     """
     names = expanded.groupBy("query", F.col("canonical").alias("matched_canonical")).agg(
         F.sort_array(F.collect_set("alias")).alias("matched_aliases")
     )
     ranked = written(ranked, "ranked")
     if "bucket" in documents.columns:
-        buckets = [row[0] for row in ranked.select(bm25.bucket_of("chunk_id")).distinct().collect()]
-        documents = documents.where(F.col("bucket").isin(buckets)).drop("bucket")
+        read = [row[0] for row in ranked.select(bm25.bucket_of("chunk_id", buckets)).distinct().collect()]
+        documents = documents.where(F.col("bucket").isin(read)).drop("bucket")
     return lookup_join(documents, ranked, ["chunk_id"], "chunk_id").join(names, "query")

@@ -1,4 +1,4 @@
-"""From script files to a published index."""
+"""From scripts to a published index."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabletrail import settings
 from tabletrail.operators import bm25, vectors
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.documents import attach_refs, build_documents
@@ -13,50 +14,60 @@ from tabletrail.operators.refs import add_refs, name_aliases, ref_rows
 from tabletrail.operators.registry import build_registry, merge_registries
 from tabletrail.operators.replies import call_model, extraction_inputs, refs_with_fallback
 from tabletrail.sources import snapshots
+from tabletrail.sources.scratch import written
 from tabletrail.sources.scripts import read_scripts
 
 
-def documents_of(files: DataFrame, rules: Iterable[tuple[str, str]] = (), **options) -> DataFrame:
-    """Documents with their references, from (file_path, source) rows: one pass over the texts, no shuffle."""
-    return build_documents(name_aliases(add_refs(split_scripts(files), **options), list(rules)))
-
-
 def ingest(
     spark: SparkSession,
-    scripts_root: str,
+    scripts: str | DataFrame,
     index_root: str,
     excluded: Iterable[str] = (),
-    rules: Iterable[tuple[str, str]] = (),
+    rules: Iterable[tuple[str, str]] | DataFrame = (),
     answer: Callable[[str], str] | None = None,
     workers: int | None = None,
     rebuild: bool = False,
+    keep_stored: bool = False,
     include_hidden: bool = False,
+    shell_writes: bool = False,
+    skip_imports: bool = False,
     features: int = 256,
+    buckets: int = settings.STORE_BUCKETS,
 ) -> str | None:
-    """Scan, split, extract and publish; the path of the new snapshot, or None if there was nothing to index.
+    """Split, extract and publish; the path of the new snapshot, or None if there was nothing to index.
 
-    With `answer`, a user function from prompt to reply, references come from its replies, and from patterns where a
-    call failed. Without it all come from patterns, with `rules` naming aliases. `rebuild` starts a new registry
-    instead of adding to the stored one.
+    scripts: a folder, or a table of (file_path, source), which suits very many small files. `excluded` and `include_hidden`
+    apply to a folder. With `answer`, a user function from prompt to reply, references come from its replies, and from
+    patterns where a call failed. Without it all come from patterns, with `rules` (a list, or a table of alias and canonical)
+    naming aliases; `shell_writes` and `skip_imports` as in add_refs. `rebuild` starts a new registry instead of adding to the
+    stored one. `keep_stored` carries over the documents of files that did not come again. `buckets` is the number of folders
+    documents and postings are laid out in; thousands suit very large indexes.
 
-    Documents are written first and read back for everything after them, so lost executors cost one stage and the
-    texts are split once.
+    Documents are written first and read back for everything after them, so lost executors cost one stage and the texts are
+    split once. With a model the chunks are written before that: prompts, fallback and documents read them back.
     """
-    files = read_scripts(spark, scripts_root, excluded, include_hidden)
+    files = scripts if isinstance(scripts, DataFrame) else read_scripts(spark, scripts, excluded, include_hidden)
     if files.isEmpty():
         return None
-    chunks = name_aliases(add_refs(split_scripts(files)), list(rules))
-    staging = snapshots.begin(spark, index_root)
+    staging = snapshots.begin(spark, index_root, buckets)
+    found = add_refs(split_scripts(files), shell_writes=shell_writes, skip_imports=skip_imports)
+    chunks = name_aliases(found, rules if isinstance(rules, DataFrame) else list(rules))
     if answer is not None:
+        chunks.write.parquet(f"{staging.path}/chunks")
+        chunks = spark.read.parquet(f"{staging.path}/chunks")
         replies = f"{staging.path}/replies"
         call_model(extraction_inputs(chunks), answer, workers).write.parquet(replies)
         chunks = attach_refs(chunks, refs_with_fallback(spark.read.parquet(replies), chunks))
-    staging.write_documents(build_documents(chunks))
+    documents = build_documents(chunks)
+    if keep_stored and snapshots.current_path(spark, index_root):
+        documents = snapshots.replace_files(snapshots.read_documents(spark, index_root), documents)
+    staging.write_documents(documents)
     documents = spark.read.parquet(f"{staging.path}/documents")
 
     staging.write_postings(bm25.postings_of(documents))
     postings = spark.read.parquet(f"{staging.path}/postings")
-    staging.write_terms(bm25.index_from(postings, bm25.sizes_of(documents)))
+    staging.write_terms(bm25.index_from(postings, documents.count(), buckets, lambda counts: written(counts, "term_counts")))
+    staging.write_layout()
 
     model = vectors.fit_text_vectors(documents, features=features)
     model.write().overwrite().save(f"{staging.path}/vector_model")

@@ -45,22 +45,29 @@ def query_rows(spark: SparkSession, queries: list[str]) -> DataFrame:
     return typed.select(clean_query(F.col("query")).alias("query")).where("query <> ''").distinct()
 
 
-def find(index: StoredIndex, queries: DataFrame, top_k: int = settings.TOP_K, **weights: float) -> DataFrame:
-    """Ranked hits with their documents, for every row of queries(query)."""
+def find(
+    index: StoredIndex, queries: DataFrame, top_k: int = settings.TOP_K, candidates: int | None = None, **weights: float
+) -> DataFrame:
+    """Ranked hits with their documents, for every row of queries(query).
+
+    candidates: how many chunks the vector searches give each query, twice `top_k` by default. A chunk beyond them gets no
+    vector part in its score.
+    """
+    wanted = candidates or 2 * top_k
     expanded = expand(queries, index.registry)
     texts = search.semantic_texts(expanded)
     semantic = vectors.nearest(
-        index.vectors, vectors.text_vectors(index.model, texts, "text").select("query", "embedding"), 2 * top_k
+        index.vectors, vectors.text_vectors(index.model, texts, "text").select("query", "embedding"), wanted
     )
     tables = vectors.text_vectors(index.model, expanded.select("query", "canonical").distinct(), "canonical")
-    named = vectors.with_table(index.vectors, tables, 2 * top_k)
+    named = vectors.with_table(index.vectors, tables, wanted)
     words = bm25.normalised(bm25.scores(index.words, search.search_words(expanded)))
     ranked = search.fuse(semantic, named, words, top_k, **weights)
-    return search.with_payload(ranked, index.documents, expanded)
+    return search.with_payload(ranked, index.documents, expanded, index.words.buckets)
 
 
 def trace(
     index: StoredIndex, queries: DataFrame, judgements: DataFrame | None = None, top_k: int = settings.JUDGED_HITS, **options
 ) -> DataFrame:
-    """The results a reader sees: hits judged when judgements are given, in hybrid order otherwise."""
+    """The results a reader sees: hits judged when judgements are given, in hybrid order otherwise; options as in rank_results."""
     return rank_results(find(index, queries, top_k), judgements, **options)

@@ -3,7 +3,7 @@ import pytest
 from tabletrail.operators.chunks import caption, split_scripts
 from tabletrail.sources.scripts import read_scripts
 
-BAD_PYTHON = "def broken(\n    x\n    # missing closing paren\nSELECT * FROM t\n" * 10
+BAD_PYTHON = "total = sum([\n" + "    1,\n" * 38 + "pass\n"
 SCRIPTS = [
     ("bad.py", BAD_PYTHON),
     ("empty.py", ""),
@@ -80,20 +80,19 @@ def test_long_scripts_keep_their_lines(spark):
 
 
 def test_scan(spark, script_folder):
-    def paths(**options):
-        return {r["file_path"] for r in read_scripts(spark, str(script_folder), **options).collect()}
-
-    (script_folder / "legacy dir+1").mkdir()
-    (script_folder / "legacy dir+1" / "old.sql").write_text("SELECT 1 FROM old_table;\r\nSELECT 2;")
-    (script_folder / "data.csv").write_text("a,b\n")
-    (script_folder / "_hidden.sh").write_text("echo\n")
-    every = paths()
-    assert f"{script_folder}/legacy dir+1/old.sql" in every and any("archive" in p for p in every)
-    assert not any(p.endswith("csv") for p in every)
-    kept = paths(excluded=["archive", "legacy dir+1", "pipeline.py"])
-    assert {p.rsplit("/", 1)[1] for p in kept} == {"load_customers.sql", "load_customers.sh", "product_sync.sql"}
-    assert paths(include_hidden=True) == every | {f"{script_folder}/_hidden.sh"}
-    assert read_scripts(spark, str(script_folder / "missing")).count() == 0
-    chunk = split_scripts(read_scripts(spark, str(script_folder))).where("file_path LIKE '%old.sql'")
-    row = chunk.where("line_start = 2").select("line_end", caption().alias("c")).first()
-    assert row["line_end"] == 2 and row["c"].endswith("old.sql lines 2-2 (select)") and row["c"].startswith("[SQL] ")
+    def names(**options):
+        return {r["file_path"].removeprefix(f"{script_folder}/") for r in read_scripts(spark, str(script_folder), **options).collect()}
+
+    (script_folder / "a b+c").mkdir()
+    (script_folder / "a b+c" / "two.sql").write_text("SELECT 1 FROM one;\r\nSELECT 2;")
+    (script_folder / "levels" / "table.txt").write_text("FROM x\n")
+    (script_folder / "_draft.sh").write_text("true\n")
+    every = {"levels/hourly.sql", "levels/gauges.py", "nightly.sh", "stations.sql", "retired/2009/levels.py", "a b+c/two.sql"}
+    assert names() == every
+    assert names(excluded=["retired", "a b+c", "stations.sql"]) == {"levels/hourly.sql", "levels/gauges.py", "nightly.sh"}
+    assert names(excluded=["2009"]) == every - {"retired/2009/levels.py"}
+    assert names(include_hidden=True) == every | {"_draft.sh"}
+    assert read_scripts(spark, str(script_folder / "nowhere")).count() == 0
+    chunk = split_scripts(read_scripts(spark, str(script_folder))).where("file_path LIKE '%two.sql' AND line_start = 2")
+    row = chunk.select("line_end", caption().alias("c")).first()
+    assert row["line_end"] == 2 and row["c"].endswith("two.sql lines 2-2 (select)") and row["c"].startswith("[SQL] ")

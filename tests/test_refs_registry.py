@@ -45,50 +45,47 @@ def test_patterns(spark):
 def test_chunk_without_refs_stays(spark):
     chunks = split_scripts(spark.createDataFrame([("a.sh", "echo hello world"), ("b.sh", "echo more words")], "file_path string, source string"))
     ids = {r["file_path"]: r["chunk_id"] for r in chunks.collect()}
-    refs = spark.createDataFrame([(ids["a.sh"], 0, "CUST ", "Customer", "READ", "high"), (ids["a.sh"], 1, "id", None, "COLUMN", "low")],
+    refs = spark.createDataFrame([(ids["a.sh"], 0, "FLW ", "Flow", "READ", "high"), (ids["a.sh"], 1, "id", None, "COLUMN", "low")],
                                  "chunk_id string, ord int, raw string, canonical string, ref_type string, confidence string")
     docs = {r["file_path"]: r for r in build_documents(attach_refs(chunks, refs)).collect()}
-    assert docs["a.sh"]["canonical_tables"] == ["customer"] and docs["a.sh"]["aliases_used"] == ["cust"]
+    assert docs["a.sh"]["canonical_tables"] == ["flow"] and docs["a.sh"]["aliases_used"] == ["flw"]
     assert docs["b.sh"]["canonical_tables"] == [] and "Operations" not in docs["b.sh"]["embedding_text"]
 
 
 @pytest.fixture(scope="module")
 def registry(spark):
     rows = [
-        ("pipeline.py", "cust_data", "customer", "READ"), ("pipeline.py", "CUST_TAB", "Customer ", "READ"),
-        ("pipeline.py", "customer", "customer", "WRITE"), ("pipeline.py", "orders", "orders", "READ"),
-        ("product_sync.sql", "prod_tbl", "product", "WRITE"), ("product_sync.sql", "cust_id", "customer", "COLUMN"),
-        ("product_sync.sql", "odd", None, "READ"), ("z.sql", "orders", "orders_new", "READ"),
+        ("m/flows.sql", "Flow_Daily", "flow", "WRITE"), ("m/flows.sql", "flow", " FLOW", "READ"), ("m/flows.sql", "basin_id", "flow", "COLUMN"),
+        ("m/check.py", "flw", "flow", "READ"), ("m/check.py", "unknown_one", None, "READ"), ("n/rain.sh", "rain", "rain", "READ"),
+        ("n/rain.sh", "radar_v2", "rain", "CREATE"), ("p/last.sql", "rain", "rain_2024", "READ"),
     ]
     return G.build_registry(refs_of(spark, rows))
 
 
 def test_registry(spark, registry, tmp_path):
     names = {tuple(r) for r in registry.names.collect()}
-    assert {a for c, a in names if c == "customer"} == {"customer", "cust_data", "cust_tab"}
-    queries = spark.createDataFrame([(q,) for q in (" CUST_TAB", "orders", "nothing")], "query string")
-    assert {r["query"]: r["canonical"] for r in G.resolve(queries, registry).collect()} == {
-        " CUST_TAB": "customer", "orders": "orders_new", "nothing": "nothing",
-    }
+    assert {a for c, a in names if c == "flow"} == {"flow", "flow_daily", "flw"}
+    queries = spark.createDataFrame([(q,) for q in ("FLW ", "rain", "absent")], "query string")
+    assert {r["query"]: r["canonical"] for r in G.resolve(queries, registry).collect()} == {"FLW ": "flow", "rain": "rain_2024", "absent": "absent"}
     by_name = {}
     for r in G.aliases_of(queries, registry).collect():
         by_name.setdefault(r["query"], set()).add(r["alias"])
-    assert by_name == {" CUST_TAB": {"customer", "cust_data", "cust_tab"}, "orders": {"orders"}, "nothing": {"nothing"}}
-    assert [tuple(r) for r in G.files_of(queries, registry).orderBy("query").collect()] == [
-        (" CUST_TAB", "customer", "pipeline.py"), ("orders", "orders_new", "z.sql"),
+    assert by_name == {"FLW ": {"flow", "flow_daily", "flw"}, "rain": {"rain", "radar_v2"}, "absent": {"absent"}}
+    assert [tuple(r) for r in G.files_of(queries, registry).orderBy("query", "file_path").collect()] == [
+        ("FLW ", "flow", "m/check.py"), ("FLW ", "flow", "m/flows.sql"), ("rain", "rain_2024", "p/last.sql"),
     ]
     report = {r["canonical"]: (r["other_names"], r["file_count"]) for r in G.report(registry).collect()}
-    assert report["customer"] == (["cust_data", "cust_tab"], 1) and report["product"] == (["prod_tbl"], 1)
-    new = G.build_registry(refs_of(spark, [("b.sql", "cust_tab", "client", "READ")]), run=2)
-    merged = G.merge_registries(registry, new)
-    assert {r["alias"]: r["canonical"] for r in merged.current.collect()}["cust_tab"] == "client"
-    assert ("customer", "cust_tab") in {tuple(r) for r in merged.names.collect()}
+    assert report["flow"] == (["flow_daily", "flw"], 2) and report["rain"] == (["radar_v2"], 1)
+    later = G.build_registry(refs_of(spark, [("q/new.sql", "flw", "discharge", "READ")]), run=2)
+    merged = G.merge_registries(registry, later)
+    assert {r["alias"]: r["canonical"] for r in merged.current.collect()}["flw"] == "discharge"
+    assert {("flow", "flw"), ("discharge", "flw")} <= {tuple(r) for r in merged.names.collect()}
     export_registry(registry, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "files")).count() == registry.files.count()
-    document = tmp_path / "alias_registry.json"
-    document.write_text('{"customer": {"aliases": ["cust_tab", "customer"], "files": ["a.sql", "b.sql"]}}')
+    document = tmp_path / "names.json"
+    document.write_text('{"flow": {"aliases": ["q", "flow"], "files": ["u.sql", "v.sql"]}, "rain": {"aliases": ["q"], "files": []}}')
     loaded = import_registry(spark, str(document))
-    assert loaded.files.count() == 2 and loaded.current.where("alias = 'cust_tab'").first()["canonical"] == "customer"
+    assert loaded.files.count() == 2 and loaded.current.where("alias = 'q'").first()["canonical"] == "rain"
     assert import_registry(spark, str(tmp_path / "none.json")).names.count() == 0
 
 
@@ -99,5 +96,5 @@ def test_text_helpers(spark):
     assert got == [["a", "b|c"], ["a", "b"], ["5"], ["x|y"], ["5", "6"], [], [], ["True"], ['["a"] b'], ['{"a": 1}'], []]
     line = spark.createDataFrame([(" Größe_1 x-y\t", " drop; table$ a.b-c " + "x" * 300, " archive, old\n\n,tmp ")], "t string, q string, f string")
     row = line.select(T.tokens(F.col("t")).alias("t"), T.clean_query(F.col("q")).alias("q"), T.folder_list(F.col("f")).alias("f"), T.strip(F.col("t")).alias("s")).first()
-    assert row["t"] == ["größe_1", "x", "y"] and row["q"].startswith("drop table a.b-c xxx") and len(row["q"]) == 199
+    assert row["t"] == ["größe_1", "x", "y"] and row["q"].startswith("drop table a.b-c xxx") and len(row["q"]) == 317
     assert row["f"] == ["archive", "old", "tmp"] and row["s"] == "Größe_1 x-y"

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tabletrail.operators import graph, replies, report, rerank
+from tabletrail.operators import bm25, graph, replies, report, rerank
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.refs import add_refs, ref_rows
 from tabletrail.operators.documents import build_documents
@@ -11,14 +11,14 @@ from tabletrail.sources import snapshots
 
 HITS = (
     "query string, rank int, chunk_id string, hybrid_score double, matched_canonical string, matched_aliases array<string>, file_path string,"
-    " file_type string, line_start int, line_end int, aliases_used array<string>, operations array<string>, embedding_text string"
+    " file_type string, line_start int, line_end int, aliases_used array<string>, operations array<string>, raw_text string"
 )
 
 
 def hits_of(spark, n=25):
     rows = [
         ("customer", i + 1, f"c{i}", round(0.9 - i / 100, 4), "customer", ["cust", "customer"], f"/etl/{'a' if i % 2 else 'b'}/job_{i % 3}.sql",
-         "sql", 10 * i + 1, 10 * i + 5, ["cust"] if i == 4 else [], ["WRITE", "READ"] if i % 2 else ["READ"] if i else [], f"[CODE]\nSELECT {i}\n\n[ENTITIES]\nx")
+         "sql", 10 * i + 1, 10 * i + 5, ["cust"] if i == 4 else [], ["WRITE", "READ"] if i % 2 else ["READ"] if i else [], f" SELECT {i}\n")
         for i in range(n)
     ]
     return spark.createDataFrame(rows, HITS)
@@ -54,13 +54,13 @@ def test_model_calls_fail_alone(spark):
 def test_judged(spark):
     reply = json.dumps([{"chunk_id": f"c{i}", "relevance_score": 1.0 if i < 2 else "bad" if i == 2 else 0.3, "operation": "READ"} for i in range(20)] + [{"chunk_id": "c1", "relevance_score": 0.5, "matched_via": "alias"}, {"x": 1}])
     judgements = replies.parse_judgements(spark.createDataFrame([("customer", f"```json\n{reply}\n```")], "query string, reply string"))
-    rows = rerank.rank_results(hits_of(spark), judgements).orderBy("place").collect()
+    rows = rerank.rank_results(hits_of(spark), judgements, limit=15).orderBy("place").collect()
     assert len(rows) == 14 and rows[0]["chunk_id"] == "c0" and rows[0]["final_score"] == pytest.approx(0.96)
     second = next(r for r in rows if r["chunk_id"] == "c1")
     assert (second["operation"], second["matched_via"], second["final_score"]) == ("UNKNOWN", "alias", pytest.approx(0.656))
     none = replies.parse_judgements(spark.createDataFrame([("customer", "sorry")], "query string, reply string"))
     assert rerank.judged(hits_of(spark), none).count() == 0
-    items = json.loads(replies.judgement_inputs(hits_of(spark)).first()["snippets"])
+    items = json.loads(replies.judgement_inputs(hits_of(spark), limit=15).first()["snippets"])
     assert len(items) == 15 and items[0] == {"chunk_id": "c0", "file": "/etl/b/job_0.sql", "lines": "1-5", "type": "sql", "code_excerpt": "SELECT 0"}
 
 
@@ -95,11 +95,18 @@ def test_unfinished_snapshot_stays_unseen(spark, tmp_path):
     first = snapshots.begin(spark, root)
     first.write_documents(build_documents(chunks))
     first.write_registry(build_registry(ref_rows(chunks)))
+    first.write_postings(bm25.postings_of(build_documents(chunks)))
+    first.write_terms(bm25.build_index(build_documents(chunks)))
+    first.write_layout()
+    with pytest.raises(ValueError, match="vectors"):
+        first.commit()
+    first.write_vectors(chunks.select("chunk_id"))
     first.commit()
     dead = snapshots.begin(spark, root)
     dead.write_documents(build_documents(chunks).limit(0))
     assert snapshots.read_documents(spark, root).count() == 1
-    again = snapshots.begin(spark, root)
+    assert snapshots.begin(spark, root).number > dead.number and (tmp_path / "index" / dead.path.rsplit("/", 1)[1]).exists()
+    again = snapshots.begin(spark, root, stale_hours=0)
     assert again.number > dead.number and not (tmp_path / "index" / dead.path.rsplit("/", 1)[1]).exists()
     old = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "chunk_id string, v int")
