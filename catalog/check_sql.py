@@ -478,6 +478,24 @@ _FINAL: dict[str, str] = {
     "lineage_summary": """SELECT CASE WHEN src LIKE 'table:%' THEN substr(src, 7) ELSE substr(dst, 7) END AS canonical, CASE WHEN src LIKE 'table:%' THEN 'READ' ELSE operation END AS operation,
         CASE WHEN src LIKE 'table:%' THEN substr(dst, 6) ELSE substr(src, 6) END || ' (lines ' || lines || ')' AS entry FROM edges""",
 }
+_FINAL |= {
+    "published_documents": """SELECT chunk_type, count(*) AS n, (SELECT count(*) FROM chunks) AS total FROM (
+        SELECT CASE WHEN file_path LIKE '/repo/core/%' THEN 'changed' ELSE chunk_type END AS chunk_type FROM chunks) AS c GROUP BY chunk_type""",
+    "published_terms": r"""SELECT term, count(DISTINCT chunk_id) AS df FROM (
+        SELECT chunk_id, unnest(regexp_extract_all(CASE WHEN file_path LIKE '/repo/core/%' THEN 'changed' ELSE chunk_type END, '[\p{L}\p{N}_]+')) AS term FROM chunks) AS t GROUP BY term""",
+    "saved_registry": "SELECT alias, max(canonical) AS canonical FROM names GROUP BY alias",
+    "exported_report": _FINAL["file_report"],
+    "exported_graph": "SELECT src, dst, operation, operation || ' (lines ' || lines || ')' AS title FROM edges",
+    "model_references": f"""SELECT raw, canonical, ref_type, confidence, count(*) AS n FROM (
+        SELECT 'File: ' || file_path AS raw, 'file' AS canonical, 'READ' AS ref_type, 'high' AS confidence FROM chunks
+        WHERE length({_strip('raw_text')}) >= 10 AND NOT contains(raw_text, 'COPY')
+        UNION ALL SELECT r.raw, r.raw, r.ref_type, 'medium' FROM refs r JOIN chunks c USING (chunk_id)
+        WHERE length({_strip('raw_text')}) >= 10 AND contains(c.raw_text, 'COPY')) AS m GROUP BY ALL""",
+    "result_modes": f"""SELECT query, judged, operation, matched_via, count(*) AS n FROM (
+        SELECT r.query, true AS judged, coalesce(j.operation, 'UNKNOWN') AS operation, coalesce(j.matched_via, 'direct') AS matched_via
+        FROM results r LEFT JOIN judged j USING (query, chunk_id) WHERE r.rank <= 15 AND coalesce(j.relevance_score, 0) >= 0.25
+        UNION ALL SELECT query, false, operation, matched_via FROM results WHERE rank <= {TOP_K}) AS b GROUP BY ALL""",
+}
 _FINAL["vector_topk_label_filter"] = _FINAL["vector_topk"].replace("FROM vec e, (", "FROM (SELECT * FROM vec WHERE label % 2 = 1) AS e, (")
 _FINAL["alias_current"] = _FINAL["alias_current"].replace(
     "FROM m ", "FROM (SELECT raw, CASE WHEN file_path LIKE '%/core/%' THEN canonical || '_core' ELSE canonical END AS moved, (file_path, line_start, ord) AS place FROM aliased) AS m "

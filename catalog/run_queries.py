@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tabletrail.functions.joins import top_per_group
 from tabletrail.operators import bm25, chunks as C, documents as D, graph, refs as R, registry as G, replies, report, rerank, search
 from tabletrail.operators import vectors as V
 from tabletrail.sources import scripts as S
+from tabletrail.sources import snapshots
+from tabletrail.sources.scratch import shared_folder
 from tabletrail.sources.snapshots import upsert
 
 QUERIES = {}
@@ -482,6 +487,98 @@ def text_vector_topk(spark, sf) -> DataFrame:
     return found.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+# --- Stored snapshots: written to the shared folder and read back ---
+
+
+def _published(spark, sf) -> str:
+    """A root with two complete snapshots and one of a run that died: all scripts, then those of one folder changed."""
+    root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    docs = I.documents(spark, sf).drop("bucket")
+    for run in (1, 2):
+        staging = snapshots.begin(spark, root, buckets=8)
+        if run == 2:
+            changed = docs.where("file_path LIKE '/repo/core/%'").withColumn("chunk_type", F.lit("changed"))
+            docs = snapshots.replace_files(snapshots.read_documents(spark, root).drop("bucket"), changed)
+        staging.write_documents(docs)
+        staging.write_postings(bm25.postings_of(docs.select("chunk_id", F.col("chunk_type").alias("embedding_text"))))
+        staging.write_terms(bm25.build_index(docs.select("chunk_id", F.col("chunk_type").alias("embedding_text")), buckets=8))
+        staging.write_layout()
+        staging.write_vectors(docs.select("chunk_id", "canonical_tables"))
+        staging.write_registry(I.registry(spark, sf))
+        staging.commit()
+    snapshots.begin(spark, root).write_documents(docs.limit(0))
+    return root
+
+
+@query
+def published_documents(spark, sf) -> DataFrame:
+    """What a reader of the newest complete snapshot sees, and how many chunks it is told there are."""
+    root = _published(spark, sf)
+    kinds = snapshots.read_documents(spark, root).groupBy("chunk_type").agg(F.count("*").alias("n"))
+    return kinds.withColumn("total", F.lit(snapshots.document_count(spark, root)).cast("bigint"))
+
+
+@query
+def published_terms(spark, sf) -> DataFrame:
+    index = snapshots.read_index(spark, _published(spark, sf))
+    return index.terms.select("term", "df")
+
+
+@query
+def saved_registry(spark, sf) -> DataFrame:
+    """The registry exported as lines, gathered into the one-document form, and imported again."""
+    root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    snapshots.export_registry(I.registry(spark, sf), root)
+    names = spark.read.schema("canonical string, alias string").json(f"{root}/names")
+    entry = names.groupBy("canonical").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    pair = F.concat(F.to_json(F.struct(F.col("canonical").alias("k"))), F.lit(""))
+    body = F.concat(F.regexp_replace(pair, r'^\{"k":|\}$', ""), F.lit(': {"aliases": '), F.to_json("aliases"), F.lit(', "files": []}'))
+    entry.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(body)), ","), F.lit("}")).alias("value")).write.text(f"{root}/one")
+    return snapshots.import_registry(spark, f"{root}/one").current.select("alias", "canonical")
+
+
+@query
+def exported_report(spark, sf) -> DataFrame:
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report.write_csv(report.summary(report.group_by_file(I.listing_results(spark, sf))), path)
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("query", "script", "operations", "matched_via", "aliases_used", F.col("relevance_score").cast("double").alias("relevance_score"), "full_path")
+
+
+@query
+def exported_graph(spark, sf) -> DataFrame:
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    results = I.listing_results(spark, sf)
+    graph.export(graph.nodes(results), graph.edges(results), path)
+    return spark.read.schema("`from` string, `to` string, label string, lines string, title string").json(f"{path}/edges").select(
+        F.col("from").alias("src"), F.col("to").alias("dst"), F.col("label").alias("operation"), "title"
+    )
+
+
+@query
+def model_references(spark, sf) -> DataFrame:
+    """A user's function answers each prompt with its first line; prompts of COPY scripts fail and fall back to the patterns."""
+
+    def answer(prompt: str) -> str:
+        if "COPY" in prompt:
+            raise RuntimeError("no answer")
+        return json.dumps([{"raw": prompt.split("\n")[0], "canonical": "file", "type": "READ", "confidence": "high"}])
+
+    found = I.chunks_with_refs(spark, sf)
+    calls = replies.call_model(replies.extraction_inputs(found), answer)
+    return replies.refs_with_fallback(calls, found).groupBy("raw", "canonical", "ref_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def result_modes(spark, sf) -> DataFrame:
+    """The same hits with judgements and without, and which of the two a result came from."""
+    hits = I.first_hits(spark, sf)
+    judged = rerank.rank_results(hits, replies.parse_judgements(_judge_replies(spark, sf)), min_score=0.25, limit=15)
+    columns = ["query", "judged", "operation", "matched_via"]
+    both = judged.select(*columns).unionByName(rerank.rank_results(hits).select(*columns))
+    return both.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 # --- Reranking and reports ---------------------------------------------------
 
 
