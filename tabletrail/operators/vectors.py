@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 from tabletrail import settings
 from tabletrail.functions.joins import top_per_group
 from tabletrail.functions.text import tokens
+from tabletrail.sources.scratch import written
+
+# Numbers in one block of a task: rows times queries, or times the width of a vector.
+BLOCK_CELLS = 1 << 22
 
 
 def fit_text_vectors(documents: DataFrame, text: str = "embedding_text", features: int = 256) -> PipelineModel:
@@ -44,8 +50,8 @@ def nearest(
     """(query, key, score, rank): the n documents nearest to each query, from (key, embedding) and (query, embedding).
 
     Each task multiplies its batches with the query matrix and keeps n documents per query, so n rows per query and
-    task are shuffled, not all pairs. The matrix is sent to the tasks in slices of at most `per_pass` vectors; more
-    queries take more passes over the documents. Ties go to the smaller key.
+    task are shuffled, not all pairs. The matrix is sent to the tasks in slices of at most about `per_pass` vectors; more
+    queries take more passes over the documents, one at a time. Ties go to the smaller key.
 
     same_table: only documents whose canonical_tables hold the query's canonical compete, all of them.
     """
@@ -53,17 +59,18 @@ def nearest(
     kind, asked = documents.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
     table = F.col("canonical") if same_table else F.lit(None).cast("string").alias("canonical")
     columns = queries.select("query", table, F.col("embedding").cast("array<double>"))
-    first = columns.limit(per_pass + 1).collect()
-    passes = 1 if len(first) <= per_pass else -(-queries.count() // per_pass)
-    rows_in = documents.select(key, "embedding", *(["canonical_tables"] if same_table else []))
+    passes = -(-max(columns.count(), 1) // per_pass)
+    if passes > 1:
+        columns = written(columns, "asked")
+    rows_in = documents.select(key, F.col("embedding").cast("array<double>"), *(["canonical_tables"] if same_table else []))
     best = None
     for number in range(passes):
-        part = columns.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
-        rows = first if passes == 1 else part.collect()
-        sent = spark.sparkContext.broadcast([tuple(row) for row in rows])
-        found = rows_in.mapInPandas(
-            _keep_nearest(sent, key, n, same_table), f"query {asked}, {key} {kind}, score double"
-        )
+        part = columns if passes == 1 else columns.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
+        sent = spark.sparkContext.broadcast([tuple(row) for row in part.collect()])
+        found = rows_in.mapInArrow(_keep_nearest(sent, key, n, same_table), f"query {asked}, {key} {kind}, score double")
+        if passes > 1:  # one slice at a time: its result is stored and its vectors are let go
+            found = written(found, "nearest")
+            sent.unpersist()
         best = found if best is None else best.unionByName(found)
     return top_per_group(best, ["query"], [F.desc("score"), F.asc(key)], n)
 
@@ -76,44 +83,53 @@ def with_table(documents: DataFrame, tables: DataFrame, n: int) -> DataFrame:
     return nearest(documents, tables, n, same_table=True)
 
 
-def _unit(vectors: list, width: int) -> np.ndarray:
-    """Rows of length one; a missing vector or one of zeros, which has no direction, stays zero."""
-    rows = np.zeros((len(vectors), width))
-    for i, vector in enumerate(vectors):
-        if vector is not None:
-            rows[i] = vector
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row of zeros, which has no direction, stays zero."""
     length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, length, out=rows, where=length > 0)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """The lists as rows, straight from their buffer; a missing one is a row of zeros."""
+    rows, there = np.zeros((len(column), width)), np.asarray(column.is_valid())
+    rows[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return rows
 
 
 def _keep_nearest(sent, key: str, n: int, same_table: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, tables, vectors = zip(*sent.value) if sent.value else ((), (), ())
         width = max((len(v) for v in vectors if v is not None), default=0)
-        matrix = _unit(vectors, width)
-        queries_of: dict[str, list[int]] = {}
-        for q, table in enumerate(tables):
-            queries_of.setdefault(table, []).append(q)
+        if not width:
+            return
+        matrix = _unit(np.array([v if v is not None else np.zeros(width) for v in vectors]))
+        asked = pd.DataFrame({"table": tables, "q": range(len(tables))})
+        block = max(BLOCK_CELLS // (len(names) if not same_table else width), 1)
         kept = None
         for batch in batches:
-            if not same_table:
-                batch = batch[batch["embedding"].notna()]
-            if not len(batch) or not names:
-                continue
-            # Equal vectors must tie whatever the batch shape, so the last bits of the product are dropped.
-            similar = np.round(_unit(batch["embedding"], width) @ matrix.T, 12)
-            if same_table:
-                pairs = [(r, q) for r, found in enumerate(batch["canonical_tables"]) for t in found for q in queries_of.get(t, ())]
-                outside = np.ones(similar.shape, dtype=bool)
-                if pairs:
-                    outside[tuple(np.array(pairs).T)] = False
-                similar[outside] = -np.inf
-            least = np.partition(similar, -n, axis=0)[-n] if len(batch) > n else -np.inf
-            row, query = np.nonzero((similar >= least) & (similar > -np.inf))
-            near = pd.DataFrame({"q": query, key: batch[key].to_numpy()[row], "score": similar[row, query]})
-            near = near if kept is None else pd.concat([kept, near], ignore_index=True)
-            kept = near.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(n)
-        if kept is not None:
-            yield kept.assign(query=np.array(names, dtype=object)[kept["q"]])[["query", key, "score"]]
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                if not same_table:
+                    part = part.filter(part.column(1).is_valid())
+                rows = _unit(_matrix(part.column(1), width))
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                if same_table:  # only pairs whose table matches are multiplied
+                    lists = part.column(2)
+                    named = pd.DataFrame({"row": pc.list_parent_indices(lists).to_numpy(), "table": lists.flatten().to_pandas()})
+                    pairs = named.merge(asked, on="table").drop_duplicates(["row", "q"])
+                    row, query = pairs["row"].to_numpy(np.int64), pairs["q"].to_numpy(np.int64)
+                    score = np.round(np.einsum("ij,ij->i", rows[row], matrix[query]), 12)
+                else:
+                    # Equal vectors must tie whatever the block's shape, so the last bits of the product are dropped.
+                    similar = np.round(rows @ matrix.T, 12)
+                    least = np.partition(similar, -n, axis=0)[-n] if len(rows) > n else -np.inf
+                    row, query = np.nonzero(similar >= least)
+                    score = similar[row, query]
+                near = pd.DataFrame({"q": query, key: keys[row], "score": score})
+                near = near if kept is None else pd.concat([kept, near], ignore_index=True)
+                kept = near.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(n)
+        if kept is not None and len(kept):
+            found = kept.assign(query=np.array(names, dtype=object)[kept["q"]])[["query", key, "score"]]
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     return run
