@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from tabletrail.llm import compact_windows, containment, html_text, language_model, near_copies, packing, quality, repeats, token_counts, toxicity
+from tabletrail.llm.check_sql import ORACLES  # noqa: F401 - registered with the queries
 from tabletrail.llm.tasks import table
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):
