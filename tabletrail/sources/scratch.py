@@ -7,6 +7,8 @@ disk, and may do without the setting; any other session must have it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise NoSharedFolder(f"set {SETTING} to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="tabletrail-")
+        atexit.register(shutil.rmtree, given, ignore_errors=True)
         spark.conf.set(SETTING, given)
     return f"{given.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 

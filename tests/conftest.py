@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -56,10 +57,12 @@ WHEN MATCHED THEN UPDATE SET name = i.name;
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.TemporaryDirectory(prefix="tabletrail-tests-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared.name)
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -68,6 +71,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shared.cleanup()
 
 
 @pytest.fixture

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tabletrail.operators import graph, report
 from tabletrail.plans.ingest import ingest
 from tabletrail.plans.lookup import find, open_index, query_rows, trace
-from tabletrail.sources import snapshots
+from tabletrail.sources import scratch, snapshots
 
 RULES = [("rd_old", "reading"), ("rd_raw", "reading"), ("gauge_tbl", "gauge"), ("stn_tab", "station")]
 
@@ -86,3 +86,10 @@ def test_writers_do_not_disturb_each_other(spark, tmp_path):
     with pytest.raises(ValueError, match="postings"):
         one.commit()
     assert snapshots.current_path(spark, root) is None
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_setting", lambda session: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    with pytest.raises(scratch.NoSharedFolder, match="spark.checkpoint.dir"):
+        scratch.shared_folder(spark)
