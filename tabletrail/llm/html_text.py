@@ -36,11 +36,16 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr body html".split())
 ITEM_OF = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table", "tbody", "thead", "tfoot"), "option": ("select",)}
 NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|header|topbar|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|breadcrumbs?|footer|masthead|topbar|"
     r"comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"search|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip|copyright)(?:$|[\s_-])",
+    r"pagination|pager|toolbar|skip|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Names that also stand on wrappers of the main text, as in "has-sidebar": they count unless the element holds most of the page.
+LAYOUT = re.compile(
+    r"(?:^|[\s_-])(?:sidebar|side|aside|menu|nav|navbar|navigation|header|search|share|sharing|social|related|recommended|widget)(?:$|[\s_-])", re.I
+)
+MOST = 0.6
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -60,7 +65,7 @@ class Tree:
     """Elements in page order; a parent comes before its children. `pieces` holds texts and elements in order."""
 
     def __init__(self, page: str):
-        self.name, self.parent, self.out = ["#page"], [-1], [False]
+        self.name, self.parent, self.out, self.layout = ["#page"], [-1], [False], [False]
         self.pieces: list[tuple[int, str | int]] = []
         stack, at = [0], 0
         for m in _TOKEN.finditer(page):
@@ -77,6 +82,20 @@ class Tree:
                 self._open(stack, name, rest)
         if at < len(page):
             self.pieces.append((stack[-1], page[at:]))
+        self._settle_layout()
+
+    def _settle_layout(self) -> None:
+        """Elements named for the layout go out unless they hold most of the text that is left."""
+        if not any(self.layout):
+            return
+        size = [0] * len(self.name)
+        for owner, piece in self.pieces:
+            if isinstance(piece, str) and not self.out[owner]:
+                size[owner] += len(piece.strip())
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        for i in range(1, len(size)):
+            self.out[i] = self.out[i] or self.out[self.parent[i]] or self.layout[i] and size[i] < MOST * size[0]
 
     def _close(self, stack: list[int], name: str) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -94,16 +113,19 @@ class Tree:
         parent = stack[-1]
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
         role = _ROLE.search(rest) if rest else None
+        layout = False
         out = self.out[parent] or name in OUT or bool(rest and _HIDDEN.search(rest))
         out = out or name == "header" and not self._within(stack, ("article", "main"))
         if not out and name not in ("html", "body", "article", "main"):
             out = bool(named and NOT_MAIN.search(named)) or bool(role and role[1].lower() in ROLES)
+            layout = bool(named and LAYOUT.search(named)) and not self._within(stack, ("article",))
         elif not out and name == "article":
             out = bool(named and re.search(r"(?:^|[\s_-])(?:comments?|reply|ad|ads|advert\w*|related|promo\w*)(?:$|[\s_-])", named, re.I))
         node = len(self.name)
         self.name.append(name)
         self.parent.append(parent)
         self.out.append(out)
+        self.layout.append(layout and not out)
         self.pieces.append((parent, node))
         if name not in VOID and not rest.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
@@ -176,6 +198,8 @@ def _reaching(tree: Tree, body: int, core: int, path: list[int], density: list[f
     """Below the body and beside the path to the core: the subtrees that reach the threshold, and headings; the core itself."""
     on_path, roots = set(path), {core}
     for i in range(1, len(tree.name)):
+        if tree.name[i] == "h1" and not tree.out[i] and i < core:
+            roots.add(i)  # the title, wherever it stands before the core
         if not tree.out[i] and tree.parent[i] in on_path and i not in on_path and tree.parent[i] != core:
             if density[i] >= threshold or re.fullmatch("h[1-6]", tree.name[i]):
                 roots.add(i)

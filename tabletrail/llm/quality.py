@@ -35,12 +35,12 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.col(part) / F.col(whole), F.lit(0.0))
 
 
-def _vote(figure: Column, good: Column, bad: Column, known: Column) -> Column:
+def _vote(good: Column, bad: Column, known: Column) -> Column:
     return F.when(~known, 0).when(bad, -1).when(good, 1).otherwise(0)
 
 
 def _rule(figure: Column, good_below: float, bad_above: float, known: Column) -> Column:
-    return _vote(figure, figure < good_below, figure > bad_above, known)
+    return _vote(figure < good_below, figure > bad_above, known)
 
 
 def _rules() -> dict[str, Column]:
@@ -49,16 +49,16 @@ def _rules() -> dict[str, Column]:
     plain, distinct = _share("n_plain", "word_chars"), _share("n_distinct_words", "n_words")
     per_mark = F.col("n_words") / F.greatest("n_marks", F.lit(1))
     return {
-        "long_enough": _vote(length, F.col("n_words") >= 2 * MIN_WORDS, F.col("n_words") < MIN_WORDS, F.lit(True)),
+        "long_enough": _vote(F.col("n_words") >= 2 * MIN_WORDS, F.col("n_words") < MIN_WORDS, F.lit(True)),
         "few_symbols": _rule(per_word, 0.03, 0.1, some),
         "few_repeats": _rule(_share("n_repeat_words", "n_words"), 0.15, 0.3, some),
         "few_dup_lines": _rule(_share("n_dup_lines", "n_lines"), 0.1, 0.3, F.col("n_lines") >= 3),
-        "word_length": _vote(length, (length >= 3.5) & (length <= 8), (length < 2.5) | (length > 12), some),
-        "plain_characters": _vote(plain, plain > 0.88, plain < 0.75, some),
+        "word_length": _vote((length >= 3.5) & (length <= 8), (length < 2.5) | (length > 12), some),
+        "plain_characters": _vote(plain > 0.88, plain < 0.75, some),
         "few_capitals": _rule(_share("n_upper", "n_ascii_letters"), 0.15, 0.4, F.col("n_ascii_letters") > 0),
         "sentence_length": _rule(per_mark, 25, 40, F.col("n_words") >= MIN_WORDS),
         "lettered_words": _rule(_share("n_bare_words", "n_words"), 0.05, 0.2, some),
-        "varied_words": _vote(distinct, distinct > 0.3, distinct < 0.1, some & (F.col("n_words") <= 2000)),
+        "varied_words": _vote(distinct > 0.3, distinct < 0.1, some & (F.col("n_words") <= 2000)),
     }
 
 

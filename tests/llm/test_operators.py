@@ -123,6 +123,8 @@ def test_main_text():
     assert html_text.main_text(page) == "A & b\nFirst long paragraph of words.\nSecond open tags"
     plain_page = "<body><div id='menu'><a>x</a><a>y</a></div><div><h2>T</h2><div><p>" + "long text here " * 9 + "</p><p>more text of the page</p></div></div><div class=cookie>ok</div></body>"
     assert html_text.main_text(plain_page) == "T\n" + ("long text here " * 9).strip() + "\nmore text of the page"
+    wrapped = "<body><div class='page has-sidebar'><div class='sidebar'>links here</div><article><header class='entry-header'><h1>H</h1></header><p>" + "words of the text " * 9 + "</p></article></div></body>"
+    assert html_text.main_text(wrapped) == "H\n" + ("words of the text " * 9).strip()
     for broken in ("", "<", "<p", "</p></p>", "<!-- open", "a < b", "<script>x", "<div>" * 3000 + "deep", "&bogus; &#65;"):
         html_text.main_text(broken)
     assert html_text.main_text("a < b &#65;") == "a < b A" and html_text.main_text("<div>" * 3000 + "deep") == "deep"
