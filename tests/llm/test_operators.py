@@ -78,6 +78,54 @@ def test_passages_cover_every_shared_run_and_nothing_else(docs, texts):
     assert not any(r["doc_id"] in range(40, 60) for r in found)
 
 
+def drift_texts():
+    """Versions of a text, each near the one before it only; each changes what an earlier one did not."""
+    import random
+
+    from conftest import sentence
+
+    rng = random.Random(11)
+    words, out = sentence(rng, 80).split(" "), {}
+    order = rng.sample(range(80), 80)
+    for i in range(40):
+        out[1000 + i] = " ".join(words)
+        words = list(words)
+        words[order[i]] = f"changed{i}"
+    return out
+
+
+def sentence_texts():
+    """Copies of passages around sentences that very many unrelated documents hold too."""
+    import random
+
+    from conftest import sentence
+
+    rng = random.Random(12)
+    common = [sentence(rng, 24) for _ in range(2)]
+    out = {i: " ".join([sentence(rng, 30), common[0], sentence(rng, 20), common[1], sentence(rng, 30)]) for i in range(1, 61)}
+    for i in range(20):
+        passage = " ".join([sentence(rng, 8), common[0], sentence(rng, 8), common[1], sentence(rng, 8)])
+        for k in (0, 1):
+            out[100 + 2 * i + k] = " ".join([sentence(rng, 30), passage, sentence(rng, 30)])
+    return out
+
+
+def test_drifting_versions_meet(spark):
+    texts = drift_texts()
+    found = {(r["first_doc_id"], r["doc_id"]) for r in compact_windows.passages(table(spark, texts)).collect()}
+    sets = {i: plain.shingles(t) for i, t in texts.items()}
+    near = [(i, i + 1) for i in sorted(texts)[:-1] if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    groups, expected = ({r["node"]: r["component"] for r in components(spark.createDataFrame(sorted(e), "a long, b long")).collect()} for e in (found, near))
+    assert len(near) > 30 and all(groups.get(a) == groups.get(b) is not None for a, b in near)
+    assert set(expected) <= set(groups)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_copies_around_common_sentences_meet(spark, parts):
+    found = {(r["first_doc_id"], r["doc_id"]) for r in compact_windows.passages(table(spark, sentence_texts(), parts)).collect()}
+    assert found == {(100 + 2 * i, 101 + 2 * i) for i in range(20)}
+
+
 def test_kneser_ney_against_plain(docs, texts):
     got = by_id(language_model.scored(docs))
     tokens = {i: [*plain.words(plain.lower(t)), "</s>"] for i, t in texts.items()}
