@@ -22,13 +22,16 @@ from tabletrail.llm import containment, near_copies, packing, quality, repeats
 from tabletrail.llm.tasks import without_ids
 from tabletrail.sources.scratch import written
 
+#: Similarity of near copies in percent; the 85 of op5_minhash_near_copies is that query's own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.kept_documents(docs)
+    return near_copies.kept_documents(docs, NEAR_PERCENT)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,15 @@ def test_stages_against_plain_versions(spark, folder, texts):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == left
 
 
+def test_near_copies_of_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(124)]
+    changed = ["other" if i in (30, 90) else w for i, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(changed)}
+    a, b = map(plain.shingles, texts.values())
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, table(spark, texts), "").collect()] == [1]
+
+
 def test_empty_table(spark, tmp_path, nothing):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
