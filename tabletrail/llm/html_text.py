@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree of elements (scripts, styles, comments and what their names or roles mark as menus, footers,
-adverts, forms, notices, sidebars or reader comments stay out). Every node gets its characters per tag, adjusted for links:
+adverts, forms, notices, sidebars or reader comments stay out, unless an element so marked holds most of the text). Every node gets its characters per tag, adjusted for links:
 text in links counts against it. A node's density sum adds its children's densities. The node with the greatest sum is the
 core; the least density on its path to the body is the threshold. The text is that of the article element around the core,
 or, without one, of every subtree whose density reaches the threshold, beginning at the body.
@@ -28,7 +28,7 @@ MAX_DEPTH = 512
 # Elements by what HTML says of them, and names that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template iframe svg math textarea title object canvas"
-OUT = frozenset("head nav footer aside form menu dialog button select option fieldset label".split()) | frozenset(RAW.split())
+OUT = frozenset("head nav footer aside menu dialog button select option fieldset label".split()) | frozenset(RAW.split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -45,7 +45,9 @@ NOT_MAIN = re.compile(
 LAYOUT = re.compile(
     r"(?:^|[\s_-])(?:sidebar|side|aside|menu|nav|navbar|navigation|header|search|share|sharing|social|related|recommended|widget)(?:$|[\s_-])", re.I
 )
+_ARTICLE_NOT_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|reply|ad|ads|advert\w*|related|promo\w*)(?:$|[\s_-])", re.I)
 MOST = 0.6
+HEADS = frozenset(("article", "main", "h1"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -65,7 +67,7 @@ class Tree:
     """Elements in page order; a parent comes before its children. `pieces` holds texts and elements in order."""
 
     def __init__(self, page: str):
-        self.name, self.parent, self.out, self.layout = ["#page"], [-1], [False], [False]
+        self.name, self.parent, self.out, self.layout, self.apart = ["#page"], [-1], [False], [False], [False]
         self.pieces: list[tuple[int, str | int]] = []
         stack, at = [0], 0
         for m in _TOKEN.finditer(page):
@@ -85,7 +87,8 @@ class Tree:
         self._settle_layout()
 
     def _settle_layout(self) -> None:
-        """Elements named for the layout go out unless they hold most of the text that is left."""
+        """Elements named for the layout, or for what is not main text, go out unless they hold most of the text that is left.
+        Of the latter kind (`apart`) they go too when an article, main or h1 element stands outside them and none within."""
         if not any(self.layout):
             return
         size = [0] * len(self.name)
@@ -94,8 +97,16 @@ class Tree:
                 size[owner] += len(piece.strip())
         for i in range(len(size) - 1, 0, -1):
             size[self.parent[i]] += size[i]
+        heads = [int(self.name[i] in HEADS and not self.out[i] and not self.layout[i]) for i in range(len(size))]
+        above = [0] * len(size)
         for i in range(1, len(size)):
-            self.out[i] = self.out[i] or self.out[self.parent[i]] or self.layout[i] and size[i] < MOST * size[0]
+            above[i] = above[self.parent[i]] + heads[self.parent[i]]
+        within = heads.copy()
+        for i in range(len(size) - 1, 0, -1):
+            within[self.parent[i]] += within[i]
+        for i in range(1, len(size)):
+            goes = size[i] < MOST * size[0] or self.apart[i] and not within[i] and within[0] > above[i]
+            self.out[i] = self.out[i] or self.out[self.parent[i]] or self.layout[i] and goes
 
     def _close(self, stack: list[int], name: str) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -113,19 +124,21 @@ class Tree:
         parent = stack[-1]
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
         role = _ROLE.search(rest) if rest else None
-        layout = False
+        layout = apart = False
         out = self.out[parent] or name in OUT or bool(rest and _HIDDEN.search(rest))
         out = out or name == "header" and not self._within(stack, ("article", "main"))
         if not out and name not in ("html", "body", "article", "main"):
-            out = bool(named and NOT_MAIN.search(named)) or bool(role and role[1].lower() in ROLES)
-            layout = bool(named and LAYOUT.search(named)) and not self._within(stack, ("article",))
+            out = bool(role and role[1].lower() in ROLES)
+            apart = name == "form" or bool(named and NOT_MAIN.search(named))
+            layout = apart or bool(named and LAYOUT.search(named)) and not self._within(stack, ("article",))
         elif not out and name == "article":
-            out = bool(named and re.search(r"(?:^|[\s_-])(?:comments?|reply|ad|ads|advert\w*|related|promo\w*)(?:$|[\s_-])", named, re.I))
+            layout = bool(named and _ARTICLE_NOT_MAIN.search(named))
         node = len(self.name)
         self.name.append(name)
         self.parent.append(parent)
         self.out.append(out)
         self.layout.append(layout and not out)
+        self.apart.append(apart)
         self.pieces.append((parent, node))
         if name not in VOID and not rest.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)

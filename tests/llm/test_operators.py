@@ -178,6 +178,22 @@ def test_main_text():
     assert html_text.main_text("a < b &#65;") == "a < b A" and html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_do_not_empty_a_page():
+    text = "words of the text " * 9
+    expected = "H\n" + text.strip()
+    for page in (
+        f"<body><article class='node node--type-article node--promoted'><h1>H</h1><p>{text}</p></article><footer>f</footer></body>",
+        f"<body><article class='post comment-open'><h1>H</h1><p>{text}</p></article></body>",
+        f"<body><div class='page has-comments'><h1>H</h1><p>{text}</p><div class=comments><p>me too</p></div></div></body>",
+        f"<body><section class='content with-banner'><div class=banner>buy</div><article><h1>H</h1><p>{text}</p></article></section></body>",
+        f"<body><form action=x><div><h1>H</h1><p>{text}</p><form>mail</form></div></form></body>",
+    ):
+        assert html_text.main_text(page) == expected, page
+    crowd = f"<div class=comments>{'<p>a comment that is long</p>' * 40}</div>"
+    assert html_text.main_text(f"<body><article><h1>H</h1><p>{text}</p></article>{crowd}</body>") == expected
+    assert html_text.main_text(f"<body><div><h1>H</h1><p>{text}</p></div>{crowd}</body>") == expected
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>one</p>", "x"), (2, None, None, "x"), (1, "u", "<p>one</p>", "x"), (None, "v", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
