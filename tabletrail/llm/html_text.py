@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame
 
 from tabletrail.llm.tasks import by_batch, dealt
 
-MAX_DEPTH = 512
-
 # Elements by what HTML says of them, and names that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template iframe svg math textarea title object canvas"
@@ -70,6 +68,7 @@ class Tree:
         self.name, self.parent, self.out, self.layout, self.apart = ["#page"], [-1], [False], [False], [False]
         self.pieces: list[tuple[int, str | int]] = []
         stack, at = [0], 0
+        self.open: dict[str, int] = {}  # how many of a name are open, so that a deep stack is not searched in vain
         for m in _TOKEN.finditer(page):
             if m.start() > at:
                 self.pieces.append((stack[-1], page[at : m.start()]))
@@ -108,10 +107,17 @@ class Tree:
             goes = size[i] < MOST * size[0] or self.apart[i] and not within[i] and within[0] > above[i]
             self.out[i] = self.out[i] or self.out[self.parent[i]] or self.layout[i] and goes
 
+    def _cut(self, stack: list[int], depth: int) -> None:
+        for node in stack[depth:]:
+            self.open[self.name[node]] -= 1
+        del stack[depth:]
+
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open.get(name):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if self.name[stack[depth]] == name:
-                del stack[depth:]
+                self._cut(stack, depth)
                 return
             if self.name[stack[depth]] in ("article", "main", "table") and name not in ("body", "html") and name not in BLOCK:
                 return  # a stray inline end tag closes nothing outside
@@ -126,11 +132,11 @@ class Tree:
         role = _ROLE.search(rest) if rest else None
         layout = apart = False
         out = self.out[parent] or name in OUT or bool(rest and _HIDDEN.search(rest))
-        out = out or name == "header" and not self._within(stack, ("article", "main"))
+        out = out or name == "header" and not self._within(("article", "main"))
         if not out and name not in ("html", "body", "article", "main"):
             out = bool(role and role[1].lower() in ROLES)
             apart = name == "form" or bool(named and NOT_MAIN.search(named))
-            layout = apart or bool(named and LAYOUT.search(named)) and not self._within(stack, ("article",))
+            layout = apart or bool(named and LAYOUT.search(named)) and not self._within(("article",))
         elif not out and name == "article":
             layout = bool(named and _ARTICLE_NOT_MAIN.search(named))
         node = len(self.name)
@@ -140,16 +146,19 @@ class Tree:
         self.layout.append(layout and not out)
         self.apart.append(apart)
         self.pieces.append((parent, node))
-        if name not in VOID and not rest.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+        if name not in VOID and not rest.rstrip().endswith("/"):
             stack.append(node)
+            self.open[name] = self.open.get(name, 0) + 1
 
-    def _within(self, stack: list[int], names: tuple[str, ...]) -> bool:
-        return any(self.name[i] in names for i in stack)
+    def _within(self, names: tuple[str, ...]) -> bool:
+        return any(self.open.get(name) for name in names)
 
     def _end_open(self, stack: list[int], name: str, up_to: tuple[str, ...]) -> None:
+        if not self.open.get(name):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if self.name[stack[depth]] == name:
-                del stack[depth:]
+                self._cut(stack, depth)
                 return
             if self.name[stack[depth]] in up_to:
                 return

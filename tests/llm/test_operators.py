@@ -194,6 +194,19 @@ def test_names_do_not_empty_a_page():
     assert html_text.main_text(f"<body><div><h1>H</h1><p>{text}</p></div>{crowd}</body>") == expected
 
 
+def test_depth_changes_nothing():
+    text, nested = "words of the text " * 9, "<div>" * 600 + "deep" + "</div>" * 600
+    page = f"<body><div><article><h1>H</h1><p>{text}</p>{nested}<p>the rest</p></article></div></body>"
+    assert html_text.main_text(page) == f"H\n{text.strip()}\ndeep\nthe rest"
+    page = f"<body><article><h1>H</h1><p>{text}" + "<font>" * 600 + "<nav>menu</nav><p>the rest</p></article></body>"
+    assert html_text.main_text(page) == f"H\n{text.strip()}\nthe rest"
+    import time
+
+    start = time.time()
+    html_text.main_text("<div>" * 20_000 + "<p>deep</b></p>" * 20_000)
+    assert time.time() - start < 10
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>one</p>", "x"), (2, None, None, "x"), (1, "u", "<p>one</p>", "x"), (None, "v", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
