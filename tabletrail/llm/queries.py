@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import compact_windows, containment, html_text, language_model, near_copies, packing, quality, repeats, token_counts, toxicity
+from tabletrail.llm import compact_windows, containment, html_text, language_model, near_copies, packing, quality, repeats, secret_spans, token_counts, toxicity
 from tabletrail.llm.check_sql import ORACLES  # noqa: F401 - registered with the queries
 from tabletrail.llm.tasks import table
 
@@ -72,3 +72,8 @@ def op9_suffix_repeats(spark, sf_dir) -> DataFrame:
 @query
 def op10_toxicity(spark, sf_dir) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_secret_spans(spark, sf_dir) -> DataFrame:
+    return secret_spans.scanned(table(spark, sf_dir, "documents"))
