@@ -1,4 +1,4 @@
-"""The results of op5, op6, op9 and op12 in DuckDB SQL, by comparing everything with everything."""
+"""The results of op5, op6, op9, op12 and op13 in DuckDB SQL, by comparing everything with everything."""
 
 from __future__ import annotations
 
@@ -81,4 +81,25 @@ ends AS (SELECT c.word, c.root FROM chains c LEFT JOIN best b ON b.word = c.root
 SELECT w.word, b.form, coalesce(e.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, b.form_n
 FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN ends e ON e.word = w.word"""
 
-ORACLES = {"op5_minhash_near_copies": NEAR_COPIES, "op6_benchmark_containment": CONTAINED, "op9_suffix_repeats": REPEATS, "op12_variant_groups": VARIANTS}
+
+
+def _terms(table: str, key: str) -> str:
+    low = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""SELECT {key}, unnest(regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}"""
+
+
+SEARCH = f"""
+WITH counted AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM ({_terms('documents', 'doc_id')}) AS d GROUP BY doc_id, term),
+lengths AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, term FROM ({_terms('benchmark', 'item_id')}) AS i),
+weights AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, totals WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0) AS ranked
+WHERE place <= 10"""
+
+ORACLES = {"op5_minhash_near_copies": NEAR_COPIES, "op6_benchmark_containment": CONTAINED, "op9_suffix_repeats": REPEATS, "op12_variant_groups": VARIANTS, "op13_lexical_search": SEARCH}

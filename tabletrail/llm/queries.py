@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tabletrail.llm import compact_windows, containment, html_text, language_model, near_copies, packing, quality, repeats, secret_spans, token_counts, toxicity, variants
+from tabletrail.llm import compact_windows, containment, html_text, language_model, lexical_search, near_copies, packing, quality, repeats, secret_spans, token_counts, toxicity, variants
 from tabletrail.llm.check_sql import ORACLES  # noqa: F401 - registered with the queries
 from tabletrail.llm.tasks import table
 
@@ -82,3 +82,8 @@ def op11_secret_spans(spark, sf_dir) -> DataFrame:
 @query
 def op12_variant_groups(spark, sf_dir) -> DataFrame:
     return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark, sf_dir) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
