@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tabletrail.functions.joins import top_per_group
 from tabletrail.llm.tasks import by_batch, dealt
 from tabletrail.llm.words import Slice, prefix_codes, slices, span_hashes
+from tabletrail.sources.scratch import written
 
 MAX_LABELLED = 2000
 LONGEST = 200
@@ -256,8 +257,17 @@ def labelled(docs: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
             )
 
     rows = dealt(docs.select("text")).mapInArrow(each, "kind int, key long, value string")
+    rows = written(rows.groupBy("kind", "key").agg(F.min("value").alias("value")).withColumn("size", F.length(F.bin("key"))), "credentials")
+    # The hashes' lengths in bits, 64 at most, tell where the least ones end: what is then ranked is some `limit` rows.
+    counts: list[dict[int, int]] = [{}, {}, {}, {}]
+    for r in rows.groupBy("kind", "size").count().collect():
+        counts[r["kind"]][r["size"]] = r["count"]
+    keep = F.lit(False)
+    for kind, of in enumerate(counts):
+        enough = next((size for size in sorted(of) if sum(n for s, n in of.items() if s <= size) >= limit), 64)
+        keep |= (F.col("kind") == kind) & (F.col("size") <= enough)
     least = [F.shiftrightunsigned("key", 1), F.col("key")]
-    return top_per_group(rows.groupBy("kind", "key").agg(F.min("value").alias("value")), ["kind"], least, limit).select("kind", "value")
+    return top_per_group(rows.where(keep), ["kind"], least, limit).select("kind", "value")
 
 
 def learn(docs: DataFrame, limit: int = MAX_LABELLED) -> list[Automaton | None]:
