@@ -121,8 +121,8 @@ def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_index(docs: DataFrame, text: str, key: str) -> bm25.Bm25Index:
     """Postings, terms and totals as a published index holds them, each made once."""
     postings = written(bm25.postings_of(docs, text, key).withColumn("bucket", bm25.bucket_of("term")), "postings", by="bucket")
-    counted = bm25.index_from(postings, docs.count(), keep=lambda counts: written(counts, "term_counts"))
-    return bm25.Bm25Index(postings, written(counted.terms, "terms"), counted.totals)
+    counted = bm25.index_from(postings, docs.count(), keep=lambda blocks: written(blocks, "blocks", by="bucket"))
+    return bm25.Bm25Index(postings, counted.blocks, written(counted.terms, "terms", by="bucket"), counted.totals)
 
 
 @lru_cache(maxsize=8)
@@ -141,9 +141,9 @@ def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse(
-        semantic_hits(spark, sf_dir), table_hits(spark, sf_dir), word_hits(spark, sf_dir), TOP_K
-    )
+    semantic, named = written(semantic_hits(spark, sf_dir), "semantic"), written(table_hits(spark, sf_dir), "named")
+    words = search.search_words(expanded(spark, sf_dir))
+    return search.fuse(semantic, named, search.word_evidence(index(spark, sf_dir), words, semantic, named, TOP_K), TOP_K)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

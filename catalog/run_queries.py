@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.corpus import ALIAS_RULES
 from tabletrail.functions import text as T
-from tabletrail.functions.joins import top_per_group
 from tabletrail.operators import bm25, chunks as C, documents as D, graph, refs as R, registry as G, replies, report, rerank, search
 from tabletrail.operators import vectors as V
 from tabletrail.sources import scripts as S
@@ -395,11 +394,13 @@ def bm25_terms(spark, sf) -> DataFrame:
     return built.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _item_words(spark, sf) -> DataFrame:
+    return bm25.query_words(I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("term")))
+
+
 def _document_scores(spark, sf) -> DataFrame:
     """Each benchmark item's text as a query against all documents."""
-    built = I.prose_index(spark, sf)
-    items = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("term"))
-    return bm25.scores(built, bm25.query_words(items), "doc_id")
+    return bm25.scores(I.prose_index(spark, sf), _item_words(spark, sf), "doc_id")
 
 
 @query
@@ -415,9 +416,9 @@ def bm25_normalised(spark, sf) -> DataFrame:
 
 @query
 def bm25_topk(spark, sf) -> DataFrame:
-    scored = _document_scores(spark, sf).withColumn("score", F.round("score", 8))
-    top = top_per_group(scored, ["query"], [F.desc("score"), F.asc("doc_id")], 10)
-    return top.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """Without scoring the postings that cannot lead to one of the ten."""
+    top = bm25.top_scores(I.prose_index(spark, sf), _item_words(spark, sf), 10, "doc_id")
+    return top.select("query", "doc_id", F.round(F.round("score", 8), 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _label_queries(spark, sf) -> DataFrame:

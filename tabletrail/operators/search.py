@@ -24,6 +24,26 @@ def search_words(expanded: DataFrame) -> DataFrame:
     return bm25.query_words(names.distinct())
 
 
+def word_evidence(
+    index: bm25.Bm25Index, words: DataFrame, semantic: DataFrame, named: DataFrame, top_k: int = settings.TOP_K, cut: float = settings.BM25_CUT
+) -> DataFrame:
+    """(query, chunk_id, score): of the normalised BM25 scores those that can reach a query's first `top_k` hits.
+
+    A chunk of one of the two vector lists can, wherever it ranks by its words: those are looked up. Any other chunk's place is that
+    of its words alone, so only the best `top_k` besides the lists' chunks can. Weights must not be below zero; a weight of zero
+    for the words lets chunks found by words alone in as they rank by words.
+    """
+    listed = written(semantic.select("query", "chunk_id").union(named.select("query", "chunk_id")).distinct(), "listed")
+    most = listed.groupBy("query").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    asked = bm25.ask(index, words)
+    best = written(bm25.top_scores(index, words, top_k + most, asked=asked), "best_words")
+    first = best.where("rank = 1").select("query", F.col("score").alias("_best"))
+    looked_up = bm25.scores_of(index, asked, listed.join(best, ["query", "chunk_id"], "left_anti"))
+    rows = lookup_join(best.select("query", "chunk_id", "score").unionByName(looked_up), first, ["query"], "chunk_id")
+    share = F.col("score") / F.when(F.col("_best") > 0, F.col("_best")).otherwise(1.0)
+    return rows.select("query", "chunk_id", share.alias("score")).where(F.col("score") > cut)
+
+
 def fuse(
     semantic: DataFrame,
     named: DataFrame,

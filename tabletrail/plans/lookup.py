@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tabletrail import settings
 from tabletrail.functions.text import clean_query
-from tabletrail.operators import bm25, search, vectors
+from tabletrail.operators import search, vectors
 from tabletrail.operators.bm25 import Bm25Index
 from tabletrail.operators.registry import Registry, expand
 from tabletrail.operators.rerank import rank_results
 from tabletrail.sources import snapshots
+from tabletrail.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -59,9 +60,10 @@ def find(
     semantic = vectors.nearest(
         index.vectors, vectors.text_vectors(index.model, texts, "text").select("query", "embedding"), wanted
     )
+    semantic = written(semantic, "semantic")
     tables = vectors.text_vectors(index.model, expanded.select("query", "canonical").distinct(), "canonical")
-    named = vectors.with_table(index.vectors, tables, wanted)
-    words = bm25.normalised(bm25.scores(index.words, search.search_words(expanded)))
+    named = written(vectors.with_table(index.vectors, tables, wanted), "named")
+    words = search.word_evidence(index.words, search.search_words(expanded), semantic, named, top_k)
     ranked = search.fuse(semantic, named, words, top_k, **weights)
     return search.with_payload(ranked, index.documents, expanded, index.words.buckets)
 

@@ -50,6 +50,8 @@ BROADCAST_ROWS = 50_000
 # Directories the stored documents and postings are split into; thousands suit very large indexes. It is part of the
 # stored layout: after a change, index again.
 STORE_BUCKETS = 64
+# Common words are spared for a query, and the documents left looked up, if that leaves one in so many of its postings.
+SPARED_POSTINGS = 3
 # Query vectors sent to every task in one pass; more queries take more passes.
 QUERY_VECTORS_PER_PASS = 4096
 # Rows of an alias rule list that may travel inside the plan as literals.

@@ -91,3 +91,73 @@ def test_crowded_keys(spark):
     many = top_per_group(rows, ["k"], [F.desc("v"), F.asc("id")], 1500)
     hot = sorted((-(i % 97), i) for i in range(20000) if i % 10 < 9)[:1500]
     assert [r["id"] for r in many.where("k = 'hot'").orderBy("rank").collect()] == [i for _, i in hot]
+
+
+def skewed_texts(n=1500):
+    """A word in a third of all texts, uses and lengths that differ, rare words, and texts that are equal but for their key."""
+    rng = np.random.default_rng(5)
+    out = {}
+    for i in range(n):
+        words = [f"r{int(x)}" for x in rng.zipf(1.6, rng.integers(3, 90)) if x < 400]
+        if i % 3 == 0:
+            words += ["weir"] * int(rng.integers(1, 9))
+        out[f"d{i:04d}"] = " ".join(words)
+    return out | {f"e{i}": out["d0003"] for i in range(30)}
+
+
+def test_the_best_documents_are_those_of_the_full_ranking(spark, monkeypatch):
+    texts = skewed_texts()
+    index = bm25.build_index(spark.createDataFrame(list(texts.items()), "chunk_id string, embedding_text string"))
+    asked = {"common": "weir", "both": "weir r37 r37", "rare": "r211", "many": " ".join(f"r{i}" for i in range(1, 30)), "most": "r1 weir", "none": "nowhere"}
+    words = bm25.query_words(spark.createDataFrame(list(asked.items()), "query string, term string"))
+
+    def expected(k):
+        out = {}
+        for q, text in asked.items():
+            ranked = sorted((-round(s, 8), d) for d, s in okapi(texts, text.split()).items())[:k]
+            out |= {(q, place + 1): (d, -s) for place, (s, d) in enumerate(ranked)}
+        return out
+
+    for k, spared in ((1, 3), (10, 3), (10, 1), (10, 10**9), (40, 1), (5000, 3)):
+        monkeypatch.setattr(bm25.settings, "SPARED_POSTINGS", spared)
+        found = {(r["query"], r["rank"]): (r["chunk_id"], round(r["score"], 8)) for r in bm25.top_scores(index, words, k).collect()}
+        wanted = expected(k)
+        assert {key: d for key, (d, _) in found.items()} == {key: d for key, (d, _) in wanted.items()}, (k, spared)
+        assert all(abs(found[key][1] - wanted[key][1]) < 2e-8 for key in wanted)
+    exact = {(r["query"], r["chunk_id"]): r["score"] for r in bm25.scores(index, words).collect()}
+    some = spark.createDataFrame([(q, d) for q, d in list(exact)[:40]] + [("rare", "d0001"), ("none", "d0001")], "query string, chunk_id string")
+    looked_up = {(r["query"], r["chunk_id"]): r["score"] for r in bm25.scores_of(index, bm25.ask(index, words), some).collect()}
+    assert looked_up.keys() == {(r[0], r[1]) for r in some.collect()} & exact.keys()
+    assert all(abs(s - exact[key]) < 1e-9 for key, s in looked_up.items())
+
+
+def test_blocks_that_cannot_reach_the_threshold_are_not_scored(spark):
+    texts = skewed_texts(6000)
+    index = bm25.build_index(spark.createDataFrame(list(texts.items()), "chunk_id string, embedding_text string"))
+    asked = {"common": "weir", "both": "weir r211", "far": "weir r37"}
+    words = bm25.query_words(spark.createDataFrame(list(asked.items()), "query string, term string"))
+    bounded = bm25.bounds(index, bm25.ask(index, words))
+    full = okapi(texts, ["weir"])
+    least = {r["query"]: r["threshold"] for r in bm25.thresholds(bounded, 5).collect()}
+    assert 0 < least["common"] <= sorted(full.values())[-5]
+    scored = {(r["query"], r["term"]): r["postings"] for r in bm25.essential(bounded, bm25.thresholds(bounded, 5)).collect()}
+    df = sum("weir" in t.split() for t in texts.values())
+    assert df > len(texts) / 3 - 30 and scored["common", "weir"] < df / 4
+    assert scored.get(("both", "weir"), 0) < df / 4, "a word held by a third of the documents is spared beside a rare one"
+
+
+def test_word_evidence_is_all_that_can_reach_the_top(spark):
+    texts = skewed_texts(600)
+    index = bm25.build_index(spark.createDataFrame(list(texts.items()), "chunk_id string, embedding_text string"))
+    words = bm25.query_words(spark.createDataFrame([("a", "weir r2"), ("b", "r11 r30")], "query string, term string"))
+    rng = np.random.default_rng(1)
+    keys = sorted(texts)
+    rows = [(q, str(d), float(s)) for q in "ab" for d, s in zip(rng.choice(keys, 12, replace=False), rng.uniform(-0.3, 1, 12), strict=True)]
+    semantic = spark.createDataFrame(rows, "query string, chunk_id string, score double")
+    named = spark.createDataFrame([("a", keys[3], 0.1), ("a", "unknown", 0.1), ("b", keys[9], -0.5)], "query string, chunk_id string, score double")
+    whole = bm25.normalised(bm25.scores(index, words))
+    for top_k, weights in ((1, {}), (6, {}), (15, {"bm25_weight": 2.0}), (6, {"semantic_weight": 0.0})):
+        few = search.word_evidence(index, words, semantic, named, top_k)
+        assert few.count() < whole.count()
+        got, want = (search.fuse(semantic, named, w, top_k, **weights).orderBy("query", "rank").collect() for w in (few, whole))
+        assert got == want
