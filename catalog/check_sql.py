@@ -279,6 +279,24 @@ _bm25(
     "doc_id",
     r"SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) AS b GROUP BY item_id, term",
 )
+CTES["pub_docs"] = """
+SELECT chunk_id, CASE WHEN file_path LIKE '/repo/core/%' THEN 'rewritten' WHEN file_path LIKE '/repo/team3/%' THEN 'moved' ELSE chunk_type END AS chunk_type,
+  CASE WHEN file_path LIKE '/repo/core/%' THEN 'rewritten ' WHEN file_path LIKE '/repo/team3/%' THEN 'moved ' ELSE '' END || embedding_text AS embedding_text
+FROM docs"""
+_bm25("p", "SELECT chunk_id, embedding_text AS txt FROM pub_docs", "chunk_id", "SELECT * FROM words")
+# Hashed TF-IDF: a word's feature is in its MD5; a feature weighs by how many documents hold it.
+CTES["v_words"] = r"""
+SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents
+UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM benchmark"""
+CTES["v_counts"] = """
+SELECT kind, id, f, count(*) AS n FROM v_words JOIN (SELECT term, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS f FROM (SELECT DISTINCT term FROM v_words) AS t) AS h USING (term)
+GROUP BY kind, id, f"""
+CTES["v_idf"] = "SELECT f, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS w FROM v_counts WHERE kind = 'd' GROUP BY f"
+CTES["v_unit"] = """
+SELECT kind, id, f, x / sqrt(sum(x * x) OVER (PARTITION BY kind, id)) AS x FROM (
+  SELECT kind, id, f, n * coalesce(w, ln((SELECT count(*) FROM documents) + 1)) AS x FROM v_counts LEFT JOIN v_idf USING (f)) AS v WHERE x > 0"""
+CTES["v_near"] = """
+SELECT q.id AS query, d.id AS doc_id, sum(q.x * d.x) AS score FROM v_unit q JOIN v_unit d USING (f) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY q.id, d.id"""
 CTES["fused"] = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT query, chunk_id, round(sum(part), 10) AS score FROM (
@@ -479,10 +497,14 @@ _FINAL: dict[str, str] = {
         CASE WHEN src LIKE 'table:%' THEN substr(dst, 6) ELSE substr(src, 6) END || ' (lines ' || lines || ')' AS entry FROM edges""",
 }
 _FINAL |= {
-    "published_documents": """SELECT chunk_type, count(*) AS n, (SELECT count(*) FROM chunks) AS total FROM (
-        SELECT CASE WHEN file_path LIKE '/repo/core/%' THEN 'changed' ELSE chunk_type END AS chunk_type FROM chunks) AS c GROUP BY chunk_type""",
-    "published_terms": r"""SELECT term, count(DISTINCT chunk_id) AS df FROM (
-        SELECT chunk_id, unnest(regexp_extract_all(CASE WHEN file_path LIKE '/repo/core/%' THEN 'changed' ELSE chunk_type END, '[\p{L}\p{N}_]+')) AS term FROM chunks) AS t GROUP BY term""",
+    "published_documents": """SELECT chunk_type, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(embedding_text), 1, 8) AS BIGINT)) AS BIGINT) AS text_md5,
+        (SELECT count(*) FROM chunks) AS total FROM pub_docs GROUP BY chunk_type""",
+    "published_terms": "SELECT term, df, round(idf, 6) AS idf FROM p_idf",
+    "published_scores": "SELECT query, chunk_id, round(score, 6) AS score FROM p_scores",
+    "published_topk": """SELECT query, chunk_id, round(round(score, 8), 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 8) DESC, chunk_id) AS rank FROM p_scores) AS t WHERE rank <= 10""",
+    "text_vector_topk": """SELECT query, doc_id, round(score, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc_id) AS rank FROM v_near) AS n WHERE rank <= 10""",
     "saved_registry": "SELECT alias, max(canonical) AS canonical FROM names GROUP BY alias",
     "exported_report": _FINAL["file_report"],
     "exported_graph": "SELECT src, dst, operation, operation || ' (lines ' || lines || ')' AS title FROM edges",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -480,8 +481,8 @@ def hybrid_hits(spark, sf) -> DataFrame:
 
 @query
 def text_vector_topk(spark, sf) -> DataFrame:
-    """Documents nearest to each benchmark item by hashed TF-IDF; no SQL counterpart."""
-    docs = I.table(spark, sf, "documents")
+    """Documents nearest to each benchmark item by hashed TF-IDF."""
+    docs = I.spread(I.table(spark, sf, "documents").select("doc_id", "text"))
     model = V.fit_text_vectors(docs, "text")
     items = V.text_vectors(model, I.table(spark, sf, "benchmark"), "text")
     found = V.nearest(V.text_vectors(model, docs, "text"), items.select(F.col("item_id").alias("query"), "embedding"), 10, key="doc_id")
@@ -491,38 +492,63 @@ def text_vector_topk(spark, sf) -> DataFrame:
 # --- Stored snapshots: written to the shared folder and read back ---
 
 
+@lru_cache(maxsize=2)
 def _published(spark, sf) -> str:
-    """A root with two complete snapshots and one of a run that died: all scripts, then those of one folder changed."""
+    """A root with three complete versions and a run that died: all scripts but the archived ones; those of core/ again, changed, with the
+    archived ones; those of team3/ again, changed."""
     root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
     docs = I.documents(spark, sf).drop("bucket")
-    for run in (1, 2):
+
+    def changed(folder: str, word: str) -> DataFrame:
+        text = F.concat(F.lit(word + " "), "embedding_text")
+        return docs.where(F.col("file_path").startswith(f"/repo/{folder}/")).withColumns({"chunk_type": F.lit(word), "embedding_text": text})
+
+    archived = F.col("file_path").startswith("/repo/archive/")
+    registry = I.registry(spark, sf)
+    for run, rows in enumerate((docs.where(~archived), changed("core", "rewritten").union(docs.where(archived)), changed("team3", "moved")), 1):
         staging = snapshots.begin(spark, root, buckets=8)
-        if run == 2:
-            changed = docs.where("file_path LIKE '/repo/core/%'").withColumn("chunk_type", F.lit("changed"))
-            docs = snapshots.replace_files(snapshots.read_documents(spark, root).drop("bucket"), changed)
-        staging.write_documents(docs)
-        staging.write_postings(bm25.postings_of(docs.select("chunk_id", F.col("chunk_type").alias("embedding_text"))))
-        staging.write_terms(bm25.build_index(docs.select("chunk_id", F.col("chunk_type").alias("embedding_text")), buckets=8))
-        staging.write_layout()
-        staging.write_vectors(docs.select("chunk_id", "canonical_tables"))
-        staging.write_registry(I.registry(spark, sf))
-        staging.commit()
-    snapshots.begin(spark, root).write_documents(docs.limit(0))
+        staging.write_documents(rows)
+        stored = spark.read.parquet(f"{staging.path}/documents")
+        staging.write_postings(bm25.postings_of(stored))
+        staging.write_blocks(bm25.blocks_of(spark.read.parquet(f"{staging.path}/postings"), 8))
+        staging.write_vectors(V.text_counts(stored.select("chunk_id", "canonical_tables", "embedding_text"), features=64).drop("embedding_text"))
+        staging.write_registry(registry if run == 1 else snapshots.empty_registry(spark))
+        staging.commit(add=run > 1, features=64)
+    snapshots.begin(spark, root).write_documents(docs.limit(1))
     return root
 
 
 @query
 def published_documents(spark, sf) -> DataFrame:
-    """What a reader of the newest complete snapshot sees, and how many chunks it is told there are."""
+    """What a reader of the newest complete version sees, and how many chunks it is told there are."""
     root = _published(spark, sf)
-    kinds = snapshots.read_documents(spark, root).groupBy("chunk_type").agg(F.count("*").alias("n"))
+    docs = snapshots.read_documents(spark, root)
+    md5 = F.conv(F.substring(F.md5(F.col("embedding_text").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    kinds = docs.groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum(md5).alias("text_md5"))
     return kinds.withColumn("total", F.lit(snapshots.document_count(spark, root)).cast("bigint"))
 
 
 @query
 def published_terms(spark, sf) -> DataFrame:
+    """The terms' statistics summed over the segments, without what was replaced."""
+    index = snapshots.read_index(spark, _published(spark, sf))
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def published_scores(spark, sf) -> DataFrame:
+    """Scores over three segments, the same as over one index of all."""
+    index = snapshots.read_index(spark, _published(spark, sf))
+    scored = bm25.scores(index, search.search_words(I.expanded(spark, sf)))
+    return scored.select("query", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def published_topk(spark, sf) -> DataFrame:
+    """The ten best of each query over three segments, without scoring what cannot be one of them."""
     index = snapshots.read_index(spark, _published(spark, sf))
-    return index.terms.select("term", "df")
+    top = bm25.top_scores(index, search.search_words(I.expanded(spark, sf)), 10)
+    return top.select("query", "chunk_id", F.round(F.round("score", 8), 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tabletrail import settings
 from tabletrail.functions.joins import top_per_group
@@ -23,20 +24,73 @@ from tabletrail.sources.scratch import written
 BLOCK_CELLS = 1 << 22
 
 
-def fit_text_vectors(documents: DataFrame, text: str = "embedding_text", features: int = 256) -> PipelineModel:
-    """Hashed TF-IDF of unit length, for users who bring no vectors of their own."""
-    stages = [
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]
-    return Pipeline(stages=stages).fit(documents.select(tokens(F.col(text)).alias("_tokens")))
+@dataclass(frozen=True)
+class TextModel:
+    """Hashed TF-IDF: the weight of each feature, in documents that are known by their number and how many hold the feature."""
 
+    idf: tuple[float, ...]
 
-def text_vectors(model: PipelineModel, texts: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+    @property
+    def features(self) -> int:
+        return len(self.idf)
+
+
+def feature_of(word: str, features: int) -> int:
+    """The same in every engine that has MD5: its first eight hexadecimal digits, modulo the number of features."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % features
+
+
+def text_counts(rows: DataFrame, text: str = "embedding_text", features: int = 256, name: str = "counts") -> DataFrame:
+    """Adds how often each feature occurs in a text. Counts do not depend on other texts, so those of several runs add up."""
+    kept = [c for c in rows.columns if c != name]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(kept))
+            words = lists.flatten().dictionary_encode()
+            places = np.array([feature_of(w, features) for w in words.dictionary.to_pylist()], np.int64)
+            at = places[words.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(words) else places
+            cells = pc.list_parent_indices(lists).to_numpy().astype(np.int64) * features + at
+            counted = np.bincount(cells, minlength=batch.num_rows * features).astype(np.float32)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * features)
+            columns = [*(batch.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(ends, pa.array(counted))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
+
+    schema = StructType([rows.schema[c] for c in kept] + [StructField(name, ArrayType(FloatType()))])
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    return rows.select(*kept, words.alias("_words")).mapInArrow(count, schema)
+
+
+def feature_counts(counted: DataFrame, name: str = "counts") -> DataFrame:
+    """(feature, df): the documents that hold each feature, and their number as feature -1."""
+    held = counted.select(F.posexplode(name).alias("feature", "n")).where("n > 0").groupBy("feature").agg(F.count("*").alias("df"))
+    return held.union(counted.agg(F.lit(-1).alias("feature"), F.count("*").alias("df")))
+
+
+def model_of(counts: DataFrame, features: int) -> TextModel:
+    """The model of (feature, df) rows; those of several runs add up. They are as many as features, and come to the driver."""
+    df = {r["feature"]: r["df"] for r in counts.groupBy("feature").agg(F.sum("df").alias("df")).collect()}
+    return TextModel(tuple(math.log((df.get(-1, 0) + 1) / (df.get(f, 0) + 1)) for f in range(features)))
+
+
+def weighted(model: TextModel, counted: DataFrame, counts: str = "counts", name: str = "embedding") -> DataFrame:
+    """Adds the vectors, of unit length or all zeros, and drops the counts."""
+    idf = F.array(*(F.lit(x) for x in model.idf))
+    raw = F.zip_with(counts, idf, lambda n, w: n.cast("double") * w)
+    length = F.sqrt(F.aggregate(F.col("_raw"), F.lit(0.0), lambda total, x: total + x * x))
+    out = counted.withColumn("_raw", raw).withColumn("_length", length)
+    unit = F.transform("_raw", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(F.lit(0.0)))
+    return out.withColumn(name, unit).drop("_raw", "_length", counts)
+
+
+def fit_text_vectors(documents: DataFrame, text: str = "embedding_text", features: int = 256) -> TextModel:
+    """Hashed TF-IDF, for users who bring no vectors of their own."""
+    return model_of(feature_counts(text_counts(documents.select(text), text, features)), features)
+
+
+def text_vectors(model: TextModel, texts: DataFrame, text: str, name: str = "embedding") -> DataFrame:
     """Add the vectors of a text column, from the same model for documents and queries."""
-    out = model.transform(texts.withColumn("_tokens", tokens(F.col(text))))
-    return out.withColumn(name, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_tfidf", "_unit")
+    return weighted(model, text_counts(texts, text, model.features, "_counts"), "_counts", name)
 
 
 def nearest(

@@ -11,10 +11,9 @@ from tabletrail.operators import bm25, vectors
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.documents import attach_refs, build_documents
 from tabletrail.operators.refs import add_refs, name_aliases, ref_rows
-from tabletrail.operators.registry import build_registry, merge_registries
+from tabletrail.operators.registry import build_registry
 from tabletrail.operators.replies import call_model, extraction_inputs, refs_with_fallback
 from tabletrail.sources import snapshots
-from tabletrail.sources.scratch import written
 from tabletrail.sources.scripts import read_scripts
 
 
@@ -33,6 +32,7 @@ def ingest(
     skip_imports: bool = False,
     features: int = 256,
     buckets: int = settings.STORE_BUCKETS,
+    max_segments: int = settings.MAX_SEGMENTS,
 ) -> str | None:
     """Split, extract and publish; the path of the new snapshot, or None if there was nothing to index.
 
@@ -40,8 +40,10 @@ def ingest(
     apply to a folder. With `answer`, a user function from prompt to reply, references come from its replies, and from
     patterns where a call failed. Without it all come from patterns, with `rules` (a list, or a table of alias and canonical)
     naming aliases; `shell_writes` and `skip_imports` as in add_refs. `rebuild` starts a new registry instead of adding to the
-    stored one. `keep_stored` carries over the documents of files that did not come again. `buckets` is the number of folders
-    documents and postings are laid out in; thousands suit very large indexes.
+    stored one. `keep_stored` adds to the stored index: files that came again replace their stored chunks, others stay, and only what
+    is new is written. Beyond `max_segments` such runs the index is merged into one segment. `buckets` is the number of folders
+    documents and postings are laid out in; thousands suit very large indexes. It and `features` stay as they are in an index
+    that is added to.
 
     Documents are written first and read back for everything after them, so lost executors cost one stage and the texts are
     split once. With a model the chunks are written before that: prompts, fallback and documents read them back.
@@ -58,24 +60,18 @@ def ingest(
         replies = f"{staging.path}/replies"
         call_model(extraction_inputs(chunks), answer, workers).write.parquet(replies)
         chunks = attach_refs(chunks, refs_with_fallback(spark.read.parquet(replies), chunks))
-    documents = build_documents(chunks)
-    if keep_stored and snapshots.current_path(spark, index_root):
-        documents = snapshots.replace_files(snapshots.read_documents(spark, index_root), documents)
-    staging.write_documents(documents)
+    staging.write_documents(build_documents(chunks))
     documents = spark.read.parquet(f"{staging.path}/documents")
 
     staging.write_postings(bm25.postings_of(documents))
-    postings = spark.read.parquet(f"{staging.path}/postings")
-    staging.write_terms(bm25.index_from(postings, documents.count(), buckets, lambda counts: written(counts, "term_counts")))
-    staging.write_layout()
+    staging.write_blocks(bm25.blocks_of(spark.read.parquet(f"{staging.path}/postings"), buckets))
+    staging.write_vectors(vectors.text_counts(documents.select("chunk_id", "canonical_tables", "embedding_text"), features=features).drop("embedding_text"))
 
-    model = vectors.fit_text_vectors(documents, features=features)
-    model.write().overwrite().save(f"{staging.path}/vector_model")
-    embedded = vectors.text_vectors(model, documents, "embedding_text")
-    staging.write_vectors(embedded.select("chunk_id", "canonical_tables", "embedding"))
-
-    registry = build_registry(ref_rows(documents), run=staging.number)
-    if not rebuild:
-        registry = merge_registries(snapshots.read_registry(spark, index_root), registry)
-    staging.write_registry(registry)
-    return staging.commit()
+    if rebuild and keep_stored and snapshots.current_path(spark, index_root):
+        stored = snapshots.read_documents(spark, index_root)
+        documents = stored.join(documents.select("file_path").distinct(), "file_path", "left_anti").unionByName(documents)
+    staging.write_registry(build_registry(ref_rows(documents), run=staging.number))
+    path = staging.commit(add=keep_stored, rebuild=rebuild, features=features)
+    if keep_stored and len(snapshots.current_version(spark, index_root).segments) > max_segments:
+        path = snapshots.merge(spark, index_root)
+    return path

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +23,17 @@ class StoredIndex:
     words: Bm25Index
     vectors: DataFrame
     registry: Registry
-    model: PipelineModel
+    model: vectors.TextModel
 
 
 def open_index(spark: SparkSession, root: str) -> StoredIndex:
-    path = snapshots.current_path(spark, root)
-    if path is None:
-        raise FileNotFoundError(f"no complete snapshot below {root}")
+    model = snapshots.read_model(spark, root)
     return StoredIndex(
         snapshots.read_documents(spark, root),
         snapshots.read_index(spark, root),
-        snapshots.read_vectors(spark, root),
+        snapshots.read_vectors(spark, root, model),
         snapshots.read_registry(spark, root),
-        PipelineModel.load(f"{path}/vector_model"),
+        model,
     )
 
 
