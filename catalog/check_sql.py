@@ -279,6 +279,7 @@ _bm25(
     "doc_id",
     r"SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) AS b GROUP BY item_id, term",
 )
+CTES["replied"] = "SELECT chunk_id, ord, raw, ref_type FROM refs WHERE ref_type <> 'DROP' AND chunk_id IN (SELECT chunk_id FROM chunks WHERE length(raw_text) % 6 < 2)"
 CTES["pub_docs"] = """
 SELECT chunk_id, CASE WHEN file_path LIKE '/repo/core/%' THEN 'rewritten' WHEN file_path LIKE '/repo/team3/%' THEN 'moved' ELSE chunk_type END AS chunk_type,
   CASE WHEN file_path LIKE '/repo/core/%' THEN 'rewritten ' WHEN file_path LIKE '/repo/team3/%' THEN 'moved ' ELSE '' END || embedding_text AS embedding_text
@@ -420,12 +421,10 @@ _FINAL: dict[str, str] = {
         CASE WHEN k < 2 THEN ref_type ELSE 'UNKNOWN' END AS ref_type, CASE WHEN k < 2 THEN 'high' ELSE 'low' END AS confidence
         FROM (SELECT r.*, length(c.raw_text) % 6 AS k FROM refs r JOIN chunks c USING (chunk_id)) AS t WHERE k IN (0, 1, 4)""",
     "reply_documents": """SELECT c.chunk_id, coalesce(tables, '') AS canonical_tables, coalesce(names, '') AS aliases_used, coalesce(ops, '') AS operations
-        FROM chunks c LEFT JOIN (
-          SELECT chunk_id, string_agg('c_' || raw, '|' ORDER BY ord) AS tables, string_agg(raw, '|' ORDER BY ord) AS names,
-            string_agg(ref_type, '|' ORDER BY ord) FILTER (new_op) AS ops
-          FROM (SELECT r.*, row_number() OVER (PARTITION BY r.chunk_id, ref_type ORDER BY ord) = 1 AS new_op
-                FROM refs r JOIN chunks c USING (chunk_id) WHERE length(c.raw_text) % 6 < 2 AND ref_type <> 'DROP') AS a
-          GROUP BY chunk_id) AS l USING (chunk_id)""",
+        FROM chunks c
+        LEFT JOIN (SELECT chunk_id, string_agg('c_' || raw, '|' ORDER BY ord) AS tables, string_agg(raw, '|' ORDER BY ord) AS names FROM replied GROUP BY chunk_id) AS n USING (chunk_id)
+        LEFT JOIN (SELECT chunk_id, string_agg(ref_type, '|' ORDER BY first) AS ops FROM (
+          SELECT chunk_id, ref_type, min(ord) AS first FROM replied GROUP BY chunk_id, ref_type) AS f GROUP BY chunk_id) AS o USING (chunk_id)""",
     "alias_registry": "SELECT canonical, alias FROM names",
     "alias_current": """SELECT alias, arg_max(canonical, place) AS canonical FROM (
         SELECT raw AS alias, moved AS canonical, place FROM m UNION ALL SELECT moved, moved, place FROM m) AS n GROUP BY alias""",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabletrail import settings
 from tabletrail.functions.joins import lookup_join
 from tabletrail.functions.text import name_key
+from tabletrail.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -32,16 +33,21 @@ def build_registry(refs: DataFrame, run: int = 1) -> Registry:
         name_key(F.col("canonical")).alias("canonical"),
         name_key(F.col("raw")).alias("raw"),
         "file_path",
-        F.struct("file_path", "line_start", "ord").alias("place"),
+        (F.col("line_start").cast("long") * 2**31 + F.col("ord")).alias("at"),
     )
     kept = kept.where("canonical <> '' AND raw <> ''")
-    # One row per pair first: every later step then sees distinct names, not all references.
-    pairs = kept.groupBy("canonical", "raw").agg(F.max("place").alias("place"))
+    # Places are numbers, which a hash aggregation can hold; paths are not. So a file's last reference comes first, then files get
+    # numbers in the order of their paths, and only these rows, one per pair and file, are compared by path.
+    last = written(kept.groupBy("canonical", "raw", "file_path").agg(F.max("at").alias("at")), "references")
+    files = written(last.select("file_path").distinct().sort("file_path").withColumn("_file", F.monotonically_increasing_id()), "files")
+    place = F.col("_file").cast("decimal(38,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("at")
+    pairs = last.join(files, "file_path").groupBy("canonical", "raw").agg(F.max(place.cast("decimal(38,0)")).alias("place"))
     names = pairs.select("canonical", F.explode(F.array("canonical", "raw")).alias("alias"), "place")
+    newest = names.groupBy("alias").agg(F.max("place").alias("place"))
     return Registry(
         names=names.select("canonical", "alias").distinct(),
-        files=kept.select("canonical", "file_path").distinct(),
-        current=names.groupBy("alias").agg(F.max_by("canonical", "place").alias("canonical")).withColumn("run", F.lit(run)),
+        files=last.select("canonical", "file_path").distinct(),
+        current=names.join(newest, ["alias", "place"]).select("alias", "canonical").distinct().withColumn("run", F.lit(run)),
     )
 
 
