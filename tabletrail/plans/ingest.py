@@ -25,6 +25,7 @@ def ingest(
     rules: Iterable[tuple[str, str]] | DataFrame = (),
     answer: Callable[[str], str] | None = None,
     workers: int | None = None,
+    replies_at: str | None = None,
     rebuild: bool = False,
     keep_stored: bool = False,
     include_hidden: bool = False,
@@ -39,7 +40,8 @@ def ingest(
     scripts: a folder, or a table of (file_path, source), which suits very many small files. `excluded` and `include_hidden`
     apply to a folder. With `answer`, a user function from prompt to reply, references come from its replies, and from
     patterns where a call failed. Without it all come from patterns, with `rules` (a list, or a table of alias and canonical)
-    naming aliases; `shell_writes` and `skip_imports` as in add_refs. `rebuild` starts a new registry instead of adding to the
+    naming aliases; `replies_at` is a folder that keeps the replies, so that a run after one that died asks only for what is
+    missing. `shell_writes` and `skip_imports` as in add_refs. `rebuild` starts a new registry instead of adding to the
     stored one. `keep_stored` adds to the stored index: files that came again replace their stored chunks, others stay, and only what
     is new is written. Beyond `max_segments` such runs the index is merged into one segment. `buckets` is the number of folders
     documents and postings are laid out in; thousands suit very large indexes. It and `features` stay as they are in an index
@@ -58,7 +60,7 @@ def ingest(
         chunks.write.parquet(f"{staging.path}/chunks")
         chunks = spark.read.parquet(f"{staging.path}/chunks")
         replies = f"{staging.path}/replies"
-        call_model(extraction_inputs(chunks), answer, workers).write.parquet(replies)
+        call_model(extraction_inputs(chunks), answer, workers, replies_at).write.parquet(replies)
         chunks = attach_refs(chunks, refs_with_fallback(spark.read.parquet(replies), chunks))
     staging.write_documents(build_documents(chunks))
     documents = spark.read.parquet(f"{staging.path}/documents")

@@ -58,3 +58,5 @@ SPARED_POSTINGS = 3
 QUERY_VECTORS_PER_PASS = 4096
 # Rows of an alias rule list that may travel inside the plan as literals.
 INLINE_RULES = 1000
+# Bytes of listed files that one task reads.
+LISTED_BYTES = 128 << 20
