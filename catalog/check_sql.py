@@ -504,7 +504,8 @@ _FINAL |= {
         SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 8) DESC, chunk_id) AS rank FROM p_scores) AS t WHERE rank <= 10""",
     "text_vector_topk": """SELECT query, doc_id, round(score, 6) AS score, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc_id) AS rank FROM v_near) AS n WHERE rank <= 10""",
-    "saved_registry": "SELECT alias, max(canonical) AS canonical FROM names GROUP BY alias",
+    "saved_registry": """SELECT alias, canonical, file_count FROM newest
+        JOIN (SELECT canonical, count(DISTINCT file_path) AS file_count FROM aliased GROUP BY canonical) AS f USING (canonical)""",
     "exported_report": _FINAL["file_report"],
     "exported_graph": "SELECT src, dst, operation, operation || ' (lines ' || lines || ')' AS title FROM edges",
     "model_references": f"""SELECT raw, canonical, ref_type, confidence, count(*) AS n FROM (

@@ -553,15 +553,13 @@ def published_topk(spark, sf) -> DataFrame:
 
 @query
 def saved_registry(spark, sf) -> DataFrame:
-    """The registry exported as lines, gathered into the one-document form, and imported again."""
+    """The registry exported as lines and read again: which table each name stands for, and how many files use that."""
     root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
     snapshots.export_registry(I.registry(spark, sf), root)
-    names = spark.read.schema("canonical string, alias string").json(f"{root}/names")
-    entry = names.groupBy("canonical").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
-    pair = F.concat(F.to_json(F.struct(F.col("canonical").alias("k"))), F.lit(""))
-    body = F.concat(F.regexp_replace(pair, r'^\{"k":|\}$', ""), F.lit(': {"aliases": '), F.to_json("aliases"), F.lit(', "files": []}'))
-    entry.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(body)), ","), F.lit("}")).alias("value")).write.text(f"{root}/one")
-    return snapshots.import_registry(spark, f"{root}/one").current.select("alias", "canonical")
+    loaded = snapshots.import_lines(spark, root)
+    used = loaded.files.groupBy("canonical").agg(F.count("*").alias("file_count"))
+    known = loaded.names.join(loaded.current, ["alias", "canonical"], "left_semi")
+    return known.join(used, "canonical").select("alias", "canonical", "file_count")
 
 
 @query

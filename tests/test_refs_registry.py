@@ -6,7 +6,7 @@ from tabletrail.operators import registry as G
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.documents import attach_refs, build_documents
 from tabletrail.operators.refs import add_refs, name_aliases, ref_rows
-from tabletrail.sources.snapshots import export_registry, import_registry
+from tabletrail.sources.snapshots import export_registry, import_lines, import_registry
 
 REF_ROWS = "chunk_id string, file_path string, line_start int, ord int, raw string, canonical string, ref_type string, confidence string"
 
@@ -98,3 +98,20 @@ def test_text_helpers(spark):
     row = line.select(T.tokens(F.col("t")).alias("t"), T.clean_query(F.col("q")).alias("q"), T.folder_list(F.col("f")).alias("f"), T.strip(F.col("t")).alias("s")).first()
     assert row["t"] == ["größe_1", "x", "y"] and row["q"].startswith("drop table a.b-c xxx") and len(row["q"]) == 317
     assert row["f"] == ["archive", "old", "tmp"] and row["s"] == "Größe_1 x-y"
+
+
+def test_exported_lines_are_read_again(spark, tmp_path):
+    refs = spark.createDataFrame(
+        [("/a.sql", 1, 0, "rd_old", "reading", "READ"), ("/b.sql", 9, 2, "rd_old", "level", "READ"), ("/b.sql", 10, 0, "gauge", "gauge", "WRITE")],
+        "file_path string, line_start int, ord int, raw string, canonical string, ref_type string",
+    )
+    registry = G.build_registry(refs, run=3)
+    export_registry(registry, str(tmp_path / "out"))
+    loaded = import_lines(spark, str(tmp_path / "out"))
+    for part in ("names", "files", "current"):
+        mine, other = getattr(loaded, part), getattr(registry, part)
+        assert {tuple(r) for r in mine.select(*other.columns).collect()} == {tuple(r) for r in other.collect()}
+    assert {r["alias"]: r["canonical"] for r in loaded.current.collect()}["rd_old"] == "level", "the last reference decides"
+    assert import_lines(spark, str(tmp_path / "none")).current.count() == 0
+    plan = G.build_registry(refs).current._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
