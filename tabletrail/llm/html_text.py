@@ -26,7 +26,7 @@ from tabletrail.llm.tasks import by_batch, dealt
 # Elements by what HTML says of them, and names that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template iframe svg math textarea title object canvas"
-OUT = frozenset("head nav footer aside menu dialog button select option fieldset label".split()) | frozenset(RAW.split())
+OUT = frozenset("head nav footer aside menu dialog select option fieldset".split()) | frozenset(RAW.split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -56,9 +56,22 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z",
     re.I | re.S,
 )
-_NAMED = re.compile(r"""(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?([a-z]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Controls: out, but for those within running text.
+CONTROLS = frozenset(("button", "label"))
+RUNNING = ("p", "li", "td", "dd", "blockquote")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    """Names in lower case with their values; of a name given twice the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _is_hidden(given: dict[str, str]) -> bool:
+    return "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or "display:none" in re.sub(r"\s", "", given.get("style", "").lower())
 
 
 class Tree:
@@ -86,7 +99,8 @@ class Tree:
         self._settle_layout()
 
     def _settle_layout(self) -> None:
-        """Elements named for the layout, or for what is not main text, go out unless they hold most of the text that is left.
+        """Elements named for the layout, or for what is not main text, and hidden ones go out unless they hold most of the text
+        that is left.
         Of the latter kind (`apart`) they go too when an article, main or h1 element stands outside them and none within."""
         if not any(self.layout):
             return
@@ -128,17 +142,17 @@ class Tree:
         if name in ITEM_OF:
             self._end_open(stack, name, ITEM_OF[name])
         parent = stack[-1]
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
-        role = _ROLE.search(rest) if rest else None
-        layout = apart = False
-        out = self.out[parent] or name in OUT or bool(rest and _HIDDEN.search(rest))
+        given = _attributes(rest) if rest else {}
+        named = f"{given.get('class', '')} {given.get('id', '')}".strip()
+        layout, apart = _is_hidden(given), False
+        out = self.out[parent] or name in OUT or name in CONTROLS and not self._within(RUNNING)
         out = out or name == "header" and not self._within(("article", "main"))
         if not out and name not in ("html", "body", "article", "main"):
-            out = bool(role and role[1].lower() in ROLES)
             apart = name == "form" or bool(named and NOT_MAIN.search(named))
-            layout = apart or bool(named and LAYOUT.search(named)) and not self._within(("article",))
+            layout = layout or apart or given.get("role", "").strip().lower() in ROLES
+            layout = layout or bool(named and LAYOUT.search(named)) and not self._within(("article",))
         elif not out and name == "article":
-            layout = bool(named and _ARTICLE_NOT_MAIN.search(named))
+            layout = layout or bool(named and _ARTICLE_NOT_MAIN.search(named))
         node = len(self.name)
         self.name.append(name)
         self.parent.append(parent)
