@@ -519,6 +519,7 @@ _FINAL |= {
         UNION ALL SELECT query, false, operation, matched_via FROM results WHERE rank <= {TOP_K}) AS b GROUP BY ALL""",
 }
 _FINAL["vector_topk_label_filter"] = _FINAL["vector_topk"].replace("FROM vec e, (", "FROM (SELECT * FROM vec WHERE label % 2 = 1) AS e, (")
+_FINAL["vector_topk_cells"], _FINAL["table_filter_buckets"] = _FINAL["vector_topk"], _FINAL["table_filter"]
 _FINAL["alias_current"] = _FINAL["alias_current"].replace(
     "FROM m ", "FROM (SELECT raw, CASE WHEN file_path LIKE '%/core/%' THEN canonical || '_core' ELSE canonical END AS moved, (file_path, line_start, ord) AS place FROM aliased) AS m "
 ).replace("FROM m)", "FROM (SELECT raw, CASE WHEN file_path LIKE '%/core/%' THEN canonical || '_core' ELSE canonical END AS moved, (file_path, line_start, ord) AS place FROM aliased) AS m)")

@@ -112,10 +112,13 @@ def semantic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(chunk_vectors(spark, sf_dir), queries.select("query", "embedding"), 2 * TOP_K)
 
 
-def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = expanded(spark, sf_dir).select("query", "canonical").distinct()
-    tables = with_vector(names, F.length("canonical") * 3, table(spark, sf_dir, "embeddings"))
-    return vectors.with_table(chunk_vectors(spark, sf_dir), tables, 2 * TOP_K)
+    return with_vector(names, F.length("canonical") * 3, table(spark, sf_dir, "embeddings"))
+
+
+def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.with_table(chunk_vectors(spark, sf_dir), table_queries(spark, sf_dir), 2 * TOP_K)
 
 
 def _stored_index(docs: DataFrame, text: str, key: str) -> bm25.Bm25Index:

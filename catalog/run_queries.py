@@ -16,7 +16,7 @@ from tabletrail.operators import bm25, chunks as C, documents as D, graph, refs
 from tabletrail.operators import vectors as V
 from tabletrail.sources import scripts as S
 from tabletrail.sources import snapshots
-from tabletrail.sources.scratch import shared_folder
+from tabletrail.sources.scratch import shared_folder, written
 from tabletrail.sources.snapshots import upsert
 
 QUERIES = {}
@@ -437,6 +437,13 @@ def vector_topk(spark, sf) -> DataFrame:
     return _near(V.nearest(I.table(spark, sf, "embeddings"), _label_queries(spark, sf), 20, key="vec_id"))
 
 
+@query
+def vector_topk_cells(spark, sf) -> DataFrame:
+    """The same, exact, from vectors laid out by cells; cells that cannot hold a nearer one are not read."""
+    cells = V.build_cells(I.table(spark, sf, "embeddings"), "vec_id")
+    return _near(V.nearest_in_cells(cells, _label_queries(spark, sf), 20, "vec_id"))
+
+
 @query
 def vector_topk_label_filter(spark, sf) -> DataFrame:
     """The filter comes before ranking, so 20 of the wanted rows are found."""
@@ -450,6 +457,14 @@ def table_filter(spark, sf) -> DataFrame:
     return found.select("query", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def table_filter_buckets(spark, sf) -> DataFrame:
+    """The same from vectors laid out by table name, of which only the asked names' folders are read."""
+    laid_out = written(V.by_table(I.chunk_vectors(spark, sf)), "by_table", by="bucket")
+    found = V.with_table_in_buckets(laid_out, I.table_queries(spark, sf), 2 * I.TOP_K)
+    return found.select("query", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def semantic_chunks(spark, sf) -> DataFrame:
     found = I.semantic_hits(spark, sf)

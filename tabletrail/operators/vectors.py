@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from tabletrail import settings
 from tabletrail.functions.joins import top_per_group
 from tabletrail.functions.text import tokens
+from tabletrail.operators.bm25 import bucket_of
 from tabletrail.sources.scratch import written
 
 # Numbers in one block of a task: rows times queries, or times the width of a vector.
@@ -137,6 +138,162 @@ def with_table(documents: DataFrame, tables: DataFrame, n: int) -> DataFrame:
     return nearest(documents, tables, n, same_table=True)
 
 
+def by_table(documents: DataFrame, buckets: int = settings.STORE_BUCKETS, key: str = "chunk_id") -> DataFrame:
+    """(bucket, table, key, embedding): the vectors once for each table they name, to be written in folders by bucket."""
+    named = documents.select(key, "embedding", F.explode(F.array_distinct("canonical_tables")).alias("table"))
+    return named.withColumn("bucket", bucket_of("table", buckets)).select("bucket", "table", key, "embedding")
+
+
+def with_table_in_buckets(laid_out: DataFrame, tables: DataFrame, n: int, buckets: int = settings.STORE_BUCKETS, key: str = "chunk_id") -> DataFrame:
+    """As with_table, from vectors laid out by table: only the folders of the asked tables are read."""
+    asked = [r[0] for r in tables.where("canonical IS NOT NULL").select(bucket_of("canonical", buckets)).distinct().collect()]
+    rows = laid_out.where(F.col("bucket").isin(asked)).select(key, "embedding", F.array("table").alias("canonical_tables"))
+    return nearest(rows, tables, n, key, same_table=True)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Vectors laid out by the centre they are nearest to. No vector of a cell is further from its centre than its radius; the
+    last cell is that of vectors without a direction and has no radius that bounds it."""
+
+    rows: DataFrame  # cell, key, embedding
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+
+
+def _centres(sample: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
+    """k-means of unit vectors, started from vectors far from the ones before."""
+    chosen = [sample[0]]
+    far = np.full(len(sample), np.inf)
+    while len(chosen) < min(n, len(sample)):
+        far = np.minimum(far, ((sample - chosen[-1]) ** 2).sum(axis=1))
+        chosen.append(sample[int(far.argmax())])
+    centres = np.array(chosen)
+    for _ in range(rounds):
+        nearest_one = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest_one, sample)
+        held = np.bincount(nearest_one, minlength=len(centres)) > 0
+        centres[held] = _unit(sums[held])
+    return centres
+
+
+def build_cells(documents: DataFrame, key: str = "chunk_id", cells: int = settings.VECTOR_CELLS, sample: int = settings.CELL_SAMPLE) -> Cells:
+    """Lay out (key, embedding) by cells, in the shared folder. The centres are fitted on about `sample` vectors chosen by a hash of
+    their key; every vector is laid out, and the radii are those of all vectors."""
+    rows = documents.where("embedding IS NOT NULL").select(key, F.col("embedding").cast("array<double>"))
+    there = rows.count()
+    some = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(there, 1))) + 1)
+    vectors = [r[0] for r in some.select("embedding").collect()]
+    units = _unit(np.array(vectors, dtype=float)) if vectors else np.zeros((0, 1))
+    units = units[np.any(units != 0, axis=1)]
+    centres = _centres(units, cells) if len(units) else np.zeros((0, units.shape[1]))
+    kind = documents.schema[key].dataType.simpleString()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_CELLS // max(len(centres), 64)):
+                part = batch.slice(at, BLOCK_CELLS // max(len(centres), 64))
+                unit = _unit(_matrix(part.column(1), pc.list_value_length(part.column(1))[0].as_py()))
+                cell = np.full(len(unit), len(centres), np.int32)
+                apart = np.zeros(len(unit))
+                there = np.any(unit != 0, axis=1)
+                if len(centres):
+                    cell[there] = (unit[there] @ centres.T).argmax(axis=1)
+                    apart[there] = np.linalg.norm(unit[there] - centres[cell[there]], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0), part.column(1), pa.array(apart)], names=["cell", key, "embedding", "apart"])
+
+    laid_out = written(rows.mapInArrow(assign, f"cell int, {key} {kind}, embedding array<double>, apart double"), "cells", by="cell")
+    radii, sizes = np.zeros(len(centres) + 1), np.zeros(len(centres) + 1, np.int64)
+    radii[-1] = np.inf
+    for r in laid_out.groupBy("cell").agg(F.max("apart").alias("radius"), F.count("*").alias("n")).collect():
+        sizes[r["cell"]] = r["n"]
+        if r["cell"] < len(centres):
+            radii[r["cell"]] = r["radius"]
+    return Cells(laid_out.drop("apart"), centres, radii, sizes)
+
+
+def _least_distances(cells: Cells, matrix: np.ndarray) -> np.ndarray:
+    """How near a vector of each cell can be to each query at best, by the triangle inequality."""
+    least = np.full((len(matrix), len(cells.radii)), -np.inf)
+    if len(cells.centres):
+        apart = np.linalg.norm(matrix[:, None, :] - cells.centres[None, :, :], axis=2)
+        least[:, :-1] = np.maximum(apart - cells.radii[:-1], 0.0)
+    least[~np.any(matrix != 0, axis=1)] = -np.inf
+    least[:, cells.sizes == 0] = np.inf
+    return least
+
+
+def nearest_in_cells(
+    cells: Cells, queries: DataFrame, n: int, key: str = "chunk_id", per_pass: int = settings.QUERY_VECTORS_PER_PASS, read: list[int] | None = None
+) -> DataFrame:
+    """As nearest, exact, without reading the cells that cannot hold one of a query's n nearest.
+
+    The cells that can be nearest are read first, until they hold n vectors; the n-th distance found there tells which others can still
+    hold a nearer one. `read` gets the number of (query, cell) pairs that were read, and of all.
+    """
+    spark = cells.rows.sparkSession
+    kind, asked = cells.rows.schema[key].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    schema = f"query {asked}, {key} {kind}, score double"
+    columns = queries.where("embedding IS NOT NULL").select("query", F.col("embedding").cast("array<double>"))
+    passes = -(-max(columns.count(), 1) // per_pass)
+    columns = written(columns, "asked") if passes > 1 else columns
+    best = spark.createDataFrame([], schema)
+    for number in range(passes):
+        rows = (columns if passes == 1 else columns.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)).collect()
+        if not rows:
+            continue
+        names, matrix = [r["query"] for r in rows], _unit(np.array([r["embedding"] for r in rows], dtype=float))
+        least = _least_distances(cells, matrix)
+        order = np.argsort(least, axis=1, kind="stable")
+        counted = np.append(cells.sizes[:-1], 0)  # vectors without a direction are near nothing
+        before = np.take_along_axis(np.broadcast_to(counted, least.shape), order, axis=1).cumsum(axis=1)
+        first = np.zeros(least.shape, bool)
+        np.put_along_axis(first, order, np.concatenate([np.ones((len(names), 1), bool), before[:, :-1] < n], axis=1), axis=1)
+        first &= cells.sizes > 0
+        found = written(_read_cells(cells, names, matrix, first, key, n, schema), "nearest")
+        last = top_per_group(found, ["query"], [F.desc("score")], n).where(F.col("rank") == n)
+        reach = {r["query"]: np.sqrt(max(2 - 2 * r["score"], 0.0)) + 1e-6 for r in last.collect()}
+        limit = np.array([reach.get(q, np.inf) for q in names])[:, None]
+        more = ~first & (least <= limit) & (cells.sizes > 0)
+        if more.any():
+            found = found.unionByName(written(_read_cells(cells, names, matrix, more, key, n, schema), "nearest"))
+        if read is not None:
+            read[:] = [*read, int(first.sum() + more.sum()), int(len(names) * (cells.sizes > 0).sum())]
+        best = best.unionByName(found)
+    return top_per_group(best, ["query"], [F.desc("score"), F.asc(key)], n)
+
+
+def _read_cells(cells: Cells, names: list, matrix: np.ndarray, wanted: np.ndarray, key: str, n: int, schema: str) -> DataFrame:
+    """The n best of each task for each query, among the rows of its wanted cells only."""
+    asking = {int(c): np.flatnonzero(wanted[:, c]) for c in np.flatnonzero(wanted.any(axis=0))}
+    sent = cells.rows.sparkSession.sparkContext.broadcast((names, matrix, asking))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, asking = sent.value
+        kept = None
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for cell in np.unique(place).tolist():
+                mine, near = batch.filter(pa.array(place == cell)), asking[cell]
+                block = max(BLOCK_CELLS // len(near), 1)
+                for at in range(0, mine.num_rows, block):
+                    part = mine.slice(at, block)
+                    similar = np.round(_unit(_matrix(part.column(2), matrix.shape[1])) @ matrix[near].T, 12)
+                    least = np.partition(similar, -n, axis=0)[-n] if len(similar) > n else -np.inf
+                    row, q = np.nonzero(similar >= least)
+                    keys = part.column(1).to_numpy(zero_copy_only=False)
+                    more = pd.DataFrame({"q": near[q], key: keys[row], "score": similar[row, q]})
+                    more = more if kept is None else pd.concat([kept, more], ignore_index=True)
+                    kept = more.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(n)
+        if kept is not None and len(kept):
+            found = kept.assign(query=np.array(names, dtype=object)[kept["q"]])[["query", key, "score"]]
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    return cells.rows.where(F.col("cell").isin(list(asking))).select("cell", key, "embedding").mapInArrow(run, schema)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length one; a row of zeros, which has no direction, stays zero."""
     length = np.linalg.norm(rows, axis=1, keepdims=True)

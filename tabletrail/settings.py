@@ -60,3 +60,6 @@ QUERY_VECTORS_PER_PASS = 4096
 INLINE_RULES = 1000
 # Bytes of listed files that one task reads.
 LISTED_BYTES = 128 << 20
+# Cells that vectors are laid out in, and vectors their centres are fitted on.
+VECTOR_CELLS = 64
+CELL_SAMPLE = 20_000
