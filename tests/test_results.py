@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tabletrail.operators import bm25, graph, replies, report, rerank
+from tabletrail.operators import bm25, graph, replies, report, rerank, vectors
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.refs import add_refs, ref_rows
 from tabletrail.operators.documents import build_documents
@@ -96,18 +96,17 @@ def test_unfinished_snapshot_stays_unseen(spark, tmp_path):
     first.write_documents(build_documents(chunks))
     first.write_registry(build_registry(ref_rows(chunks)))
     first.write_postings(bm25.postings_of(build_documents(chunks)))
-    first.write_terms(bm25.build_index(build_documents(chunks)))
-    first.write_layout()
+    first.write_blocks(bm25.build_index(build_documents(chunks)).blocks)
     with pytest.raises(ValueError, match="vectors"):
         first.commit()
-    first.write_vectors(chunks.select("chunk_id"))
+    first.write_vectors(vectors.text_counts(build_documents(chunks).select("chunk_id", "canonical_tables", "embedding_text")))
     first.commit()
     dead = snapshots.begin(spark, root)
     dead.write_documents(build_documents(chunks).limit(0))
     assert snapshots.read_documents(spark, root).count() == 1
-    assert snapshots.begin(spark, root).number > dead.number and (tmp_path / "index" / dead.path.rsplit("/", 1)[1]).exists()
+    assert snapshots.begin(spark, root).number > dead.number and (tmp_path / "index" / "segments" / dead.path.rsplit("/", 1)[1]).exists()
     again = snapshots.begin(spark, root, stale_hours=0)
-    assert again.number > dead.number and not (tmp_path / "index" / dead.path.rsplit("/", 1)[1]).exists()
+    assert again.number > dead.number and not (tmp_path / "index" / "segments" / dead.path.rsplit("/", 1)[1]).exists()
     old = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "chunk_id string, v int")
     assert sorted(map(tuple, snapshots.upsert(old, new).collect())) == [("a", 1), ("b", 3), ("c", 4)]
