@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
@@ -17,16 +17,61 @@ _TOKEN = rf'''{_TRIPLE_DOUBLE}|{_TRIPLE_SINGLE}|{_SHORT}|#[^\n]*+|[^"'#]++|[\s\S
 _BLOCK_30 = r"(?:[^\n]*+\n){1,%d}+" % settings.BLOCK_LINES
 _BLANK_RUN = rf"(?:{marks.BLANK}[^\n]*+\n)++"
 
-_STATE = "struct<line:int,depth:int,cont:boolean,kind:int,top:boolean,begins:boolean>"
+_STATE = "struct<line:int,depth:int,cont:boolean,kind:int,top:boolean,begins:boolean,head:boolean,opened:boolean,opens:boolean>"
 _OTHER, _DEF, _CLASS, _DECORATOR = 1, 2, 3, 4
 
+# What the language allows.
+_MOST_BRACKETS = 200
+_MOST_INDENTS = 100
+_TAB = 8
+_STRAY = r"[$?`]|!(?!=)|\\(?!\r?\n|\r?\z)"
 
-def add_python_pieces(files: DataFrame) -> DataFrame:
-    """Add python_pieces(mode, body, line) to the rows of Python files.
+
+def _bracket_fault(blanked: Column) -> Column:
+    """Whether a bracket closes another kind, or none, or too many are open. The brackets awaited are a stack in a string."""
+    pairs = {"(": ")", "[": "]", "{": "}"}
+
+    def step(before: Column, bracket: Column) -> Column:
+        awaited = F.substring(before["awaited"], -1, 1)
+        opening = bracket.isin(*pairs)
+        bad = before["bad"] | F.when(opening, F.length(before["awaited"]) >= _MOST_BRACKETS).otherwise(awaited != bracket)
+        pushed = F.concat(before["awaited"], F.translate(bracket, "".join(pairs), "".join(pairs.values())))
+        popped = F.substring(before["awaited"], F.lit(1), F.greatest(F.length(before["awaited"]) - 1, F.lit(0)))
+        return F.struct(F.when(bad, before["awaited"]).when(opening, pushed).otherwise(popped).alias("awaited"), bad.alias("bad"))
+
+    zero = F.struct(F.lit("").alias("awaited"), F.lit(False).alias("bad"))
+    return F.aggregate(find_all(blanked, r"[()\[\]{}]"), zero, step, lambda last: last["bad"])
+
+
+def _indent_fault(heads: Column) -> Column:
+    """Whether the first lines of statements, struct(opened, wide, narrow) each, are indented as no program is.
+
+    An automaton with a stack of open indents: after a line that opens a block the next is deeper; no other is; a line that
+    goes back must meet an open indent. Each indent is measured with tabs to every eighth column and with tabs as one, and
+    both measures must agree on what is deeper.
+    """
+
+    def step(before: Column, line: Column) -> Column:
+        stack = before["stack"]
+        top = F.element_at(stack, -1)
+        deeper = line["opened"] & (line["wide"] > top["wide"]) & (line["narrow"] > top["narrow"]) & (F.size(stack) < _MOST_INDENTS)
+        left = F.filter(stack, lambda open_: open_["wide"] <= line["wide"])
+        meets = F.element_at(left, -1) == F.struct(line["wide"].alias("wide"), line["narrow"].alias("narrow"))
+        fits = F.when(line["opened"], deeper).otherwise(meets)
+        pushed = F.array_append(stack, F.struct(line["wide"].alias("wide"), line["narrow"].alias("narrow")))
+        return F.struct(F.when(line["opened"], pushed).otherwise(left).alias("stack"), (before["bad"] | ~fits).alias("bad"))
+
+    zero = F.struct(
+        F.array(F.struct(F.lit(0).alias("wide"), F.lit(0).alias("narrow"))).alias("stack"), F.lit(False).alias("bad")
+    ).cast("struct<stack:array<struct<wide:int,narrow:int>>,bad:boolean>")
+    return F.aggregate(heads, zero, step, lambda last: last["bad"])
+
+
+def _scanned(files: DataFrame) -> DataFrame:
+    """Adds the source, its lines' states, and what keeps a Python file from being a program.
 
     String bodies and comments are blanked first, line by line in place; then a line belongs to the top level if it
-    starts in column 0, outside brackets and not after a backslash. An open bracket or quote at the end, or no
-    statement at all, leaves fixed blocks of lines.
+    starts in column 0, outside brackets and not after a backslash.
     """
     is_python = F.col("file_type") == "python"
     out = files.withColumn("_src", F.when(is_python, marks.unmarked(F.col("source"))))
@@ -54,13 +99,18 @@ def add_python_pieces(files: DataFrame) -> DataFrame:
                 .otherwise(_OTHER)
                 .alias("kind"),
                 (F.length(F.translate(m, ")]}", "")) - F.length(F.translate(m, "([{", ""))).alias("delta"),
-                F.endswith(m, F.lit("\\")).alias("cont"),
+                F.endswith(F.rtrim(m, F.lit("\r")), F.lit("\\")).alias("cont"),
                 (F.ltrim(m, F.lit(" \t\f")) == "").alias("blank"),
+                (F.ltrim(m, F.lit(" \t\f\r")) == "").alias("empty"),
+                F.startswith(m, F.lit(marks.INSIDE)).alias("inside"),
+                F.endswith(F.rtrim(m, F.lit(" \t\f\r\\")), F.lit(":")).alias("colon"),
+                F.regexp_replace(F.regexp_extract(m, r"^[ \t\f]*", 0), r"^[\s\S]*\f", "").alias("indent"),
             ),
         ),
     )
 
     def step(before, item):
+        head = ~item["empty"] & ~item["inside"] & (before["depth"] == 0) & ~before["cont"]
         top = (item["kind"] > 0) & (before["depth"] == 0) & ~before["cont"]
         joins = (before["kind"] == _DECORATOR) | ((before["kind"] == _OTHER) & (item["kind"] == _OTHER))
         return F.struct(
@@ -70,13 +120,66 @@ def add_python_pieces(files: DataFrame) -> DataFrame:
             F.when(top, item["kind"]).otherwise(before["kind"]).alias("kind"),
             top.alias("top"),
             (top & ~joins).alias("begins"),
+            head.alias("head"),
+            (head & before["opens"]).alias("opened"),
+            F.when(item["empty"], before["opens"]).otherwise(item["colon"] & (before["depth"] + item["delta"] <= 0)).alias("opens"),
         )
 
     zero = F.struct(
         F.lit(0).alias("line"), F.lit(0).alias("depth"), F.lit(False).alias("cont"),
         F.lit(0).alias("kind"), F.lit(False).alias("top"), F.lit(False).alias("begins"),
+        F.lit(False).alias("head"), F.lit(False).alias("opened"), F.lit(False).alias("opens"),
     )
     out = out.withColumn("_states", running(F.col("_items"), zero, step, _STATE))
+    stops = r" {%d}| {0,%d}\t" % (_TAB, _TAB - 1)
+    heads = F.filter(
+        F.zip_with(
+            "_states",
+            "_items",
+            lambda s, item: F.struct(
+                s["head"].alias("head"),
+                s["opened"].alias("opened"),
+                (F.length(F.regexp_replace(item["indent"], stops, "\t" * _TAB))).alias("wide"),
+                F.length(item["indent"]).alias("narrow"),
+            ),
+        ),
+        lambda line: line["head"],
+    )
+    out = out.withColumn("_heads", heads)
+    # Lines indented as the one before them cannot change anything, unless a block should begin.
+    out = out.withColumn(
+        "_heads",
+        F.filter(
+            "_heads",
+            lambda line, i: line["opened"]
+            | (i == 0)
+            | (line["wide"] != F.get("_heads", i - 1)["wide"])
+            | (line["narrow"] != F.get("_heads", i - 1)["narrow"]),
+        ),
+    )
+    last = F.element_at("_states", -1)
+    fault = (
+        F.when(F.col("_broken"), "quote")
+        .when(_bracket_fault(F.col("_blanked")) | (last["depth"] > 0), "bracket")
+        .when(F.col("_blanked").rlike(_STRAY), "character")
+        .when(_indent_fault(F.col("_heads")), "indent")
+        .when(last["opens"] | last["cont"], "end")
+    )
+    return out.withColumn("_fault", F.when(is_python, fault)).drop("_tokens", "_broken", "_blanked", "_heads")
+
+
+def python_faults(files: DataFrame) -> DataFrame:
+    """(file_path, fault) of the Python files among (file_path, file_type, source): quote, bracket, character, indent or end; null
+    where none is found. A fault named is one; a file without may still be no program, as statements are not parsed."""
+    return _scanned(files.where("file_type = 'python'")).select("file_path", F.col("_fault").alias("fault"))
+
+
+def add_python_pieces(files: DataFrame) -> DataFrame:
+    """Add python_pieces(mode, body, line) to the rows of Python files.
+
+    A fault that keeps the file from being a program, or no statement at all, leaves fixed blocks of lines.
+    """
+    out = _scanned(files)
     heads = F.zip_with(
         "_states",
         "_items",
@@ -88,7 +191,7 @@ def add_python_pieces(files: DataFrame) -> DataFrame:
     )
     marked = F.zip_with(heads, lines_of(F.col("_src")), lambda head, line: F.concat(head, line, F.lit("\n")))
     out = out.withColumn("_blocks", marks.blocks_of(F.array_join(marked, "")))
-    bad = F.col("_broken") | (F.element_at("_states", -1)["depth"] > 0) | (F.size("_blocks") == 0)
+    bad = F.col("_fault").isNotNull() | (F.size("_blocks") == 0)
     closed_source = F.when(F.endswith("_src", F.lit("\n")) | (F.col("_src") == ""), F.col("_src")).otherwise(
         F.concat("_src", F.lit("\n"))
     )
@@ -102,7 +205,7 @@ def add_python_pieces(files: DataFrame) -> DataFrame:
         "_blocks", lambda b: F.struct(F.lit("node").alias("mode"), b.alias("body"), F.lit(0).alias("line"))
     )
     out = out.withColumn("python_pieces", F.when(bad, fixed).otherwise(cut))
-    return out.drop("_src", "_tokens", "_broken", "_blanked", "_items", "_states", "_blocks")
+    return out.drop("_src", "_items", "_states", "_fault", "_blocks")
 
 
 def finish_python(pieces: DataFrame) -> DataFrame:
