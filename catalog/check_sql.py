@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from catalog.corpus import ALIAS_RULES, corpus_sql
+from catalog.corpus import ALIAS_RULES, corpus_sql, faulty_sql
 from catalog.inputs import TOP_K, target_names_sql
 from tabletrail import settings
 
@@ -112,6 +112,38 @@ FROM (SELECT *, count(*) OVER (PARTITION BY file_path) AS n FROM py_lines) AS l
 WHERE file_path NOT IN (SELECT file_path FROM py_blocks) AND NOT (i = n AND line = '')
 GROUP BY file_path, (i - 1) // 30"""
 
+# --- Python that is none: each bracket beside the last of its depth, each indent beside the nearest that is not deeper
+
+CTES["fp_files"] = faulty_sql()
+for _name in ("py_tokens", "py_masked", "py_lines", "py_depth"):
+    CTES["fp" + _name[2:]] = CTES[_name].replace("py_", "fp_").replace("FROM files", "FROM fp_files")
+CTES["fp_brackets"] = r"""
+SELECT *, lag(c) OVER (PARTITION BY file_path, level ORDER BY i) AS other FROM (
+  SELECT *, sum(up) OVER (PARTITION BY file_path ORDER BY i) + CASE WHEN up < 0 THEN 1 ELSE 0 END AS level FROM (
+    SELECT *, CASE WHEN c IN ('(', '[', '{') THEN 1 ELSE -1 END AS up FROM (
+      SELECT file_path, unnest(found) AS c, generate_subscripts(found, 1) AS i
+      FROM (SELECT file_path, regexp_extract_all(masked, '[\[\](){}]') AS found FROM fp_masked) AS f) AS b) AS u) AS l"""
+CTES["fp_heads"] = r"""
+SELECT *, lag(wide, 1, 0) OVER (PARTITION BY file_path ORDER BY i) AS before_wide, lag(narrow, 1, 0) OVER (PARTITION BY file_path ORDER BY i) AS before_narrow FROM (
+  SELECT *, length(replace(indent, chr(9), repeat(' ', 8))) AS wide, length(indent) AS narrow FROM (
+    SELECT *, regexp_extract(m, '^[ \t]*') AS indent, coalesce(lag(m LIKE '%:' AND depth + delta = 0) OVER (PARTITION BY file_path ORDER BY i), false) AS opened,
+      lead(i) OVER (PARTITION BY file_path ORDER BY i) IS NULL AND m LIKE '%:' AS ends
+    FROM (SELECT *, coalesce(lag(m) OVER (PARTITION BY file_path ORDER BY i), '') AS line_before FROM fp_depth) AS p WHERE regexp_matches(m, '[^ \t]')) AS h
+  WHERE depth = 0 AND m NOT LIKE '~%' AND NOT ends_with(line_before, chr(92))) AS w"""
+CTES["fp_faults"] = r"""
+SELECT file_path, CASE WHEN file_path IN (SELECT file_path FROM fp_brackets WHERE up < 0 AND (level < 1 OR other || c NOT IN ('()', '[]', '{}')))
+    OR file_path IN (SELECT file_path FROM fp_depth WHERE final_depth > 0) THEN 'bracket'
+  WHEN regexp_matches(masked, '[$?`]') THEN 'character'
+  WHEN file_path IN (SELECT h.file_path FROM fp_heads h WHERE CASE WHEN opened THEN wide <= before_wide OR narrow <= before_narrow
+      WHEN wide >= before_wide THEN wide > before_wide OR narrow <> before_narrow
+      ELSE (SELECT arg_max(o.wide, o.i) FROM fp_heads o WHERE o.file_path = h.file_path AND o.i < h.i AND o.wide <= h.wide) <> wide END) THEN 'indent'
+  WHEN file_path IN (SELECT file_path FROM fp_heads WHERE ends) THEN 'end' ELSE '' END AS fault
+FROM fp_masked"""
+for _name in ("py_nodes", "py_grouped", "py_blocks", "python_chunks"):
+    CTES["fp_chunks" if _name == "python_chunks" else "fp" + _name[2:]] = (
+        CTES[_name].replace("py_", "fp_").replace("WHERE final_depth = 0", "WHERE file_path IN (SELECT file_path FROM fp_faults WHERE fault = '')")
+    )
+
 # --- Shell: a recursion that reads one line of every file at a time -----------
 
 CTES["sh_lines"] = f"""
@@ -388,6 +420,8 @@ _FINAL: dict[str, str] = {
         SELECT file_path, 'block' AS chunk_type, string_agg(line, {NL} ORDER BY i) AS raw_text, min(i) AS line_start, max(i) AS line_end FROM (
           SELECT file_path, unnest(string_split(source, {NL})) AS line, generate_subscripts(string_split(source, {NL}), 1) AS i FROM ({_OPEN}) AS d) AS l
         GROUP BY file_path, (i - 1) // 30""",
+    "python_faults": "SELECT file_path, fault FROM fp_faults",
+    "faulty_blocks": "SELECT file_path, chunk_type, raw_text, line_start, line_end FROM fp_chunks",
     "chunk_captions": "SELECT chunk_id, '[' || upper(file_type) || '] ' || file_path || ' lines ' || line_start || '-' || line_end || ' (' || chunk_type || ')' AS caption FROM chunks",
     "tiny_chunks": f"SELECT chunk_id, raw_text FROM chunks WHERE length({_strip('raw_text')}) < 10",
     "chunk_type_counts": "SELECT file_type, chunk_type, count(*) AS n FROM chunks GROUP BY file_type, chunk_type",

@@ -180,3 +180,33 @@ FROM (
               WHEN MOD(o_orderkey, 3) = 0 THEN '.sql' WHEN MOD(o_orderkey, 3) = 1 THEN '.py' ELSE '.sh' END AS extension
   FROM {orders}
 ) AS keys"""
+
+
+_FAULTY = [
+    "import os\n{x}if a:\n    for i in b:\n        {s}(i)\n    c\nelse:\n  d\nwith {t}() as t:\n    pass\n",
+    "def {s}():\n    if a:\n        b = 1\n{x}      c = 2\n    return b\n",
+    "{x}a = 1\n  {s} = 2\nb = 3\n",
+    "{x}def {s}(x):\n# to do\n\nreturn {t}\n",
+    "{x}a = [{s}(1, 2]\nb = (3)\n",
+    "{x}a = {s}(1)\nb = (2))\nc = (\n",
+    "{x}a = {s}\necho $HOME\n",
+    "{x}if {s}:\n        a = 1\n\tb = 2\n",
+    "{x}a = 1\nclass {t}:\n    # {s}\n",
+    "{x}a = {\n1: [2,\n        3],\n}\nb = 1 + \\\n      2\n  # note: (\ntext = \"\"\"\n      {s}(\n\"\"\"\ndef {t}():\n\tif a:\n\t\treturn a\n\treturn b\n",
+]
+
+
+def faulty_sql(orders: str = "orders") -> str:
+    """SELECT of (file_path, file_type, source): Python files, eight of ten with a fault, after more or fewer sound lines."""
+    shapes = []
+    for shape, text in enumerate(_FAULTY):
+        rest = text.replace("'", "''").replace("\\", "' || chr(92) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+        for name, column in (("{x}", "sound"), ("{s}", "s"), ("{t}", "t")):
+            rest = rest.replace(name, f"' || {column} || '")
+        shapes.append(f"WHEN {shape} THEN '{rest}'")
+    return f"""
+SELECT '/repo/' || k || '.py' AS file_path, 'python' AS file_type, CASE shape {' '.join(shapes)} END AS source
+FROM (SELECT CAST(o_orderkey AS STRING) AS k, MOD(o_orderkey + o_custkey, 10) AS shape, {_name('o_orderkey + o_custkey')} AS s, {_name('o_custkey')} AS t,
+        repeat(CASE WHEN MOD(o_orderkey + o_custkey, 10) = 1 THEN '        z = (1)' || chr(10) ELSE 'z = {{"a": [1]}}' || chr(10) END,
+          CAST(MOD(o_custkey, 45) AS INT)) AS sound
+      FROM {orders}) AS keys"""

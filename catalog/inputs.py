@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.corpus import ALIAS_RULES, corpus_sql
+from catalog.corpus import ALIAS_RULES, corpus_sql, faulty_sql
 from tabletrail.functions.joins import top_per_group
 from tabletrail.operators import bm25, search, vectors
 from tabletrail.operators.chunks import split_scripts
@@ -44,6 +44,11 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(corpus_sql(_view(spread, sf_dir)))
 
 
+def faulty_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, file_type, source), one Python file per order, most of which are no programs."""
+    return spark.sql(faulty_sql(_view(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")), sf_dir)))
+
+
 @lru_cache(maxsize=8)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_scripts(scripts(spark, sf_dir))

@@ -13,6 +13,7 @@ from catalog import inputs as I
 from catalog.corpus import ALIAS_RULES
 from tabletrail.functions import text as T
 from tabletrail.operators import bm25, chunks as C, documents as D, graph, refs as R, registry as G, replies, report, rerank, search
+from tabletrail.operators import python_blocks as P
 from tabletrail.operators import vectors as V
 from tabletrail.sources import scripts as S
 from tabletrail.sources import snapshots
@@ -109,6 +110,21 @@ def line_blocks(spark, sf) -> DataFrame:
     )
 
 
+@query
+def python_faults(spark, sf) -> DataFrame:
+    """What keeps each file from being a Python program."""
+    return P.python_faults(I.faulty_scripts(spark, sf)).select("file_path", F.coalesce("fault", F.lit("")).alias("fault"))
+
+
+@query
+def faulty_blocks(spark, sf) -> DataFrame:
+    """Chunks of the same files: blocks of 30 lines where a fault is found, statements elsewhere."""
+    return C.split_scripts(I.faulty_scripts(spark, sf)).select(
+        "file_path", "chunk_type", "raw_text", F.col("line_start").cast("bigint").alias("line_start"),
+        F.col("line_end").cast("bigint").alias("line_end"),
+    )
+
+
 @query
 def chunk_captions(spark, sf) -> DataFrame:
     return I.chunks(spark, sf).select("chunk_id", C.caption().alias("caption"))
