@@ -68,6 +68,15 @@ SELECT file_path, 'sql', 'statement', part, line_start, line_start + {_lines('pa
     SELECT file_path, list_filter(list_transform(string_split(source, ';'), lambda x: {_strip('x')}), lambda x: x <> '') AS parts
     FROM files WHERE file_path IN (SELECT file_path FROM sql_open)) AS p) AS q) AS r"""
 
+CTES["ls_files"] = f"""
+SELECT file_path, 'sql' AS file_type, string_agg(source || {NL}, '' ORDER BY key) AS source
+FROM (SELECT source, key, '/dumps/' || CASE WHEN key % 7 < 3 THEN 0 ELSE key % 40 END || '.sql' AS file_path
+      FROM (SELECT source, CAST(regexp_extract(file_path, 'job_([0-9]+)', 1) AS BIGINT) AS key FROM files
+            WHERE file_type = 'sql' AND source NOT LIKE '%oops%') AS k) AS d
+GROUP BY file_path"""
+for _name in ("sql_tokens", "sql_open", "sql_counted", "sql_grouped", "sql_chunks"):
+    CTES["ls" + _name[3:]] = CTES[_name].replace("sql_", "ls_").replace("FROM files", "FROM ls_files")
+
 # --- Python: blank out strings and comments, then windows over lines ----------
 
 CTES["py_tokens"] = r"""
@@ -420,6 +429,7 @@ _FINAL: dict[str, str] = {
         SELECT file_path, 'block' AS chunk_type, string_agg(line, {NL} ORDER BY i) AS raw_text, min(i) AS line_start, max(i) AS line_end FROM (
           SELECT file_path, unnest(string_split(source, {NL})) AS line, generate_subscripts(string_split(source, {NL}), 1) AS i FROM ({_OPEN}) AS d) AS l
         GROUP BY file_path, (i - 1) // 30""",
+    "long_sql": "SELECT file_path, chunk_type, raw_text, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end FROM ls_chunks",
     "python_faults": "SELECT file_path, fault FROM fp_faults",
     "faulty_blocks": "SELECT file_path, chunk_type, raw_text, line_start, line_end FROM fp_chunks",
     "chunk_captions": "SELECT chunk_id, '[' || upper(file_type) || '] ' || file_path || ' lines ' || line_start || '-' || line_end || ' (' || chunk_type || ')' AS caption FROM chunks",

@@ -16,6 +16,7 @@ from tabletrail.operators.refs import add_refs, name_aliases, ref_rows
 from tabletrail.operators.registry import Registry, build_registry, expand
 from tabletrail.operators.rerank import unjudged
 from tabletrail.sources.scratch import written
+from tabletrail.sources.scripts import with_file_type
 
 TOP_K = 15
 
@@ -44,6 +45,17 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(corpus_sql(_view(spread, sf_dir)))
 
 
+@lru_cache(maxsize=8)
+def dump_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, part, text): SQL scripts put one behind the other in forty files, the first with half of all, in pieces of lines."""
+    key = F.regexp_extract("file_path", r"job_(\d+)", 1).cast("long")
+    sql = with_file_type(scripts(spark, sf_dir)).where((F.col("file_type") == "sql") & (key % 12 != 9))  # not those with an open quote
+    dump = F.concat(F.lit("/dumps/"), F.when(key % 7 < 3, 0).otherwise(key % 40).cast("string"), F.lit(".sql"))
+    pieces = F.posexplode(F.filter(F.split(F.concat("source", F.lit("\n")), r"(?<=\n)", 4), lambda t: t != "")).alias("at", "text")
+    rows = sql.select(dump.alias("file_path"), key.alias("key"), pieces).select("file_path", (F.col("key") * 4 + F.col("at")).alias("part"), "text")
+    return written(rows, "dump_segments")
+
+
 def faulty_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_path, file_type, source), one Python file per order, most of which are no programs."""
     return spark.sql(faulty_sql(_view(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")), sf_dir)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.corpus import ALIAS_RULES
 from tabletrail.functions import text as T
-from tabletrail.operators import bm25, chunks as C, documents as D, graph, refs as R, registry as G, replies, report, rerank, search
+from tabletrail.operators import bm25, chunks as C, documents as D, graph, long_scripts, refs as R, registry as G, replies, report, rerank, search
 from tabletrail.operators import python_blocks as P
 from tabletrail.operators import vectors as V
 from tabletrail.sources import scripts as S
@@ -125,6 +125,15 @@ def faulty_blocks(spark, sf) -> DataFrame:
     )
 
 
+@query
+def long_sql(spark, sf) -> DataFrame:
+    """Statements of long files that come in segments."""
+    return long_scripts.split_segments(I.dump_segments(spark, sf)).select(
+        "file_path", "chunk_type", "raw_text", F.col("line_start").cast("bigint").alias("line_start"),
+        F.col("line_end").cast("bigint").alias("line_end"),
+    )
+
+
 @query
 def chunk_captions(spark, sf) -> DataFrame:
     return I.chunks(spark, sf).select("chunk_id", C.caption().alias("caption"))
