@@ -629,7 +629,8 @@ def model_references(spark, sf) -> DataFrame:
             raise RuntimeError("no answer")
         return json.dumps([{"raw": prompt.split("\n")[0], "canonical": "file", "type": "READ", "confidence": "high"}])
 
-    found = I.chunks_with_refs(spark, sf)
+    # Read for the prompts and again for the failed calls; scripts are cut once.
+    found = written(I.chunks_with_refs(spark, sf), "found")
     calls = replies.call_model(replies.extraction_inputs(found), answer)
     return replies.refs_with_fallback(calls, found).groupBy("raw", "canonical", "ref_type", "confidence").agg(F.count("*").alias("n"))
 

@@ -153,7 +153,11 @@ def parse_references(replies: DataFrame) -> DataFrame:
 
 
 def refs_with_fallback(replies: DataFrame, chunks_with_refs: DataFrame) -> DataFrame:
-    """Reference rows from replies; chunks whose call failed keep the references found by patterns."""
+    """Reference rows from replies; chunks whose call failed keep the references found by patterns.
+
+    Replies are read for both, so they are stored: a lazy table of calls would ask the model twice.
+    """
+    replies = written(replies, "replies")
     failed = replies.where("error IS NOT NULL").select("chunk_id")
     by_pattern = (
         chunks_with_refs.select("chunk_id", "refs")

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tabletrail.operators import replies
 from tabletrail.operators.replies import call_model, stored_replies
 from tabletrail.sources import scripts
 
@@ -72,3 +73,22 @@ def test_listing_in_tasks_equals_the_ordinary_scan(spark, tmp_path):
     small = scripts._read_listed(spark, str(root), part_bytes=20)
     assert small.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and small.count() == scripts._read_listed(spark, str(root)).count()
     assert scripts.read_scripts(spark, str(tmp_path / "nowhere"), include_hidden=True).count() == 0
+
+
+def test_fallback_asks_each_prompt_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def answer(prompt: str) -> str:
+        with open(log, "a") as file:
+            file.write(prompt + "\n")
+        if prompt == "bad":
+            raise RuntimeError("no answer")
+        return '[{"raw": "x", "canonical": "y", "type": "READ"}]'
+
+    inputs = spark.createDataFrame([("1", "good"), ("2", "bad")], "chunk_id string, prompt string")
+    ref = "array<struct<ord:int,raw:string,canonical:string,ref_type:string,confidence:string>>"
+    found = spark.createDataFrame([("1", [(0, "a", "a", "READ", "low")]), ("2", [(0, "b", "b", "WRITE", "medium")])], f"chunk_id string, refs {ref}")
+    rows = replies.refs_with_fallback(replies.call_model(inputs, answer), found).collect()
+    assert sorted((r["chunk_id"], r["raw"], r["ref_type"]) for r in rows) == [("1", "x", "READ"), ("2", "b", "WRITE")]
+    with open(log) as file:
+        assert sorted(file.read().split()) == ["bad", "good"]
