@@ -1,7 +1,9 @@
 """Indexes made of segments give what one index of the same scripts gives."""
 
 import os
+import pathlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,18 @@ def test_counts_of_text_features_add_up(spark):
     model = vectors.fit_text_vectors(rows, "text", 16)
     units = {r["chunk_id"]: r["embedding"] for r in vectors.text_vectors(model, rows, "text").collect()}
     assert abs(sum(x * x for x in units["a"]) - 1) < 1e-12 and not any(units["b"])
+
+
+def test_parts_are_laid_out_by_the_tasks_that_make_them(spark, tmp_path):
+    """Rows go to their bucket's files as they come, none is moved between tasks, and files are compact; the setting is put back."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr("concat('word', id % 50) term", "concat('/a/b/job_', id, '.sql') chunk_id", "1 tf", "3 dl", "4 level")
+    staging = snapshots.begin(spark, f"file://{tmp_path}/index", buckets=3)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    staging.write_postings(rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    folder = pathlib.Path(staging.path.removeprefix("file://")) / "postings"
+    assert {len(list(bucket.glob("*.parquet"))) for bucket in folder.glob("bucket=*")} == {4}
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(i) for f in folder.rglob("*.parquet") for i in range(5)]
+    assert {c.compression for c in columns} == {"ZSTD"}
+    back = spark.read.parquet(f"{staging.path}/postings").drop("bucket")
+    assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
