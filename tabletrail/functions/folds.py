@@ -17,10 +17,10 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
     """States after each item of `items`, an array as long as `items`.
 
     `items` must be a column of the frame, not an expression: it is sliced once per block. Appending to one long
-    array copies it every time, so states are gathered in blocks of about sqrt(n) and flattened at the end.
+    array copies it every time, so states are gathered in short blocks, of sqrt(n) at most, and flattened at the end.
     """
     n = F.size(items)
-    block = F.greatest(F.lit(64), F.ceil(F.sqrt(n))).cast("int")
+    block = F.greatest(F.lit(8), F.ceil(F.sqrt(n))).cast("int")
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), block)
 
     def within(states: Column, item: Column) -> Column:

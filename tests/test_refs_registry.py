@@ -5,7 +5,7 @@ from tabletrail.functions import text as T
 from tabletrail.operators import registry as G
 from tabletrail.operators.chunks import split_scripts
 from tabletrail.operators.documents import attach_refs, build_documents
-from tabletrail.operators.refs import add_refs, name_aliases, ref_rows
+from tabletrail.operators.refs import SQL_READ, add_refs, name_aliases, ref_rows, table_names
 from tabletrail.sources.snapshots import export_registry, import_lines, import_registry
 
 REF_ROWS = "chunk_id string, file_path string, line_start int, ord int, raw string, canonical string, ref_type string, confidence string"
@@ -115,3 +115,13 @@ def test_exported_lines_are_read_again(spark, tmp_path):
     assert import_lines(spark, str(tmp_path / "none")).current.count() == 0
     plan = G.build_registry(refs).current._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_stop_words_are_a_set_of_the_plan(spark):
+    """Names are tested against one set of literals, not against a list hashed for each text; order, repeats and odd names as before."""
+    text = 'SELECT 1 FROM b.Beta JOIN "" x JOIN beta FROM [from] FROM a.select FROM 12 FROM x FROM Ä_1 JOIN alpha'
+    rows = spark.createDataFrame([(text,), ("from nothing else from",), (None,)], "t string")
+    found = rows.select(table_names(F.col("t"), SQL_READ).alias("names"))
+    assert [r["names"] for r in found.collect()] == [["beta", "ä_1", "alpha"], ["nothing"], []]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" not in plan and " INSET " in plan
