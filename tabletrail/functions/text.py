@@ -14,15 +14,30 @@ WHITESPACE = (
 # One word character as Python's Unicode \w sees it; Java and RE2 read it alike.
 WORD = r"[\p{L}\p{N}_]"
 
+# A name that cleaning and lower-casing leave as it is.
+PLAIN_NAME = r"\A[a-z0-9_]+\z"
+
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(WHITESPACE))
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(WHITESPACE))
 
 
+def stripped_length_is(c: Column, least: int) -> Column:
+    """Whether at least `least` characters stay when the text is stripped; reads no further than it must."""
+    if least < 2:
+        return F.length(strip(c)) >= least
+    solid = f"[^{WHITESPACE}]"
+    return c.rlike(solid + r"[\s\S]{%d,}?" % (least - 2) + solid)
+
+
 def count_of(c: Column, piece: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))
 
@@ -63,7 +78,7 @@ def folder_list(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     """The form in which table names are compared."""
-    return strip(F.lower(c))
+    return F.when(c.rlike(PLAIN_NAME), c).otherwise(strip(F.lower(c)))
 
 
 def base_name(path: Column) -> Column:

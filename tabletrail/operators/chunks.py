@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
-from tabletrail.functions.text import strip
+from tabletrail.functions.text import stripped_length_is
 from tabletrail.operators.python_blocks import add_python_pieces, finish_python
 from tabletrail.operators.shell_groups import add_shell_pieces, finish_shell
 from tabletrail.operators.sql_statements import add_sql_pieces, finish_statements
@@ -22,7 +22,7 @@ def split_scripts(files: DataFrame) -> DataFrame:
     """
     typed = files if "file_type" in files.columns else with_file_type(files)
     cut = typed.select("file_path", "file_type", "source")
-    cut = add_shell_pieces(add_python_pieces(add_sql_pieces(cut)))
+    cut = add_sql_pieces(add_shell_pieces(add_python_pieces(cut)))
     pieces = (
         F.when(F.col("file_type") == "sql", F.col("sql_pieces"))
         .when(F.col("file_type") == "python", F.col("python_pieces"))
@@ -66,4 +66,4 @@ def caption() -> Column:
 
 def is_extractable(least: int = settings.MIN_CHUNK_CHARS) -> Column:
     """Shorter chunks are indexed, but not searched for table names."""
-    return F.length(strip(F.col("raw_text"))) >= least
+    return stripped_length_is(F.col("raw_text"), least)

@@ -9,6 +9,7 @@ from tabletrail.functions.text import name_key
 from tabletrail.operators.refs import REF
 
 LISTS = ["canonical_tables", "aliases_used", "operations"]
+_USED = "array<struct<canonical:string,raw:string,op:string>>"
 DOCUMENT_COLUMNS = [
     "chunk_id", "file_path", "file_type", "chunk_type", "line_start", "line_end", "raw_text", *LISTS, "embedding_text",
 ]
@@ -33,7 +34,7 @@ def add_lists(chunks_with_refs: DataFrame) -> DataFrame:
             name_key(r["canonical"]).alias("canonical"), name_key(r["raw"]).alias("raw"), r["ref_type"].alias("op")
         ),
     )
-    out = chunks_with_refs.withColumn("_used", keyed)
+    out = chunks_with_refs.withColumn("_used", F.when(F.size("refs") == 0, F.array().cast(_USED)).otherwise(keyed))
 
     def listed(keep, field: str) -> Column:
         return F.array_distinct(F.transform(F.filter("_used", keep), lambda r: r[field]))

@@ -5,8 +5,12 @@ A marked script has one "BLOCK start,line HEAD_END" before the first line of eac
 blocks of the file in linear time and without a shuffle.
 """
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 BLOCK = "\ufdd0"
 NODE = "\ufdd1"
@@ -18,7 +22,26 @@ _ALL = BLOCK + NODE + BLANK + HEAD_END + CLOSED + INSIDE
 
 
 def unmarked(source: Column) -> Column:
-    return F.translate(source, _ALL, "\ufffd" * len(_ALL))
+    clean = F.is_valid_utf8(source) & ~source.rlike(f"[{_ALL}]")
+    return F.when(clean, source).otherwise(F.translate(source, _ALL, "\ufffd" * len(_ALL)))
+
+
+def lines_of(text: str) -> list[str]:
+    """Lines without their line ends; a final line end opens no extra line. As text.lines_of, for the walks over lines in Python."""
+    return (text[:-1] if text.endswith("\n") else text).split("\n")
+
+
+def per_text(texts: Column, work: Callable[[str], object], kind: pa.DataType) -> Column:
+    """What `work`, a function of a module, gives for each text: a string, or the values of a struct's fields; null for null."""
+
+    def each(batch: pa.Array) -> pa.Array:
+        found = [None if text is None else work(text) for text in batch.to_pylist()]
+        if not pa.types.is_struct(kind):
+            return pa.array(found, kind)
+        columns = [pa.array([None if row is None else row[i] for row in found], field.type) for i, field in enumerate(kind)]
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    return F.arrow_udf(each, from_arrow_type(kind))(texts)
 
 
 def block_head(start: Column, line: Column) -> Column:

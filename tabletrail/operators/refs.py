@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabletrail import settings
 from tabletrail.functions.joins import lookup_join
-from tabletrail.functions.text import WORD, empty_strings, find_all, strip
+from tabletrail.functions.text import PLAIN_NAME, WORD, empty_strings, find_all, strip
 from tabletrail.operators.chunks import is_extractable
 
 REF = "struct<ord:int,raw:string,canonical:string,ref_type:string,confidence:string>"
@@ -67,12 +67,14 @@ SHELL_WITH_WRITES = [("READ", SHELL[1:2] + SHELL[3:4]), ("WRITE", SHELL[0:1] + S
 
 _IMPORT_LINE = r"(?<![^\n])[ \t]*from[ \t]+\S+[ \t]+import(?!\S)[^\n]*"
 _MAX_FAMILIES = 5
+# Names of a chunk up to which each is looked up in the families' lists; the lists of more names are sorted.
+_FEW_NAMES = 32
 
 
 def clean_name(c: Column) -> Column:
     """Last part of a dotted name, lower-cased, without quotes and brackets."""
     bare = strip(F.translate(c, "`\"'[]", ""))
-    return F.lower(F.element_at(F.split(bare, r"\."), -1))
+    return F.when(c.rlike(PLAIN_NAME), c).otherwise(F.lower(F.element_at(F.split(bare, r"\."), -1)))
 
 
 def table_names(text: Column, patterns: list[tuple[str, str]], low: Column | None = None) -> Column:
@@ -88,7 +90,7 @@ def table_names(text: Column, patterns: list[tuple[str, str]], low: Column | Non
     ]
     # A set of literals is hashed once, a list taken off with array_except once per chunk.
     kept = lambda name: (F.length(name) >= 2) & ~name.isin(settings.STOP_WORDS) & ~name.rlike(r"^\p{Nd}+$")
-    names = F.array_distinct(F.filter(F.transform(found[0] if len(found) == 1 else F.concat(*found), clean_name), kept))
+    names = F.array_distinct(F.filter(F.transform(found[0] if len(found) == 1 else F.flatten(F.array(*found)), clean_name), kept))
     some = F.lit(False)
     for word, _ in patterns:
         some = some | F.contains(low, F.lit(word))
@@ -126,6 +128,20 @@ def add_refs(chunks: DataFrame, shell_writes: bool = False, skip_imports: bool =
                 kind = F.when(F.col("file_type") == language, members[i][0]).otherwise(kind)
         return kind
 
+    out = out.withColumn("_in_order", F.array_distinct(F.flatten(F.array(*[f"_names{i}" for i in range(_MAX_FAMILIES)]))))
+
+    def ref(place: Column, name: Column, kind: Column) -> Column:
+        return F.struct(
+            place.alias("ord"), name.alias("raw"), name.alias("canonical"), kind.alias("ref_type"), F.lit("medium").alias("confidence")
+        )
+
+    def last_type(name: Column) -> Column:
+        kind = type_of(0)
+        for i in range(1, _MAX_FAMILIES):
+            kind = F.when(F.array_contains(f"_names{i}", name), type_of(i)).otherwise(kind)
+        return kind
+
+    few = F.transform("_in_order", lambda name, i: ref(i, name, last_type(name)))
     # From the last family to the first, each keeps the names no later one has; family 0 is always READ.
     typed, taken = [], empty_strings()
     for i in reversed(range(_MAX_FAMILIES)):
@@ -133,22 +149,16 @@ def add_refs(chunks: DataFrame, shell_writes: bool = False, skip_imports: bool =
         kind = type_of(i)
         typed.append(F.transform(own, lambda name: F.struct(name.alias("raw"), kind.alias("ref_type"))))  # noqa: B023
         taken = F.array_union(taken, F.col(f"_names{i}"))
-    in_order = F.array_distinct(F.concat(*[F.col(f"_names{i}") for i in range(_MAX_FAMILIES)]))
-    places = F.transform(in_order, lambda name, i: F.struct(name.alias("raw"), i.alias("ord")))
+    places = F.transform("_in_order", lambda name, i: F.struct(name.alias("raw"), i.alias("ord")))
     # Both arrays hold the same names once, so sorted by name they line up.
     merged = F.zip_with(
         F.sort_array(places),
         F.sort_array(F.concat(*typed)),
-        lambda place, kind: F.struct(
-            place["ord"].alias("ord"),
-            place["raw"].alias("raw"),
-            place["raw"].alias("canonical"),
-            kind["ref_type"].alias("ref_type"),
-            F.lit("medium").alias("confidence"),
-        ),
+        lambda place, kind: ref(place["ord"], place["raw"], kind["ref_type"]),
     )
-    out = out.withColumn("refs", F.sort_array(merged).cast(f"array<{REF}>"))
-    return out.drop("_text", "_low", *[f"_names{i}" for i in range(_MAX_FAMILIES)])
+    refs = F.when(F.size("_in_order") <= _FEW_NAMES, few).otherwise(F.sort_array(merged))
+    out = out.withColumn("refs", refs.cast(f"array<{REF}>"))
+    return out.drop("_text", "_low", "_in_order", *[f"_names{i}" for i in range(_MAX_FAMILIES)])
 
 
 def ref_rows(chunks_with_refs: DataFrame) -> DataFrame:
