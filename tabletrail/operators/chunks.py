@@ -2,54 +2,42 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
 from tabletrail.functions.text import stripped_length_is
-from tabletrail.operators.python_blocks import add_python_pieces, finish_python
-from tabletrail.operators.shell_groups import add_shell_pieces, finish_shell
-from tabletrail.operators.sql_statements import add_sql_pieces, finish_statements
+from tabletrail.operators import marks
+from tabletrail.operators.python_blocks import cut_python
+from tabletrail.operators.shell_groups import cut_shell
+from tabletrail.operators.sql_statements import cut_sql
 from tabletrail.sources.scripts import with_file_type
 
 CHUNK_COLUMNS = ["chunk_id", "file_path", "file_type", "chunk_type", "raw_text", "line_start", "line_end"]
 
 
+_CUT = {"sql": cut_sql, "python": cut_python, "shell": cut_shell}
+_PIECE = pa.struct(
+    [("ord", pa.int32()), ("chunk_type", pa.string()), ("raw_text", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]
+)
+
+
+def _cut(file_type: str | None, source: str | None) -> list[tuple]:
+    return _CUT[file_type](source) if source is not None and file_type in _CUT else []
+
+
 def split_scripts(files: DataFrame) -> DataFrame:
     """Chunks of (file_path, source) rows; files of other kinds give none.
 
-    Every file is cut inside its own row, so this is one pass over the texts with no shuffle.
+    Every file is cut inside its own row, in Arrow batches, so this is one pass over the texts with no shuffle.
     """
     typed = files if "file_type" in files.columns else with_file_type(files)
-    cut = typed.select("file_path", "file_type", "source")
-    cut = add_sql_pieces(add_shell_pieces(add_python_pieces(cut)))
-    pieces = (
-        F.when(F.col("file_type") == "sql", F.col("sql_pieces"))
-        .when(F.col("file_type") == "python", F.col("python_pieces"))
-        .otherwise(F.col("shell_pieces"))
-    )
-    # The outer form: from a plain explode Spark infers a filter that would compute the pieces twice.
-    rows = cut.select("file_path", "file_type", F.posexplode_outer(pieces).alias("ord", "piece")).select(
-        "file_path", "file_type", "ord", "piece.mode", "piece.body", "piece.line"
-    ).where("mode IS NOT NULL")
-    rows = finish_shell(finish_python(finish_statements(rows)))
-
-    def by_language(suffix: str) -> Column:
-        return (
-            F.when(F.col("file_type") == "sql", F.col(f"sql_{suffix}"))
-            .when(F.col("file_type") == "python", F.col(f"py_{suffix}"))
-            .otherwise(F.col(f"sh_{suffix}"))
-        )
-
-    rows = rows.select(
-        "file_path",
-        "file_type",
-        "ord",
-        by_language("type").alias("chunk_type"),
-        by_language("text").alias("raw_text"),
-        by_language("start").alias("line_start"),
-        by_language("end").alias("line_end"),
-    )
+    # Tasks read texts as UTF-8: broken bytes become U+FFFD.
+    text = F.when(F.col("file_type") == "sql", F.make_valid_utf8("source")).otherwise(marks.unmarked(F.col("source")))
+    cut = typed.select("file_path", "file_type", marks.rows_per_text(F.col("file_type"), text, _cut, _PIECE).alias("_pieces"))
+    # The outer form: from a plain inline Spark infers a filter that would compute the pieces twice.
+    rows = cut.select("file_path", "file_type", F.inline_outer("_pieces")).where("ord IS NOT NULL")
     return rows.withColumn("chunk_id", chunk_key()).select(*CHUNK_COLUMNS)
 
 

@@ -39,24 +39,27 @@ def per_text(texts: Column, work: Callable[[str], object], kind: pa.DataType) ->
         if not pa.types.is_struct(kind):
             return pa.array(found, kind)
         columns = [pa.array([None if row is None else row[i] for row in found], field.type) for i, field in enumerate(kind)]
-        return pa.StructArray.from_arrays(columns, fields=list(kind))
+        return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array([row is None for row in found], pa.bool_()))
 
     return F.arrow_udf(each, from_arrow_type(kind))(texts)
 
 
-def block_head(start: Column, line: Column) -> Column:
-    return F.concat(F.lit(BLOCK), start.cast("string"), F.lit(","), line.cast("string"), F.lit(HEAD_END))
+def rows_per_text(kinds: Column, texts: Column, work: Callable[[str | None, str | None], list[tuple]], row: pa.StructType) -> Column:
+    """An array of `row` structs for each (kind, text): what `work`, a function of a module, gives as a list of tuples."""
 
+    def each(kind_batch: pa.Array, text_batch: pa.Array) -> pa.Array:
+        ends, found = [0], []
+        for kind, text in zip(kind_batch.to_pylist(), text_batch.to_pylist(), strict=True):
+            found.extend(work(kind, text))
+            ends.append(len(found))
+        columns = zip(*found, strict=True) if found else [()] * row.num_fields
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, row, strict=True)], fields=list(row))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
 
-def blocks_of(marked: Column) -> Column:
-    """Blocks of a marked script; what precedes the first mark belongs to none."""
-    return F.filter(F.split(marked, BLOCK), lambda part: F.contains(part, F.lit(HEAD_END)))
+    return F.arrow_udf(each, from_arrow_type(pa.list_(row)))(kinds, texts)
 
 
-def head_number(block: Column, index: int) -> Column:
-    return F.try_element_at(F.split(F.substring_index(block, HEAD_END, 1), ","), F.lit(index)).try_cast("int")
-
-
-def block_body(block: Column) -> Column:
-    head = F.substring_index(block, HEAD_END, 1)
-    return F.substring(block, F.length(head) + 2, F.length(block))
+def parts_of(marked: str) -> list[tuple[list[int], str]]:
+    """(numbers of the head, body) of each block of a marked script; what precedes the first mark belongs to none."""
+    parts = (block.partition(HEAD_END) for block in marked.split(BLOCK))
+    return [([int(n) for n in head.split(",")], body) for head, end, body in parts if end]

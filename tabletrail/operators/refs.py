@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import string
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletrail import settings
 from tabletrail.functions.joins import lookup_join
 from tabletrail.functions.text import PLAIN_NAME, WORD, empty_strings, find_all, strip
+from tabletrail.operators import marks
 from tabletrail.operators.chunks import is_extractable
 
 REF = "struct<ord:int,raw:string,canonical:string,ref_type:string,confidence:string>"
@@ -66,8 +71,7 @@ FAMILIES = {
 SHELL_WITH_WRITES = [("READ", SHELL[1:2] + SHELL[3:4]), ("WRITE", SHELL[0:1] + SHELL[2:3])]
 
 _IMPORT_LINE = r"(?<![^\n])[ \t]*from[ \t]+\S+[ \t]+import(?!\S)[^\n]*"
-_MAX_FAMILIES = 5
-# Names of a chunk up to which each is looked up in the families' lists; the lists of more names are sorted.
+# Names of a chunk that count as few; any number is looked up alike.
 _FEW_NAMES = 32
 
 
@@ -97,68 +101,66 @@ def table_names(text: Column, patterns: list[tuple[str, str]], low: Column | Non
     return F.when(some, names).otherwise(empty_strings())
 
 
+def _walked(pattern: str) -> re.Pattern:
+    """The pattern for text whose A-Z are lower-cased, as Python writes it: \\s and . mean in Java what is spelled out here."""
+    local = pattern.replace(r"\p{L}\p{N}_", r"\w").replace(r"\s", r"[ \t\n\x0b\f\r]").replace(".*?", r"[^\n\r\x85\u2028\u2029]*?")
+    # The look behind comes after the word, so that the search runs from word to word.
+    return re.compile(re.sub(r"^\(\?<!\[\\w\]\)([a-z]+)", r"\1(?<!\\w\1)", local.lower()))
+
+
+def _compiled(families: dict) -> dict:
+    return {language: [(kind, [(word, _walked(pattern)) for word, pattern in patterns]) for kind, patterns in members] for language, members in families.items()}
+
+
+_WALKED = _compiled(FAMILIES)
+_WALKED_WITH_WRITES = _compiled(FAMILIES | {"shell": SHELL_WITH_WRITES})
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+_UNQUOTED = str.maketrans("", "", "`\"'[]")
+_STOPS = frozenset(settings.STOP_WORDS)
+_REF = pa.struct([("ord", pa.int32()), *((name, pa.string()) for name in ("raw", "canonical", "ref_type", "confidence"))])
+
+
+def _found(walked: dict, file_type: str | None, text: str | None) -> list[tuple]:
+    """The references of one chunk: names in the order in which the families find them, each with the type of the last one that does."""
+    types = {}
+    if text and file_type in walked:
+        plain, low = text.isascii(), text.lower()
+        if not plain and (len(low) != len(text) or "\u212a" in text):
+            # Places would move, or the Kelvin sign be taken for a k: only A-Z change. Names are taken from the text itself.
+            low = text.translate(_LOWER)
+        for kind, patterns in walked[file_type]:
+            for word, pattern in patterns:
+                if word in low:
+                    raws = pattern.findall(low) if plain else (text[slice(*match.span(1))] for match in pattern.finditer(low))
+                    for raw in dict.fromkeys(raws):
+                        name = raw if plain and raw.isidentifier() else raw.translate(_UNQUOTED).strip().rpartition(".")[2].lower()
+                        if len(name) >= 2 and name not in _STOPS and not name.isdecimal():
+                            types[name] = kind
+    return [(i, name, name, kind, "medium") for i, (name, kind) in enumerate(types.items())]
+
+
+def _refs(file_type: str | None, text: str | None) -> list[tuple]:
+    return _found(_WALKED, file_type, text)
+
+
+def _refs_with_writes(file_type: str | None, text: str | None) -> list[tuple]:
+    return _found(_WALKED_WITH_WRITES, file_type, text)
+
+
 def add_refs(chunks: DataFrame, shell_writes: bool = False, skip_imports: bool = False) -> DataFrame:
     """Add refs, an array of one reference per table name, to each chunk.
 
-    All of it happens inside the chunk's row: the names of each family become sets, and set differences settle which
-    family gives a name its type. Chunks too short to name a table get an empty array.
+    All of it happens inside the chunk's row, in Arrow batches. Chunks too short to name a table get an empty array.
 
     shell_writes: COPY and INTO in shell text count as WRITE instead of READ.
     skip_imports: `from x import y` lines of Python are not searched.
     """
-    families = dict(FAMILIES)
-    if shell_writes:
-        families["shell"] = SHELL_WITH_WRITES
     text = F.col("raw_text")
     if skip_imports:
         text = F.when(F.col("file_type") == "python", F.regexp_replace(text, _IMPORT_LINE, "")).otherwise(text)
-
-    out = chunks.withColumn("_text", F.when(is_extractable(), text).otherwise("")).withColumn("_low", F.lower("_text"))
-    for i in range(_MAX_FAMILIES):
-        names = empty_strings()
-        for language, members in families.items():
-            if i < len(members):
-                names = F.when(F.col("file_type") == language, table_names(F.col("_text"), members[i][1], F.col("_low"))).otherwise(names)
-        out = out.withColumn(f"_names{i}", names)
-
-    def type_of(i: int) -> Column:
-        kind = F.lit("READ")
-        for language, members in families.items():
-            if i < len(members):
-                kind = F.when(F.col("file_type") == language, members[i][0]).otherwise(kind)
-        return kind
-
-    out = out.withColumn("_in_order", F.array_distinct(F.flatten(F.array(*[f"_names{i}" for i in range(_MAX_FAMILIES)]))))
-
-    def ref(place: Column, name: Column, kind: Column) -> Column:
-        return F.struct(
-            place.alias("ord"), name.alias("raw"), name.alias("canonical"), kind.alias("ref_type"), F.lit("medium").alias("confidence")
-        )
-
-    def last_type(name: Column) -> Column:
-        kind = type_of(0)
-        for i in range(1, _MAX_FAMILIES):
-            kind = F.when(F.array_contains(f"_names{i}", name), type_of(i)).otherwise(kind)
-        return kind
-
-    few = F.transform("_in_order", lambda name, i: ref(i, name, last_type(name)))
-    # From the last family to the first, each keeps the names no later one has; family 0 is always READ.
-    typed, taken = [], empty_strings()
-    for i in reversed(range(_MAX_FAMILIES)):
-        own = F.array_except(F.col(f"_names{i}"), taken)
-        kind = type_of(i)
-        typed.append(F.transform(own, lambda name: F.struct(name.alias("raw"), kind.alias("ref_type"))))  # noqa: B023
-        taken = F.array_union(taken, F.col(f"_names{i}"))
-    places = F.transform("_in_order", lambda name, i: F.struct(name.alias("raw"), i.alias("ord")))
-    # Both arrays hold the same names once, so sorted by name they line up.
-    merged = F.zip_with(
-        F.sort_array(places),
-        F.sort_array(F.concat(*typed)),
-        lambda place, kind: ref(place["ord"], place["raw"], kind["ref_type"]),
-    )
-    refs = F.when(F.size("_in_order") <= _FEW_NAMES, few).otherwise(F.sort_array(merged))
-    out = out.withColumn("refs", refs.cast(f"array<{REF}>"))
-    return out.drop("_text", "_low", "_in_order", *[f"_names{i}" for i in range(_MAX_FAMILIES)])
+    searched = F.make_valid_utf8(F.when(is_extractable(), text))
+    refs = marks.rows_per_text(F.col("file_type"), searched, _refs_with_writes if shell_writes else _refs, _REF)
+    return chunks.withColumn("refs", refs.cast(f"array<{REF}>"))
 
 
 def ref_rows(chunks_with_refs: DataFrame) -> DataFrame:
