@@ -24,7 +24,9 @@ _PIECE = pa.struct(
 
 
 def _cut(file_type: str | None, source: str | None) -> list[tuple]:
-    return _CUT[file_type](source) if source is not None and file_type in _CUT else []
+    if source is None or file_type not in _CUT:
+        return []
+    return _CUT[file_type](source if file_type == "sql" else marks.without_marks(source))
 
 
 def split_scripts(files: DataFrame) -> DataFrame:
@@ -34,8 +36,8 @@ def split_scripts(files: DataFrame) -> DataFrame:
     """
     typed = files if "file_type" in files.columns else with_file_type(files)
     # Tasks read texts as UTF-8: broken bytes become U+FFFD.
-    text = F.when(F.col("file_type") == "sql", F.make_valid_utf8("source")).otherwise(marks.unmarked(F.col("source")))
-    cut = typed.select("file_path", "file_type", marks.rows_per_text(F.col("file_type"), text, _cut, _PIECE).alias("_pieces"))
+    pieces = marks.rows_per_text(F.col("file_type"), F.make_valid_utf8("source"), _cut, _PIECE)
+    cut = typed.select("file_path", "file_type", pieces.alias("_pieces"))
     # The outer form: from a plain inline Spark infers a filter that would compute the pieces twice.
     rows = cut.select("file_path", "file_type", F.inline_outer("_pieces")).where("ord IS NOT NULL")
     return rows.withColumn("chunk_id", chunk_key()).select(*CHUNK_COLUMNS)

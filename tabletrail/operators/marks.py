@@ -21,6 +21,14 @@ INSIDE = "\ufdd5"
 _ALL = BLOCK + NODE + BLANK + HEAD_END + CLOSED + INSIDE
 
 
+_AS_BROKEN = str.maketrans(_ALL, "\ufffd" * len(_ALL))
+
+
+def without_marks(text: str) -> str:
+    """The same as `unmarked`, for valid text."""
+    return text if text.isascii() else text.translate(_AS_BROKEN)
+
+
 def unmarked(source: Column) -> Column:
     clean = F.is_valid_utf8(source) & ~source.rlike(f"[{_ALL}]")
     return F.when(clean, source).otherwise(F.translate(source, _ALL, "\ufffd" * len(_ALL)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -120,10 +121,12 @@ _STOPS = frozenset(settings.STOP_WORDS)
 _REF = pa.struct([("ord", pa.int32()), *((name, pa.string()) for name in ("raw", "canonical", "ref_type", "confidence"))])
 
 
-def _found(walked: dict, file_type: str | None, text: str | None) -> list[tuple]:
-    """The references of one chunk: names in the order in which the families find them, each with the type of the last one that does."""
+def _found(shell_writes: bool, least: int, file_type: str | None, text: str | None) -> list[tuple]:
+    """The references of one chunk: names in the order in which the families find them, each with the type of the last one that does.
+    A text that is shorter than `least` when stripped has none."""
     types = {}
-    if text and file_type in walked:
+    walked = _WALKED_WITH_WRITES if shell_writes else _WALKED
+    if text and file_type in walked and len(text.strip()) >= least:
         plain, low = text.isascii(), text.lower()
         if not plain and (len(low) != len(text) or "\u212a" in text):
             # Places would move, or the Kelvin sign be taken for a k: only A-Z change. Names are taken from the text itself.
@@ -139,14 +142,6 @@ def _found(walked: dict, file_type: str | None, text: str | None) -> list[tuple]
     return [(i, name, name, kind, "medium") for i, (name, kind) in enumerate(types.items())]
 
 
-def _refs(file_type: str | None, text: str | None) -> list[tuple]:
-    return _found(_WALKED, file_type, text)
-
-
-def _refs_with_writes(file_type: str | None, text: str | None) -> list[tuple]:
-    return _found(_WALKED_WITH_WRITES, file_type, text)
-
-
 def add_refs(chunks: DataFrame, shell_writes: bool = False, skip_imports: bool = False) -> DataFrame:
     """Add refs, an array of one reference per table name, to each chunk.
 
@@ -155,11 +150,12 @@ def add_refs(chunks: DataFrame, shell_writes: bool = False, skip_imports: bool =
     shell_writes: COPY and INTO in shell text count as WRITE instead of READ.
     skip_imports: `from x import y` lines of Python are not searched.
     """
-    text = F.col("raw_text")
+    text, least = F.col("raw_text"), settings.MIN_CHUNK_CHARS
     if skip_imports:
+        # The length that counts is that of the whole text.
         text = F.when(F.col("file_type") == "python", F.regexp_replace(text, _IMPORT_LINE, "")).otherwise(text)
-    searched = F.make_valid_utf8(F.when(is_extractable(), text))
-    refs = marks.rows_per_text(F.col("file_type"), searched, _refs_with_writes if shell_writes else _refs, _REF)
+        text, least = F.when(is_extractable(), text), 0
+    refs = marks.rows_per_text(F.col("file_type"), F.make_valid_utf8(text), partial(_found, shell_writes, least), _REF)
     return chunks.withColumn("refs", refs.cast(f"array<{REF}>"))
 
 
