@@ -67,7 +67,7 @@ def ingest(
 
     staging.write_postings(bm25.postings_of(documents))
     staging.write_blocks(bm25.blocks_of(spark.read.parquet(f"{staging.path}/postings"), buckets))
-    staging.write_vectors(vectors.text_counts(documents.select("chunk_id", "canonical_tables", "embedding_text"), features=features).drop("embedding_text"))
+    staging.write_vectors(vectors.text_counts(documents.select("chunk_id", "canonical_tables", "embedding_text"), features=features, keep_text=False))
 
     if rebuild and keep_stored and snapshots.current_path(spark, index_root):
         stored = snapshots.read_documents(spark, index_root)
